@@ -5,14 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgate.llm import byte_bpe, exact_dedup, sharding, simhash
+from loomgate.llm import byte_bpe, decontamination, exact_dedup, html_text, langid, licenses, sharding, simhash, tool_calls
 from loomgate.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(read(spark, sf_dir, "pages"))
+
+
+#: Every user turn is read as a call of this tool, the assistant's next turn as its result.
+REPLY = {"reply": {"role": (("STRING",), True), "text": (("STRING",), True), "turn": (("BIGINT",), True)}}
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn is a call whose identifier is made of conversation and turn, and which uses the result
+    of the user turn two before it; an assistant's turn is the result of the call one turn before."""
+    turns = read(spark, sf_dir, "conversations")
+    name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    calls = turns.where("role = 'user'").select(
+        F.col("conv_id").alias("conv"), name(F.col("turn")).alias("id"), F.col("turn").alias("seq"), F.lit("reply").alias("tool"),
+        F.to_json(F.struct("turn", "text", "role")).alias("arguments"), F.when(F.col("turn") >= 2, name(F.col("turn") - 2)).alias("parent"),
+    )
+    results = turns.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), name(F.col("turn") - 1).alias("id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    return tool_calls.linked(calls, results, REPLY)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -25,10 +51,28 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.coding_digest(read(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted_languages(read(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read(spark, sf_dir, "documents"))
 
 
+OP4_SQL = """
+WITH RECURSIVE t AS (SELECT *, 'c' || conv_id || '-' || turn AS id FROM conversations),
+calls AS (SELECT conv_id AS conv, id, turn AS seq, any_value(text) AS text FROM t WHERE role = 'user' GROUP BY ALL),
+answers AS (SELECT conv_id AS conv, turn - 1 AS seq, arg_min(text, text) AS content, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY 1, 2),
+walk AS (SELECT c.conv, c.seq, 0 AS depth, c.seq >= 2 AS lost FROM calls c WHERE c.seq < 2 OR NOT EXISTS (FROM calls p WHERE p.conv = c.conv AND p.seq = c.seq - 2)
+  UNION ALL SELECT c.conv, c.seq, w.depth + 1, false FROM walk w JOIN calls c ON c.conv = w.conv AND c.seq = w.seq + 2)
+SELECT c.conv, c.id AS call_id, c.seq, w.depth, CASE WHEN w.lost THEN 'lost_parent' WHEN a.n IS NULL THEN 'pending' ELSE 'ok' END AS status, coalesce(a.n, 0) AS n_results,
+  '{"arguments":{"role":"user","text":' || to_json(c.text) || ',"turn":' || c.seq || '},"call_id":"' || c.id || '","depth":' || w.depth || ',"name":"reply","result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || '}' AS json
+FROM calls c JOIN walk w ON w.conv = c.conv AND w.seq = c.seq LEFT JOIN answers a ON a.conv = c.conv AND a.seq = c.seq
+"""
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -51,9 +95,9 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (rank - min(rank) OVER (
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op3_simhash, op5_exact_dedup, op6_byte_bpe, op10_sharding)}
+    found = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_simhash, op4_tool_calls, op5_exact_dedup, op6_byte_bpe, op7_language, op8_licenses, op10_sharding)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op10_sharding": OP10_SQL}
+    return {"op4_tool_calls": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_licenses": licenses.oracle(), "op10_sharding": OP10_SQL}

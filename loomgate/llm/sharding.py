@@ -28,12 +28,11 @@ def balanced_shards(df: DataFrame, shards: int, size_col: str, order: list[str])
     placed = materialise(ranged.drop("__tie").withColumn("__at", F.monotonically_increasing_id()), "placed").withColumn("__part", F.shiftright("__at", 33))
     totals = placed.groupBy("__part").agg(F.sum(size_col).alias("__bytes"), F.count("*").alias("__rows"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, not for each document
-    starts = totals.select("__part", F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__b0"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__r0"))
-    whole = totals.agg(F.coalesce(F.sum("__bytes"), F.lit(0)).alias("__all"))
+    starts = totals.select("__part", F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__b0"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__r0"), F.sum("__bytes").over(Window.partitionBy()).alias("__all"))
     inside = Window.partitionBy("__part").orderBy("__at")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lined = placed.withColumns({"__b": F.sum(size_col).over(upto) - F.col(size_col), "__r": F.row_number().over(inside) - 1})
-    lined = lined.join(F.broadcast(starts), "__part").crossJoin(F.broadcast(whole))  # one row: the total
+    lined = lined.join(F.broadcast(starts), "__part")
     twice = F.lit(2) * (F.col("__b") + F.col("__b0")) + F.col(size_col)  # twice the middle: whole numbers throughout
     cut = F.expr(f"CAST(least({shards - 1}, __twice * {shards} DIV greatest(1, 2 * __all)) AS INT)")
     numbered = lined.withColumn("__twice", twice).withColumn("shard", cut).withColumn("__rank", F.col("__r") + F.col("__r0"))
