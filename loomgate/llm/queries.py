@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgate.llm import byte_bpe, decontamination, exact_dedup, html_text, langid, licenses, sharding, simhash, tool_calls
+from loomgate.llm import byte_bpe, decontamination, exact_dedup, html_text, langid, language_model, licenses, sharding, simhash, tool_calls
 from loomgate.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(read(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read(spark, sf_dir, "documents"))
 
@@ -95,7 +99,7 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (rank - min(rank) OVER (
 
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_simhash, op4_tool_calls, op5_exact_dedup, op6_byte_bpe, op7_language, op8_licenses, op10_sharding)}
+    found = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_simhash, op4_tool_calls, op5_exact_dedup, op6_byte_bpe, op7_language, op8_licenses, op9_language_model, op10_sharding)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
