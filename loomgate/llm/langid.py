@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from loomgate.llm.common import type_of
 
-PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 800, 40_000, 200
-BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 5, 20.0
+PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 600, 40_000, 200
+BUCKETS, DIM, EPOCHS, RATE, STEP = 1 << 16, 16, 3, 10.0, 0.3
 REJECT, MAX_THRESHOLD = 0.002, 0.5
 UNKNOWN = "und"
 #: Words a worker remembers; some 60 MB.
@@ -132,21 +132,28 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     for _ in range(EPOCHS):
         for i in rng.permutation(len(data)):
             buckets, share, label = data[i]
-            rate = RATE * (1 - done / steps) * min(4.0, float(weight[label]))
+            ease = (1 - done / steps) * min(4.0, float(weight[label]))
             done += 1
             hidden = share @ emb[buckets]
             grad = softmax(hidden @ out + bias)
             grad[label] -= 1
             pull = out @ grad
-            out -= rate * 0.05 * np.outer(hidden, grad)
-            bias -= rate * 0.0005 * grad
+            # no step moves the text's own logits by more than STEP of its error, however short the text is
+            rate = ease * min(RATE, STEP / float(share @ share) / max(1.0, float((out * out).sum())))
+            out -= ease * min(0.5, STEP / max(1.0, float(hidden @ hidden))) * np.outer(hidden, grad)
+            bias -= ease * 0.01 * grad
             emb[buckets] -= rate * np.outer(share, pull)
     model = Model(languages, emb @ out, bias.astype(np.float64), 1.0, 0.0)
     calib = [(share @ model.logits[b] + model.bias, label) for b, share, label in _examples([texts[i] for i in kept_out], labels[kept_out], rng)]
     if calib:
         raw, want = np.array([x for x, _ in calib], np.float64), np.array([y for _, y in calib])
-        loss = {t: -np.log(np.maximum(1e-12, softmax(raw / t)[np.arange(len(want)), want])).mean() for t in np.geomspace(0.05, 20, 61)}
-        model.temperature = float(min(loss, key=loss.get))
+        doubt = 1 / (len(want) + 2)  # rule of succession: so many faultless examples prove no more certainty
+
+        def loss(t: float) -> float:
+            logs = np.log(np.maximum(1e-12, softmax(raw / t)))
+            return float(-(1 - doubt) * logs[np.arange(len(want)), want].mean() - doubt * logs.mean())
+
+        model.temperature = float(min(np.geomspace(0.5, 50, 61), key=loss))
         judge = Predictor(model)
         whole = [judge.score(texts[i])[1] for i in kept_out]
         model.threshold = min(MAX_THRESHOLD, float(np.quantile([x for x in whole if x > 0] or [0.0], REJECT)))
