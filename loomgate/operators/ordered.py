@@ -60,6 +60,6 @@ def padded_label(place: Column, total: Column, prefix: str) -> Column:
 
 
 def gap_spaces(gap: Column, height: Column) -> Column:
-    """The blanks for a gap between two pieces of text: none if it is narrow, else 1 to 6."""
+    """The blanks for a gap between two pieces of text: none if it is narrow or null, else 1 to 6."""
     n = F.floor(gap / (height * 0.42) + 0.5).cast("int")
-    return F.when(gap <= height * 0.08, "").otherwise(F.repeat(F.lit(" "), F.greatest(F.lit(1), F.least(F.lit(6), n))))
+    return F.when(gap.isNull() | (gap <= height * 0.08), "").otherwise(F.repeat(F.lit(" "), F.greatest(F.lit(1), F.least(F.lit(6), n))))
