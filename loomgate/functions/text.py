@@ -92,9 +92,9 @@ def strip_quotes(x: Column) -> Column:
 
 
 def json_string(x: Column) -> Column:
-    """x as a JSON string."""
+    """x as a JSON string; null stays null."""
     listed = F.to_json(F.array(x))
-    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+    return F.when(x.isNotNull(), F.substr(listed, F.lit(2), F.length(listed) - 2))
 
 
 def ini_value(x: Column) -> Column:
