@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgate.llm.common import type_of
+from loomgate.llm.common import type_of, unused
 
-#: Entries at which each of a worker's memories is emptied; some 200 MB for all of them.
-MEMORY = 600_000
+#: Entries at which a worker's memories of words, of matches and of token pairs are emptied; some 200 MB for all.
+WORDS, PIECES, PAIRS = 400_000, 150_000, 400_000
 #: A space between other white space: there the pattern looks further than the space.
 _INNER_SPACE = regex.compile(r"\s \s").search
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -88,7 +88,7 @@ class Coder:
         The merges of both sides are taken back, latest first. Whatever stands at the border
         meanwhile must not merge earlier than what was taken back last."""
         if (known := self.fits.get(left << 32 | right)) is None:
-            if len(self.fits) >= MEMORY:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             known = self.fits[left << 32 | right] = self._stays_apart(left, right)
         return known
@@ -149,7 +149,7 @@ class Coder:
             if ids is None:
                 ids = self.encode_piece(piece)
                 if len(ids) <= 64:  # longer ones are rare, and would fill the memory
-                    if len(self.pieces) >= MEMORY:
+                    if len(self.pieces) >= PIECES:
                         self.pieces.clear()
                     self.pieces[piece] = ids
             out += ids
@@ -163,7 +163,7 @@ class Coder:
         first, *rest = text.split(" ")
         words = self.words
         new = set(rest).difference(words)
-        if len(words) + len(new) > MEMORY:
+        if len(words) + len(new) > WORDS:
             words.clear()
             new = set(rest)
         for word in new:
@@ -202,7 +202,7 @@ def encode(df: DataFrame, text_col: str = "text", out_col: str = "ids", vocabula
 
     rest = df.drop(out_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), f"`{out_col}` array<int>"])
-    return rest.withColumn("__text", F.col(text_col)).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(text_col).alias(unused(df, "__text"))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -217,7 +217,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabu
 
     rest = df.drop(out_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), f"`{out_col}` binary"])
-    return rest.withColumn("__ids", F.col(ids_col)).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(ids_col).alias(unused(df, "__ids"))).mapInArrow(run, schema)
 
 
 def coding_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

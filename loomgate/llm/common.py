@@ -40,10 +40,19 @@ def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key isn't in ids (one column, materialised). Null keys stay."""
-    gone = ids.select(F.col(ids.columns[0]).alias("__gone"))
-    return df.join(bounded_broadcast(gone), F.col(key) == F.col("__gone"), "left_anti")
+    name = unused(df, "__gone")
+    gone = ids.select(F.col(ids.columns[0]).alias(name))
+    return df.join(bounded_broadcast(gone), F.col(key) == F.col(name), "left_anti")
 
 
 def text_of(column: str | Column) -> Column:

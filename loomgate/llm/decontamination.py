@@ -4,16 +4,16 @@ Texts become lower-case word tokens. A seed is a mask over neighbouring tokens o
 count and the others are ignored, so that a substituted word inside does not hide a hit. Hashes of
 the benchmark's seeds are joined with those of all positions of all documents: the benchmark is the stated query
 set, broadcast in blocks of at most BLOCK_BYTES of text, each block against all documents. Every
-hit gives an alignment of item and document, which is verified token by token: its best
-stretch must have at least MIN_TOKENS tokens, four fifths of them the same (items shorter than
+hit gives an alignment of item and document, which is verified token by token: the longest stretch
+of which four fifths are the same must have at least MIN_TOKENS tokens (items shorter than
 that must stand whole and unchanged; under five tokens an item is no passage).
 
 With SEEDS no stretch of 13 to 20 tokens with at most a fifth substituted is missed
 (tests enumerate them). Insertions and deletions shift the alignment and split a stretch.
 
 Defined results: null texts are empty and match nothing; items with null id are
-kept under a null id; an item that stands in a document several times is reported once, at its best stretch
-(the leftmost of equals); empty tables give an empty result.
+kept under a null id; an item that stands in a document several times is reported once, at its longest stretch
+(the one with more equal tokens, then the leftmost); empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ class Benchmark:
         return np.unique(np.concatenate(out), axis=0)
 
     def overlap(self, ids: np.ndarray, lo: int, hi: int, item: int, start: int) -> tuple[int, int, int, int] | None:
-        """The best stretch of item laid at start over the document ids[lo:hi]: (document token, item token, tokens, same)."""
+        """The longest stretch, four fifths the same, of item laid at start over the document ids[lo:hi]: (document token, item token, tokens, same)."""
         own = self.items[item][1]
         a, b = max(lo, start), min(hi, start + len(own))
         if b - a < min(MIN_TOKENS, len(own)):
@@ -97,12 +97,13 @@ class Benchmark:
         same = own[a - start : b - start] == ids[a:b]
         if len(own) < MIN_TOKENS:
             return (a - lo, 0, len(own), len(own)) if same.all() else None
-        gain = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])  # not below 0: four fifths are the same
+        gain = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])  # a stretch that gains 0 or more is four fifths the same
         low = np.minimum.accumulate(gain)
-        end = int((gain - low).argmax())
-        begin = int(np.flatnonzero(gain[: end + 1] == low[end])[0])
-        n = end - begin
-        return (a - lo + begin, a - start + begin, n, int(same[begin:end].sum())) if n >= MIN_TOKENS else None
+        begins = np.searchsorted(-low, -gain, "left")  # of each end, the first start from which it doesn't lose
+        n = np.arange(len(gain)) - begins
+        end = int(n.argmax())
+        begin = int(begins[end])
+        return (a - lo + begin, a - start + begin, end - begin, int(same[begin:end].sum())) if end - begin >= MIN_TOKENS else None
 
     def leaks(self, docs: list[list[str]]) -> Iterator[tuple[int, object, int, int, int, int, int]]:
         """(document number, item, document token, item token, tokens, same, item's tokens), the best of each pair."""
@@ -125,7 +126,7 @@ class Benchmark:
             doc = int(doc)
             while doc < len(docs) and starts[doc] < start + len(self.items[item][1]):  # an item laid over a border meets two documents
                 if cut := self.overlap(ids, starts[doc], ends[doc], item, start):
-                    rank = (cut[3] - 4 * (cut[2] - cut[3]), -cut[0])
+                    rank = (cut[2], cut[3], -cut[0])
                     if (doc, item) not in best or rank > best[doc, item][0]:
                         best[doc, item] = (rank, cut)
                 doc += 1

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgate.llm.common import materialise, text_of, type_of, without
+from loomgate.llm.common import materialise, text_of, type_of, unused, without
 
 #: A run of white space that isn't a single space already: what normalisation has to change.
 _UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -120,6 +120,7 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     if repeated.isEmpty():
         return out
     once = without(out, repeated, id_col)
-    named = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).join(repeated.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
-    again = df.withColumn("__own", F.sha2(normalised(text_col), 256)).join(named, (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return once.unionByName(again.dropDuplicates([id_col, "__own"]).drop("__own"))
+    own, of, sha = unused(df, "__own"), unused(df, "__id"), unused(df, "__sha")
+    named = found.where("kept").join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias(of), F.col("text_sha256").alias(sha))
+    again = df.withColumn(own, F.sha2(normalised(text_col), 256)).join(named, (F.col(id_col) == F.col(of)) & (F.col(own) == F.col(sha)), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, own]).drop(own))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgate.llm.common import type_of
+from loomgate.llm.common import type_of, unused
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
@@ -377,10 +377,10 @@ def rendered(df: DataFrame, html_col: str = "html", out_col: str = "text") -> Da
             text = pa.array([visible_text(x.as_py()) for x in b.column(b.num_columns - 1)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], text], names=[*b.schema.names[:-1], out_col])
 
-    page = F.col(html_col).cast("string")
-    rest = df.withColumn("__page", page).drop(*[c for c in (out_col,) if c in df.columns])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != "__page"), f"`{out_col}` string"])
-    return rest.mapInArrow(run, schema)
+    rest = df.drop(out_col)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), f"`{out_col}` string"])
+    page = F.col(html_col).cast("string").alias(unused(df, "__page"))
+    return df.select(*[F.col(f"`{c}`") for c in rest.columns], page).mapInArrow(run, schema)
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgate.llm.common import type_of
+from loomgate.llm.common import type_of, unused
 
 PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 600, 40_000, 200
 BUCKETS, DIM, EPOCHS, RATE, STEP = 1 << 16, 16, 3, 10.0, 0.3
 REJECT, MAX_THRESHOLD = 0.002, 0.5
 UNKNOWN = "und"
-#: Words a worker remembers; some 60 MB.
-MEMORY = 400_000
+#: Words a worker remembers; some 50 MB.
+MEMORY = 250_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -205,7 +205,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rest = docs.drop("lang_pred", "score", "rejected")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "lang_pred string", "score double", "rejected boolean"])
-    return rest.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(text_col).cast("string").alias(unused(docs, "__text"))).mapInArrow(run, schema)
 
 
 def predicted_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3) -> DataFrame:
@@ -218,5 +218,13 @@ def predicted_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3) -> DataFrame:
     """docs without the rows whose language is rejected; all columns stay as they were."""
     model = train(docs, crc_mod(id_col, folds) != 1, id_col, text_col, lang_col)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    return predict(named, model).where("NOT rejected").select("row.*")
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Predictor(shipped.value)
+        for b in batches:
+            found = [judge.score(t.as_py()) for t in b.column(at)]
+            yield b.filter(pa.array([lang != UNKNOWN and score >= shipped.value.threshold for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

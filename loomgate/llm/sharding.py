@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgate.llm.common import materialise
+from loomgate.llm.common import materialise, unused
 
 
 def balanced_shards(df: DataFrame, shards: int, size_col: str, order: list[str]) -> DataFrame:
@@ -23,22 +23,23 @@ def balanced_shards(df: DataFrame, shards: int, size_col: str, order: list[str])
     order must be total up to rows that are equal in all columns; a row number breaks such ties when
     ranges are cut, so that a key on a third of all rows still spreads. df is written to
     the shared folder once: pass the columns that are needed, not the texts."""
-    ranged = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order, "__tie").sortWithinPartitions(*order, "__tie")
+    keys = [f"k{i}" for i in range(len(order))]
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(size_col).alias("size"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], F.monotonically_increasing_id().alias("tie"))
+    ranged = packed.repartitionByRange(*keys, "tie").sortWithinPartitions(*keys, "tie").select("row", "size")
     # the range and the place in it, in one number: fixed by the write, whatever is run again later
-    placed = materialise(ranged.drop("__tie").withColumn("__at", F.monotonically_increasing_id()), "placed").withColumn("__part", F.shiftright("__at", 33))
-    totals = placed.groupBy("__part").agg(F.sum(size_col).alias("__bytes"), F.count("*").alias("__rows"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, not for each document
-    starts = totals.select("__part", F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__b0"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__r0"), F.sum("__bytes").over(Window.partitionBy()).alias("__all"))
-    inside = Window.partitionBy("__part").orderBy("__at")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lined = placed.withColumns({"__b": F.sum(size_col).over(upto) - F.col(size_col), "__r": F.row_number().over(inside) - 1})
-    lined = lined.join(F.broadcast(starts), "__part")
-    twice = F.lit(2) * (F.col("__b") + F.col("__b0")) + F.col(size_col)  # twice the middle: whole numbers throughout
-    cut = F.expr(f"CAST(least({shards - 1}, __twice * {shards} DIV greatest(1, 2 * __all)) AS INT)")
-    numbered = lined.withColumn("__twice", twice).withColumn("shard", cut).withColumn("__rank", F.col("__r") + F.col("__r0"))
-    firsts = numbered.groupBy("shard").agg(F.min("__rank").alias("__first"))
+    placed = materialise(ranged.withColumn("at", F.monotonically_increasing_id()), "placed").withColumn("part", F.shiftright("at", 33))
+    totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, not for each document
+    starts = totals.select("part", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("r0"), F.sum("bytes").over(Window.partitionBy()).alias("all"))
+    inside = Window.partitionBy("part").orderBy("at")
+    lined = placed.withColumns({"b": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"), "r": F.row_number().over(inside) - 1})
+    lined = lined.join(F.broadcast(starts), "part")  # a row for each range
+    twice = lined.withColumn("twice", F.lit(2) * (F.col("b") + F.col("b0")) + F.col("size"))  # twice the middle: whole numbers throughout
+    cut = F.expr(f"CAST(least({shards - 1}, twice * {shards} DIV greatest(1, 2 * `all`)) AS INT)")
+    numbered = twice.select("row", cut.alias("shard"), (F.col("r") + F.col("r0")).alias("rank"))
+    firsts = numbered.groupBy("shard").agg(F.min("rank").alias("first"))
     out = numbered.join(F.broadcast(firsts), "shard")  # a row for each shard
-    return out.select(*[c for c in df.columns if c not in ("shard", "slot")], "shard", (F.col("__rank") - F.col("__first")).alias("slot"))
+    return out.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in ("shard", "slot")], "shard", (F.col("rank") - F.col("first")).alias("slot"))
 
 
 def document_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,5 +51,6 @@ def document_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write docs to path/shard=N. An identifier on several rows goes where its first row goes."""
-    placed = document_shards(docs, shards, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.min("shard").alias("shard"))
-    docs.join(placed, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id").write.partitionBy("shard").parquet(path)
+    own = unused(docs, "__id")
+    placed = document_shards(docs, shards, id_col, text_col).groupBy(F.col("doc_id").alias(own)).agg(F.min("shard").alias("shard"))
+    docs.drop("shard").join(placed, F.col(id_col).eqNullSafe(F.col(own))).drop(own).write.partitionBy("shard").parquet(path)

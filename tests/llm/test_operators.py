@@ -1,0 +1,408 @@
+"""Each training-data operator against a brute-force version, an exact round trip or held-out accuracy, and its edge cases."""
+
+import hashlib
+import json
+import math
+import re
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from loomgate.llm import byte_bpe, decontamination, exact_dedup, gru, html_text, langid, language_model, licenses, queries, sharding, simhash, tool_calls
+
+DOC = "doc_id long, text string, lang string, keep_id int, fp string, id string, size string, shard int, score int, __text string"
+ODD = ["", None, " \n\t ", "a", "a b", "a  b", "A b c d e f g", "x" * 300_000, "word " * 60_000, "🙂 naïve ß İstanbul    z", "a b", "a b", "\x00 nul \x1f", "%%% 123"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, and extra columns with clashing names."""
+    rows = [(i, t, None if i % 3 else "en", 1, "f", "i", "s", 2, 3, "u") for i, t in enumerate(ODD)]
+    rows += [(4, "a b", "en", 1, "f", "i", "s", 2, 3, "u"), (4, "other words", "fr", 1, "f", "i", "s", 2, 3, "u"), (None, "a b", None, 1, "f", "i", "s", 2, 3, "u"), (None, None, None, 1, "f", "i", "s", 2, 3, "u")]
+    return spark.createDataFrame(rows, DOC)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def local(docs):
+    return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+def none_of(spark):
+    return spark.createDataFrame([], DOC)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf, duck, same, name):
+    same(queries.queries()[name](spark, sf), duck.sql(queries.oracle_sql()[name]))
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------
+def brute_exact(rows):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(norm(t), []).append(i)
+    least = lambda ids: min((x for x in ids if x is not None), default=None)
+    return Counter((i, least(groups[norm(t)]), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in rows)
+
+
+def test_exact(spark, odd, docs):
+    for df in (odd, docs, none_of(spark)):
+        found = exact_dedup.exact_duplicates(df).collect()
+        rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found) == brute_exact(rows)
+        kept = [r for r in found if r["kept"]]
+        assert len(kept) == len({r["text_sha256"] for r in found}) and all(r["doc_id"] == r["keep_id"] for r in kept)
+
+
+def test_exact_group_over_ranges(spark):
+    """A group that holds most rows is cut over several ranges and joined again."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 8 < 7, "same  text").otherwise(F.concat(F.lit("t"), "id")).alias("text")).repartition(6)
+    found = exact_dedup.exact_duplicates(df)
+    assert found.where("group_size = 3500 AND keep_id = 0").count() == 3500
+    assert found.where("kept").count() == 501
+
+
+def test_exact_drop(odd):
+    out = exact_dedup.drop_exact_duplicates(odd)
+    assert out.columns == odd.columns
+    ids = Counter(r["doc_id"] for r in out.where("doc_id IS NOT NULL").collect())
+    assert ids == Counter([0, 2, 3, 4, 4, 6, 7, 8, 9, 12, 13])  # id 4 stands with two texts
+
+
+# 3 ---------------------------------------------------------------------------------------------------------------
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(fps):
+    """fps {doc: fingerprint} -> {doc: smallest reachable doc}, by comparing all pairs."""
+    up = {d: d for d in fps}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a, b in combinations(sorted(fps), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 2:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    return {d: root(d) for d in fps}
+
+
+def test_simhash(docs, local):
+    found = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    fps = {d: brute_fingerprint(t) for d, t in local.items()}
+    assert {d: int(r["fingerprint"], 16) for d, r in found.items()} == fps
+    assert {d: r["component_id"] for d, r in found.items()} == brute_components(fps)
+
+
+@pytest.mark.parametrize("cell", [simhash.CELL, 8])
+def test_simhash_links(spark, monkeypatch, cell):
+    """Chains and dense clusters of fingerprints; with a small cell, the dense way takes over."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = np.random.default_rng(1)
+    fps = []
+    for _ in range(12):
+        base = int(rng.integers(0, 2**64, dtype=np.uint64))
+        fps += [base]
+        for _ in range(25):
+            base ^= 1 << int(rng.integers(64))
+            base ^= 1 << int(rng.integers(64))
+            fps.append(base)
+    fps += [int(x) for x in rng.integers(0, 2**64, 100, np.uint64)] + [0, 1, 3, 7, 15]
+    fps = list(dict.fromkeys(fps))
+    by_doc = dict(enumerate(fps))
+    nodes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), d) for d, f in by_doc.items()], "fp long, rep long")
+    label = {r["node"]: r["component"] for r in simhash.connected_components(simhash.near_links(nodes)).collect()}
+    assert {d: label.get(d, d) for d in by_doc} == brute_components(by_doc)
+
+
+def test_simhash_odd(spark, odd):
+    found = simhash.near_duplicates(odd).collect()
+    assert len(found) == odd.count() and simhash.near_duplicates(none_of(spark)).count() == 0
+    assert {r["component_id"] for r in found if r["fingerprint"] == "0" * 16} == {0}
+    out = simhash.drop_near_duplicates(odd)
+    assert out.columns == odd.columns and out.where("doc_id = 1").isEmpty() and not out.where("doc_id = 0").isEmpty()
+
+
+def test_components_chain(spark):
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = simhash.connected_components(chain).collect()
+    assert len(found) == 300 and {r["component"] for r in found} == {0}
+
+
+# 6 ---------------------------------------------------------------------------------------------------------------
+def test_bpe(spark, docs, local, odd):
+    import tiktoken
+
+    path, pattern = byte_bpe.default_vocabulary()
+    with open(path, "rb") as f:
+        ranks = byte_bpe.parse_ranks(f.read())
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = {**local, **{10_000 + i: t for i, t in enumerate(ODD)}}
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
+    for r in byte_bpe.coding_digest(df).collect():
+        ids, raw = lib.encode_ordinary(texts[r["doc_id"]] or ""), (texts[r["doc_id"]] or "").encode()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest())
+    both = byte_bpe.decode(byte_bpe.encode(odd)).collect()
+    assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in both)
+    assert byte_bpe.coding_digest(none_of(spark)).count() == 0
+
+
+def test_bpe_random():
+    import tiktoken
+
+    path, pattern = byte_bpe.default_vocabulary()
+    with open(path, "rb") as f:
+        blob = f.read()
+    own, lib = byte_bpe.coder(blob, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.parse_ranks(blob), special_tokens={})
+    rng = np.random.default_rng(3)
+    letters = "abetion  \n\t.,'sé漢🙂0 1 "
+    for n in rng.integers(1, 60, 1500):
+        text = "".join(letters[i] for i in rng.integers(0, len(letters), n))
+        assert own.encode(text) == lib.encode_ordinary(text), repr(text)
+
+
+# 7 ---------------------------------------------------------------------------------------------------------------
+def test_language(spark, docs, odd):
+    found = langid.predicted_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in found if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in found)
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in found)
+    few = {r["doc_id"]: r for r in langid.predicted_languages(odd).collect() if r["doc_id"] is not None}
+    assert all(few[i]["lang_pred"] == "und" and few[i]["score"] == 0 and few[i]["rejected"] for i in (0, 1, 2, 13))
+    assert langid.predicted_languages(none_of(spark)).count() == 0
+    assert langid.drop_rejected(odd).columns == odd.columns
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string")).limit(5)
+    assert {r["lang_pred"] for r in langid.predicted_languages(unlabelled).collect()} == {"und"}
+
+
+def test_language_rejects_strangers(docs):
+    rows = docs.where("doc_id % 3 <> 1").select("text", "lang").collect()
+    model = langid.fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    judge = langid.Predictor(model)
+    assert all(judge.score(t)[1] < model.threshold for t in ("日本語のテキスト", "привет мир как дела"))
+    assert np.isfinite(model.logits).all()
+
+
+# 1 ---------------------------------------------------------------------------------------------------------------
+def test_seeds_miss_nothing():
+    for n in range(13, 21):
+        for gone in combinations(range(n), n // 5):
+            left = set(range(n)) - set(gone)
+            assert any({at + o for o in mask} <= left for mask in decontamination.SEEDS for at in range(n - mask[-1]))
+
+
+def brute_overlap(doc, item):
+    """Whether some diagonal has a stretch of at least 13 tokens, four fifths the same (short items: whole and equal)."""
+    n = len(item)
+    if n < 5:
+        return False
+    for start in range(-n, len(doc)):
+        same = [0 <= start + k < len(doc) and doc[start + k] == item[k] for k in range(n)]
+        inside = [k for k in range(n) if 0 <= start + k < len(doc)]
+        if n < 13:
+            if len(inside) == n and all(same):
+                return True
+            continue
+        for a in range(len(inside)):
+            for b in range(a + 13, len(inside) + 1):
+                if sum(same[k] for k in inside[a:b]) * 5 >= 4 * (b - a):
+                    return True
+    return False
+
+
+def test_decontamination(spark, sf, docs):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = {r["item_id"]: decontamination.tokens(r["text"]) for r in bench.collect()}
+    some = {r["doc_id"]: r["text"] for r in docs.where("n_chars < 1500").limit(40).collect()}
+    words = items[3]
+    changed = [w if k % 5 else "zz" for k, w in enumerate(words)]
+    planted = {90_001: "before " * 7 + " ".join(changed) + " after" * 5, 90_002: " ".join(words[4:20]).upper(), 90_003: " ".join(words[:12]), 90_004: ", ".join(w if k % 3 else "qq" for k, w in enumerate(words)), 90_005: " ".join(words) + ". " + " ".join(items[4])}
+    texts = {**some, **planted, 90_006: "", 90_007: "the " * 20_000}
+    df = spark.createDataFrame(list(texts.items()) + [(90_008, None)], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, bench).collect()}
+    wanted = {(d, i) for d, t in texts.items() if d < 90_007 for i, w in items.items() if brute_overlap(decontamination.tokens(t), w)}
+    assert found == wanted and {(90_001, 3), (90_002, 3), (90_005, 3), (90_005, 4)} <= found and not {d for d, _ in found} & {90_003, 90_004, 90_006, 90_007}
+    left = {r["doc_id"] for r in decontamination.drop_contaminated(df, bench).collect()}
+    assert left == set(texts) - {d for d, _ in found} | {90_008}
+    assert decontamination.contaminated(none_of(spark), bench).count() == 0
+    assert decontamination.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_decontamination_in_blocks(spark, sf, docs, monkeypatch):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted(tuple(r) for r in decontamination.contaminated(docs, bench).collect())
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 3000)
+    assert whole and sorted(tuple(r) for r in decontamination.contaminated(docs, bench).collect()) == whole
+
+
+# 2 ---------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("", ""),
+        ("a  b\n c", "a b c"),
+        ("<title>t</title><p>a<p>b", "a\n\nb"),
+        ("<div>a</div><div>b<br>c</div>", "a\nb\nc"),
+        ("<ul><li>one<li>two<ol start=3><li>x<li>y</ol></ul>", "- one\n- two\n  3. x\n  4. y"),
+        ("<table><tr><th>Name<th>N<tr><td>abc<td>1<tr><td colspan=2>wide</table>", "Name  N\nabc   1\nwide"),
+        ("<p>a<span hidden>b</span><span style='display : none'>c</span><script>var x='</p>'</script>d</p>", "ad"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b></div>c", "b\nc"),
+        ("<pre>a\n  b</pre>", "a\n  b"),
+        ("<details><summary>S</summary>x</details><details open><summary>T</summary>y</details>", "S\nT\ny"),
+        ("a&lt;b&nbsp;c &copy;<!-- no --> d", "a<b c © d"),
+        ("<p>a</b></i>b</p></div>c", "ab\n\nc"),
+        ("<a href='x>y'>z</a> <a title=\"unclosed>w", "z"),
+        ("<dl><dt>t<dd>d</dl>", "t\n  d"),
+        ("x<textarea> a\n b</textarea>", "x a\n b"),
+        ("a < b > c", "a < b > c"),
+    ],
+)
+def test_html(page, wanted):
+    assert html_text.visible_text(page) == wanted
+
+
+def test_html_odd(spark, sf):
+    pages = spark.createDataFrame([(1, None, "x", "y"), (2, "<p>" * 30_000 + "a", "x", "y"), (3, "<table>" * 300 + "b", "x", "y"), (None, "c", "x", "y")], "page_id long, html string, text string, url string")
+    found = {r["page_id"]: r["text"] for r in html_text.page_texts(pages).collect()}
+    assert found == {1: "", 2: "a", 3: "b", None: "c"}
+    assert html_text.rendered(pages).columns == ["page_id", "html", "url", "text"]
+    real = spark.read.parquet(f"{sf}/pages.parquet")
+    assert html_text.page_texts(real).where("text LIKE '%track(%' OR text LIKE '%margin:0%' OR n_chars = 0").count() == 0
+
+
+# 4 ---------------------------------------------------------------------------------------------------------------
+def test_tool_calls(spark):
+    schemas = {"add": {"a": (("BIGINT", "DOUBLE"), True), "b": (("BIGINT",), False)}}
+    calls = [
+        (1, "r", 0, "add", '{"b": 2, "a": 1}', None), (1, "s", 1, "add", '{"a": 1.5}', "r"), (1, "t", 2, "add", '{"a": 1}', "s"), (1, "r", 3, "add", "{}", None), (1, "u", 4, "add", "[1]", None), (1, "v", 5, "add", '{"a":"x"}', None),
+        (1, "w", 6, "add", '{"a":1,"z":1}', None), (1, "x", 7, "no", '{"a":1}', None), (1, "y", 8, "add", '{"a":1}', "gone"), (1, "p", 9, "add", '{"a":1}', "q"), (1, "q", 10, "add", '{"a":1}', "p"), (1, None, 11, "add", "{}", None), (2, "r", 0, "add", '{"a":1}', None), (1, "n", 12, "add", None, None),
+    ]
+    results = [(1, c[1], i, f'say "{c[1]}"\n') for i, c in enumerate(calls) if c[0] == 1] + [(1, "orphan", 0, "x"), (1, "t", 99, None)]
+    df = tool_calls.linked(spark.createDataFrame(calls, "conv long, id string, seq long, tool string, arguments string, parent string"), spark.createDataFrame(results, "conv long, id string, seq long, content string"), schemas)
+    found = {(r["conv"], r["call_id"]): r for r in df.collect()}
+    assert {k[1]: r["status"] for k, r in found.items() if k[0] == 1} == {"r": "ok", "s": "ok", "t": "ok", "u": "bad_json", "v": "bad_arguments", "w": "bad_arguments", "x": "unknown_tool", "y": "lost_parent", "p": "cyclic", "q": "cyclic", "n": "bad_json"}
+    assert found[2, "r"]["status"] == "pending" and found[1, "t"]["depth"] == 2 and found[1, "p"]["depth"] is None and found[1, "t"]["n_results"] == 2
+    assert found[1, "r"]["json"] == '{"arguments":{"a":1,"b":2},"call_id":"r","depth":0,"name":"add","result":"say \\"r\\"\\n"}'
+    assert all(json.loads(r["json"]) for r in found.values())
+
+
+def test_tool_call_chain(spark):
+    calls = spark.range(100).select(F.lit(1).alias("conv"), F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"))
+    assert {int(r["id"]): r["depth"] for r in tool_calls.depths(calls).collect()} == {i: i for i in range(100)}
+
+
+# 8 ---------------------------------------------------------------------------------------------------------------
+def test_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n"
+    rows = [(1, None), (2, ""), (3, "Text.\nReleased under the MIT License.\nReleased under the MIT License."), (4, mit), (5, mit + 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'), (6, "released under the mit licence"), (7, mit.split("\n")[0] + "\n" + "Line.\n" * 9 + mit.split("\n")[2])]
+    found = [(r["doc_id"], r["rule"]) for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert found == [(3, "mit_notice"), (4, "mit_grant"), (5, "mit_text")]
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------
+def test_language_model(docs, local):
+    found = {r["doc_id"]: r for r in language_model.scored(docs).collect()}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) + ["\n"]
+    counts = Counter(w for d, t in local.items() if zlib.crc32(str(d).encode()) % 5 != 1 for w in split(t))
+    total, distinct = sum(counts.values()), len(counts)
+    for d, t in local.items():
+        words, r = split(t), found[d]
+        base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), total)
+        assert abs(r["base_score"] - base) <= 1e-9 * abs(base) + 1e-9
+        assert r["score"] < 0 and r["score"] > base + len(words) * math.log10(1 - language_model.MIX) - 1e-6
+    held = [r for r in found.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_language_model_rare_tokens(docs, monkeypatch):
+    """Scores don't depend on how many counts are shipped and how many are joined."""
+    whole = {r["doc_id"]: r["base_score"] for r in language_model.scored(docs).collect()}
+    monkeypatch.setattr(language_model, "FREQUENT", 300)
+    for r in language_model.scored(docs).collect():
+        assert abs(r["base_score"] - whole[r["doc_id"]]) < 1e-6
+
+
+def test_language_model_odd(spark, odd):
+    found = language_model.scored(odd).collect()
+    assert len(found) == odd.count() and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in found)
+    assert {r["n_tokens"] for r in found if r["doc_id"] in (0, 1, 2)} == {1}
+    assert language_model.scored(none_of(spark)).count() == 0
+    nobody = odd.where("doc_id = 4").withColumn("doc_id", F.lit(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)))
+    assert {r["n_known"] for r in language_model.scored(nobody).collect()} == {0}
+
+
+def test_gru_gradients():
+    """Backpropagation against differences, and probabilities that sum to one."""
+    rng = np.random.default_rng(0)
+    w = gru.start(rng.integers(1, 50, 2 * gru.CLASS).astype(float))
+    for name in ("into", "over", "classes", "words"):
+        setattr(w, name, rng.normal(0, 0.3, getattr(w, name).shape))
+    for name in ("class_bias", "word_bias"):
+        setattr(w, name, getattr(w, name).astype(np.float64))
+    docs = [rng.integers(0, 2 * gru.CLASS, n).astype(np.int32) for n in (7, 4, 3)]
+    target, place, fresh = gru.lanes_of(docs, 2)
+    trainer = gru.Trainer(w)
+    h = np.zeros((2, gru.HIDDEN))
+    last = np.zeros(2, np.int32)
+    loss = lambda: trainer.gradients(h, last, target, place >= 0, fresh, 0)
+    value, grads, per_class, (rows, d_into), _, _ = loss()
+    n = int((place >= 0).sum())
+    assert abs(value + gru.score(w, docs, 0).sum()) < 1e-3
+    words = np.zeros_like(w.words)
+    for s, g, _ in per_class:
+        words[s] = g
+    into = np.zeros_like(w.into)
+    into[rows] = d_into
+    for name, grad in (("over", grads["over"]), ("classes", grads["classes"]), ("class_bias", grads["class_bias"]), ("words", words), ("into", into)):
+        array = getattr(w, name)
+        for at in zip(*(rng.integers(0, k, 6) for k in array.shape), strict=True):
+            keep, step = array[at], 1e-5
+            array[at] = keep + step
+            up = loss()[0]
+            array[at] = keep - step
+            down = loss()[0]
+            array[at] = keep
+            assert abs((up - down) / (2 * step) / n - grad[at]) < 1e-4, name
+    state = rng.normal(size=(1, gru.HIDDEN))
+    every = gru.log_probabilities(w, np.repeat(state, 2 * gru.CLASS, 0), np.arange(2 * gru.CLASS))
+    assert abs(np.exp(every).sum() - 1) < 1e-6
+
+
+# 10 --------------------------------------------------------------------------------------------------------------
+def test_shards(spark, docs, odd):
+    for df in (docs, odd, none_of(spark), spark.range(3000).select(F.lit(5).alias("doc_id"), F.lit("same").alias("text"))):
+        rows = sharding.document_shards(df).collect()
+        assert len(rows) == df.count()
+        total, largest = sum(r["size"] for r in rows), max((r["size"] for r in rows), default=0)
+        for k in range(8):
+            own = [r for r in rows if r["shard"] == k]
+            assert sorted(r["slot"] for r in own) == list(range(len(own)))
+            assert abs(sum(r["size"] for r in own) - total / 8) <= largest
+    for r in sharding.document_shards(odd).join(odd.select("doc_id", "text"), "doc_id").where("doc_id <> 4").collect():
+        assert (r["size"], r["text_crc32"]) == (len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()))
+
+
+def test_write_shards(spark, docs, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == docs.count() and {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2}
