@@ -36,8 +36,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, else unchanged (the join then shuffles).
 
-    df must be cheap to count: a materialised table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    df must be cheap to count: a materialised table, whose files tell their row counts."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -31,7 +31,7 @@ from loomgate.llm.common import materialise, text_of, type_of, without
 #: Offsets that count. The first two cover all stretches of 13 to 20 tokens of which a fifth is substituted.
 SEEDS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 7))
 MIN_TOKENS, SIMILARITY, LEAST_ITEM = 13, 0.8, 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Tokens that are looked up at once in a task.
 _CHUNK = 400_000
 _tokens = re.compile(r"\w+").findall

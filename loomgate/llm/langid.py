@@ -3,7 +3,7 @@
 A word's subwords are its character 2- to 4-grams and itself, with marks at both ends, hashed
 into buckets. A text is the mean of the embeddings of all subwords of all its words. Embeddings and
 softmax are trained together by stochastic gradient descent in numpy, on a bounded sample of labelled rows
-(PER_LANGUAGE texts of at most MAX_BYTES for each language). A fifth of the sample is kept out of the training; there a
+(PER_LANGUAGE texts of at most MAX_BYTES for each language, and about SAMPLE in all). A fifth of the sample is kept out of the training; there a
 temperature is fitted, so that scores are probabilities, and the rejection threshold is set: the
 score that all but REJECT of the kept-out texts reach, at most MAX_THRESHOLD.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomgate.llm.common import type_of, unused
 
-PER_LANGUAGE, MAX_BYTES, MAX_LANGUAGES = 600, 40_000, 200
+PER_LANGUAGE, SAMPLE, MAX_BYTES, MAX_LANGUAGES = 600, 6000, 20_000, 200
 BUCKETS, DIM, EPOCHS, RATE, STEP = 1 << 16, 16, 3, 10.0, 0.3
 REJECT, MAX_THRESHOLD = 0.002, 0.5
 UNKNOWN = "und"
@@ -174,15 +174,16 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     counts = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    share = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, 1.2 * PER_LANGUAGE / r["count"]) * 1e6))]), F.col(lang_col)), F.lit(0))
+    each = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    share = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, 1.2 * each / r["count"]) * 1e6))]), F.col(lang_col)), F.lit(0))
     small = F.octet_length(text_col) <= MAX_BYTES
     hashed = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000))
     picked = labelled.where(F.col(lang_col).isin([r["lang"] for r in counts]) & small & (hashed < share)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), hashed.alias("h"))
-    rows = sorted(picked.limit(2 * PER_LANGUAGE * len(counts)).collect(), key=lambda r: (r["h"], r["text"]))
+    rows = sorted(picked.limit(2 * each * len(counts)).collect(), key=lambda r: (r["h"], r["text"]))
     kept: list = []
     taken: dict[str, int] = {}
     for r in rows:
-        if taken.get(r["lang"], 0) < PER_LANGUAGE and _words(r["text"]):
+        if taken.get(r["lang"], 0) < each and _words(r["text"]):
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
             kept.append(r)
     if not kept:
