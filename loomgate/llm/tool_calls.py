@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loomgate.llm.common import materialise
 
-#: tool -> field -> (types as schema_of_variant names them, required)
+#: tool -> field -> (types: BIGINT, DOUBLE, STRING, BOOLEAN, VOID, ARRAY, OBJECT; required)
 Schemas = dict[str, dict[str, tuple[tuple[str, ...], bool]]]
 
 
@@ -56,7 +56,8 @@ def argument_faults(tool: Column, arguments: Column, schemas: Schemas) -> Column
     for name, fields in schemas.items():
         good = F.size(F.array_except(F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>")), F.array(*map(F.lit, fields)))) == 0
         for field, (types, required) in fields.items():
-            kind = F.schema_of_variant(F.try_variant_get(value, f"$['{field}']", "variant"))
+            whole = F.regexp_extract(F.schema_of_variant(F.try_variant_get(value, f"$['{field}']", "variant")), "^[A-Z]+", 0)
+            kind = F.when(whole == "DECIMAL", "DOUBLE").otherwise(whole)
             good = good & F.coalesce(kind.isin(*types), F.lit(not required))
         fits = F.when(tool == name, good).otherwise(fits)
     return F.when(~is_object, "bad_json").when(fits.isNull(), "unknown_tool").when(~fits, "bad_arguments")
