@@ -98,7 +98,7 @@ def _workbook(found: DataFrame, out: str) -> DataFrame:
         cells = ([None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r] for r in group.sort_values("__ord")[fields].itertuples(index=False))
         return pd.DataFrame({"name": [out], "content": [packages.workbook([("Data", fields, cells)])]})
 
-    return found.groupBy(F.lit(1)).applyInPandas(one, "name string, content binary")
+    return found.groupBy().applyInPandas(one, "name string, content binary")
 
 
 def _database(spark: SparkSession, task: Task) -> DataFrame:

@@ -1,6 +1,7 @@
 """SQLite files as a Python data source: one partition for each range of row ids, filters pushed into the query.
 
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.read.format("loomgate_sqlite").option("path", file).option("table", name).load()
 
 The file has to be readable at the same path on every executor."""
@@ -112,5 +113,6 @@ class SqliteSource(DataSource):
 def read(spark: SparkSession, path: str, table: str | None = None) -> dict[str, DataFrame]:
     """Tables of a database file by name."""
     spark.dataSource.register(SqliteSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     load = lambda t: spark.read.format("loomgate_sqlite").option("path", path).option("table", t).load()
     return {t: load(t) for t in ([table] if table else tables(path))}
