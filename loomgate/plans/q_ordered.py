@@ -79,7 +79,7 @@ def skeleton_fragment_positions(spark, d):
 
 
 def section_tree(spark, d):
-    nodes = table(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") >= 10, F.floor(F.col("o_orderkey") / 3)).alias("parent"))
+    nodes = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") >= 10, F.floor(F.col("o_orderkey") / 3)).alias("parent"))
     return lookups.tree_depths(nodes, "node", "parent")
 
 
@@ -148,7 +148,7 @@ SQL = {
     "asof_section": "WITH s AS (SELECT o_custkey, o_totalprice AS e, min(o_orderkey) AS k FROM orders GROUP BY ALL) SELECT o.o_orderkey AS point, (SELECT arg_min(k, e) FROM s WHERE s.o_custkey = o.o_custkey AND s.e > o.o_totalprice * 0.9 + 20000) AS section FROM orders o",
     "skeleton_fragment_positions": """WITH h AS (SELECT o_custkey AS key, o_orderkey AS head, o_orderkey % 3 AS wants, sum(o_orderkey % 3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS e FROM orders),
         i AS (SELECT l_partkey AS key, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS place FROM lineitem) SELECT h.key, head, place, l_orderkey, l_linenumber FROM h JOIN i ON h.key = i.key AND place >= e - wants AND place < e""",
-    "section_tree": "WITH RECURSIVE n AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey >= 10 THEN o_orderkey // 3 END AS parent FROM orders WHERE o_orderkey < 2000), w AS (SELECT node, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.node, depth + 1 FROM w JOIN n ON n.parent = w.node) SELECT node, depth FROM w",
+    "section_tree": "WITH RECURSIVE n AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey >= 10 THEN o_orderkey // 3 END AS parent FROM orders), w AS (SELECT node, 0 AS depth FROM n WHERE parent IS NULL UNION ALL SELECT n.node, depth + 1 FROM w JOIN n ON n.parent = w.node) SELECT node, depth FROM w",
     "weighted_mode": "WITH s AS (SELECT l_suppkey, l_returnflag, sum(l_quantity::BIGINT)::BIGINT AS weight, min(l_orderkey * 8 + l_linenumber) AS f FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY weight DESC, f) AS rn FROM s) SELECT l_suppkey, l_returnflag AS mode, weight FROM r WHERE rn = 1",
     "upper_median": "SELECT l_suppkey, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY l_suppkey",
     "weighted_mean": "SELECT l_suppkey, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS mean FROM lineitem GROUP BY l_suppkey",
