@@ -28,6 +28,8 @@ from loomgate.llm.common import type_of, unused
 
 #: Entries at which a worker's memories of words, of matches and of token pairs are emptied; some 200 MB for all.
 WORDS, PIECES, PAIRS = 400_000, 150_000, 400_000
+#: Fixed value: the pattern for which encode() may go word by word (see there); others are split as a whole.
+WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space between other white space: there the pattern looks further than the space.
 _INNER_SPACE = regex.compile(r"\s \s").search
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -51,7 +53,7 @@ class Coder:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.by_words = pattern == default_vocabulary()[1]  # the shortcut of encode() is proved for this pattern only
+        self.by_words = pattern == WORD_PATTERN
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
