@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgate.operators.ordered import carried, running_offsets
+from loomgate.operators.ranges import materialise
+
 
 def in_range(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str, width: int) -> DataFrame:
     """Pairs with start <= at < end. Both sides are cut into stretches of `width` and joined by
@@ -20,24 +23,31 @@ def next_section(points: DataFrame, key: str, at: str, sections: DataFrame, end:
     kind = sections.schema
     left = points.select(F.struct("*").alias("p"), F.col(key).alias("__k"), F.col(at).cast("double").alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(f"struct<{','.join(f'`{c}`:{kind[c].dataType.simpleString()}' for c in payload)}>").alias("s"))
     right = sections.select(F.lit(None).cast(left.schema["p"].dataType).alias("p"), F.col(key).alias("__k"), F.col(end).cast("double").alias("__at"), F.lit(-1).alias("__side"), F.struct(*payload).alias("s"))
-    w = Window.partitionBy("__k").orderBy("__at", "__side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = left.unionByName(right).withColumn("found", F.first("s", ignorenulls=True).over(w)).where("p IS NOT NULL")
+    both = left.unionByName(right).withColumns({"__at": -F.col("__at"), "__side": -F.col("__side")})
+    found = carried(both, ["__k"], ["__at", "__side"], F.col("s"), "found").where("p IS NOT NULL")
     return found.select("p.*", *[F.col(f"found.{c}").alias(c) for c in payload])
 
 
 def dealt_by_count(heads: DataFrame, head_order: str, count: str, items: DataFrame, item_place: str, keys: list[str]) -> DataFrame:
     """Each head takes the next `count` items of its key: pairs of heads and items. Items are numbered from 0 in item_place."""
-    w = Window.partitionBy(*keys).orderBy(head_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = heads.withColumn("__end", F.sum(count).over(w)).withColumn("__place", F.col("__end") - F.col(count)).where(f"{count} > 0")
-    each = spans.withColumn(item_place, F.explode(F.expr("sequence(__place, __end - 1)"))).drop("__place", "__end")
+    spans = running_offsets(heads, keys, [head_order], count).where(f"{count} > 0")
+    each = spans.withColumn(item_place, F.explode(F.expr("sequence(start, end - 1)"))).drop("start", "end")
     return each.join(items, [*keys, item_place])
 
 
 def tree_depths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """node, depth of all nodes below the roots (null parent), by SQL recursion."""
-    nodes.createOrReplaceTempView("__tree_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk AS (
-          SELECT {node}, 0 AS depth FROM __tree_nodes WHERE {parent} IS NULL
-          UNION ALL SELECT n.{node}, w.depth + 1 FROM walk w JOIN __tree_nodes n ON n.{parent} = w.{node})
-        SELECT {node}, depth FROM walk""")
+    """node, depth of all nodes below the roots (null parent); nodes behind a lost parent or on a circle are left out.
+
+    By pointer doubling: in each round a node takes over the pointer of the one that it points to, so rounds grow with the
+    logarithm of the depth. A circle never ends; the doubling stops when only nodes on or behind circles point on."""
+    state = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    state = materialise(state.where("node IS NOT NULL"), "tree")
+    open_nodes = state.where("up IS NOT NULL").count()
+    rounds = max(1, state.count()).bit_length()  # enough for a single chain of all nodes
+    for _ in range(rounds):
+        if not open_nodes:
+            break
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        state = materialise(state.where("up IS NOT NULL").join(above, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth")).unionByName(state.where("up IS NULL")), "tree")
+        open_nodes = state.where("up IS NOT NULL").count()
+    return state.where("up IS NULL").select(F.col("node").alias(node), F.col("depth").cast("int").alias("depth"))

@@ -1,21 +1,24 @@
-"""Ordered operations: islands, offsets, carried values, unique names."""
+"""Ordered operations: islands, offsets, carried values, unique names. Groups may be of any size (see ranges)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgate.operators import ranges
 
-def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str = "island") -> DataFrame:
-    """df with the number of the island of each row, from 0; a row where breaks holds begins a new one.
+_PLACES = (ranges.PART, ranges.AT)
 
-    breaks may use F.lag over windows_of(keys, order)."""
-    w = windows_of(keys, order)
-    return df.withColumn("__new", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
 
+def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Callable[[Column], Column], needs: list[str], name: str = "island") -> DataFrame:
+    """df with the number of the island of each row, from 0; a row where breaks holds begins a new one.
 
-def windows_of(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys).orderBy(*order)
+    breaks gets a struct of the columns `needs` of the row before (null for the first row of a group)."""
+    placed = ranges.row_before(ranges.ranged(df, keys, order), keys, needs, "__before")
+    new = F.coalesce(breaks(F.col("__before")), F.lit(False)).cast("int")
+    return ranges.sums_to_here(placed, keys, {name: new}).drop("__before", *_PLACES)
 
 
 def joined_text(df: DataFrame, keys: list[str], text: str, order: list[str], separator: str) -> DataFrame:
@@ -24,34 +27,53 @@ def joined_text(df: DataFrame, keys: list[str], text: str, order: list[str], sep
 
 
 def running_offsets(df: DataFrame, keys: list[str], order: list[str], length: str) -> DataFrame:
-    """df with start and end: each row begins where the one before ends."""
-    end = F.sum(length).over(windows_of(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("end", end).withColumn("start", F.col("end") - F.col(length))
+    """df with start and end: each row begins where the one before ends. A null length counts as 0."""
+    found = ranges.sums_to_here(ranges.ranged(df, keys, order), keys, {"end": F.col(length)})
+    return found.withColumn("start", F.col("end") - F.coalesce(length, F.lit(0))).drop(*_PLACES)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """df with the number of the row in its group, from 1."""
+    return ranges.sums_to_here(ranges.ranged(df, keys, order), keys, {name: F.lit(1).cast("long")}).drop(*_PLACES)
 
 
 def lead_ranges(df: DataFrame, keys: list[str], offset: str) -> DataFrame:
     """df with end: the next offset, null for the last."""
-    return df.withColumn("end", F.lead(offset).over(windows_of(keys, [offset])))
+    placed = ranges.ranged(df.withColumn("__down", -F.col(offset)), keys, ["__down"])
+    return ranges.row_before(placed, keys, [offset], "__next").withColumn("end", F.col(f"__next.`{offset}`")).drop("__down", "__next", *_PLACES)
 
 
 def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """df with the last value that isn't null, up to each row."""
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(windows_of(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return ranges.last_to_here(ranges.ranged(df, keys, order), keys, value, name).drop(*_PLACES)
 
 
 def running_mean(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "mean") -> DataFrame:
-    return df.withColumn(name, F.avg(value).over(windows_of(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """df with the mean of the values up to each row, nulls left out."""
+    sums = ranges.sums_to_here(ranges.ranged(df, keys, order), keys, {"__sum": F.col(value), "__n": F.col(value).isNotNull().cast("long")})
+    return sums.withColumn(name, F.try_divide("__sum", "__n")).drop("__sum", "__n", *_PLACES)
 
 
 def numbered_names(df: DataFrame, keys: list[str], name: str, order: list[str], out: str = "unique_name") -> DataFrame:
-    """df with names made unique: the first keeps its name, the others get -2, -3, … before the extension.
+    """df with names made unique in each group: the first of equal names keeps it, the others get -2, -3, … before the extension.
 
-    A made name may be one that stands in the data itself; those are numbered on in further rounds, until all differ.
-    Windows are over equal names, not over the whole group."""
+    Numbers with which a made name would be one that stands in the data are passed over. Repeats
+    of names with the same stem and extension share their numbers, so that no two made names are equal. A
+    taken number t, the i-th of its stem, has t - 2 - i free ones before it; put in one order with the repeats, running counts of the taken give each repeat its number."""
     base, ext = F.regexp_replace(name, r"\.[^.]+$", ""), F.regexp_extract(F.lower(name), r"\.([a-z0-9]+)$", 1)
     stem = F.when(F.length(base) > 0, base).otherwise("converted-file")
-    place = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))
-    return df.withColumn("__n", place).withColumn(out, F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("__n"), F.when(ext != "", F.concat(F.lit("."), ext)).otherwise("")))).drop("__n")
+    places = numbered(df.withColumns({"__stem": stem, "__ext": ext}), [*keys, name], order, "__n")
+    firsts, repeats = places.where("__n = 1"), places.where("__n > 1")
+    group = [*keys, "__stem", "__ext"]
+    tail = F.regexp_extract("__stem", r"^(.*)-([1-9][0-9]{0,8})$", 2)
+    exact = F.concat("__stem", F.when(F.col("__ext") != "", F.concat(F.lit("."), "__ext")).otherwise(""))  # what made names look like
+    taken = firsts.where((tail != "") & (F.col(name) == exact)).select(*keys, F.regexp_extract("__stem", r"^(.*)-([1-9][0-9]{0,8})$", 1).alias("__stem"), "__ext", tail.cast("long").alias("__t")).where("__t >= 2")
+    taken = numbered(taken, group, ["__t"], "__i").select(*group, (F.col("__t") - 1 - F.col("__i")).alias("__at0"), F.lit(0).alias("__side"), F.lit(1).cast("long").alias("__one"))
+    waiting = numbered(repeats, group, order, "__r")
+    both = waiting.withColumns({"__at0": F.col("__r") - 1, "__side": F.lit(1), "__one": F.lit(0).cast("long")}).unionByName(taken, allowMissingColumns=True)
+    passed = ranges.sums_to_here(ranges.ranged(both, group, ["__at0", "__side"]), group, {"__passed": F.col("__one")}).where("__side = 1")
+    made = F.concat("__stem", F.lit("-"), (F.col("__at0") + 2 + F.col("__passed")).cast("string"), F.when(F.col("__ext") != "", F.concat(F.lit("."), "__ext")).otherwise(""))
+    return firsts.select(*df.columns, F.col(name).alias(out)).unionByName(passed.select(*df.columns, made.alias(out)))
 
 
 def padded_label(place: Column, total: Column, prefix: str) -> Column:

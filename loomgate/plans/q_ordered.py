@@ -16,17 +16,14 @@ _PLACE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 def user_event_islands(spark, d):
     events = table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL 6 HOURS")
-    found = ordered.islands(events, ["user_id"], ["ts", "event_id"], gap)
+    found = ordered.islands(events, ["user_id"], ["ts", "event_id"], lambda before: F.col("ts") - before["ts"] > F.expr("INTERVAL 6 HOURS"), ["ts"])
     return ordered.joined_text(found, ["user_id", "island"], "event_type", ["ts", "event_id"], " ")
 
 
 def text_lines_by_gap(spark, d):
     """Pieces of a page to lines: a new one where the height changes by more than 4. Line items are pieces, quantity the height."""
-    w = Window.partitionBy("l_orderkey").orderBy(*_PLACE)
     items = table(spark, d, "lineitem")
-    found = ordered.islands(items, ["l_orderkey"], _PLACE, F.abs(F.col("l_quantity") - F.lag("l_quantity").over(w)) > 4, "line")
+    found = ordered.islands(items, ["l_orderkey"], _PLACE, lambda before: F.abs(F.col("l_quantity") - before["l_quantity"]) > 4, ["l_quantity"], "line")
     return ordered.joined_text(found.withColumn("text", F.concat("l_returnflag", "l_linestatus")), ["l_orderkey", "line"], "text", _PLACE, " ")
 
 
@@ -58,7 +55,7 @@ def gap_spaces(spark, d):
 
 def range_join_offsets(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    spans = ordered.running_offsets(docs.withColumn("one", F.lit(1)), ["one"], ["doc_id"], "n_chars").select("doc_id", "start", "end")
+    spans = ordered.running_offsets(docs, [], ["doc_id"], "n_chars").select("doc_id", "start", "end")
     points = table(spark, d, "events").select("event_id", (F.col("event_id") * 211).alias("at"))
     return lookups.in_range(points, "at", spans, "start", "end", 4096).select("event_id", "at", "doc_id")
 
@@ -73,9 +70,9 @@ def asof_section(spark, d):
 
 def skeleton_fragment_positions(spark, d):
     heads = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("head"), (F.col("o_orderkey") % 3).alias("wants"))
-    items = table(spark, d, "lineitem").select((F.col("l_suppkey") % 100).alias("s"), F.col("l_partkey").alias("key"), "l_orderkey", "l_linenumber")
-    items = items.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("l_orderkey", "l_linenumber")) - 1)
-    return lookups.dealt_by_count(heads, "head", "wants", items.drop("s"), "place", ["key"]).select("key", "head", "place", "l_orderkey", "l_linenumber")
+    items = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), "l_orderkey", "l_linenumber")
+    items = ordered.numbered(items, ["key"], ["l_orderkey", "l_linenumber"], "place").withColumn("place", F.col("place") - 1)
+    return lookups.dealt_by_count(heads, "head", "wants", items, "place", ["key"]).select("key", "head", "place", "l_orderkey", "l_linenumber")
 
 
 def section_tree(spark, d):
@@ -115,9 +112,9 @@ def unique_names(spark, d):
 
 
 def padded_labels(spark, d):
-    w = Window.partitionBy("source")
-    place = F.row_number().over(w.orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", ordered.padded_label(place, F.count("*").over(w), "-page-").alias("label"))
+    docs = table(spark, d, "documents").select("source", "doc_id")
+    placed = ordered.numbered(docs, ["source"], ["doc_id"]).join(docs.groupBy("source").agg(F.count("*").alias("n")), "source")
+    return placed.select("doc_id", ordered.padded_label(F.col("place"), F.col("n"), "-page-").alias("label"))
 
 
 def tar_header_fields(spark, d):
@@ -126,9 +123,10 @@ def tar_header_fields(spark, d):
 
 
 def numeric_suffix_sort(spark, d):
-    names = table(spark, d, "documents").select(F.concat(F.lit("ppt/slides/slide"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 7 == 0, ".rels").otherwise(".xml")).alias("name"))
+    """Names of slides and of their relations; slides only, in the order of their numbers."""
+    names = table(spark, d, "documents").select(F.explode(F.array(*[F.concat(F.lit("ppt/slides/"), F.lit(start), F.col("doc_id").cast("string"), F.lit(end)) for start, end in (("slide", ".xml"), ("_rels/slide", ".xml.rels"))])).alias("name"))
     kept = names.where(F.col("name").rlike(r"(?i)^ppt/slides/slide\d+\.xml$"))
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy(F.length("name")).orderBy(F.regexp_extract("name", r"slide(\d+)", 1).cast("long"))))
+    return ordered.numbered(kept.withColumn("number", F.regexp_extract("name", r"slide(\d+)", 1).cast("long")), [], ["number"]).select("name", "place")
 
 
 QUERIES = {f.__name__: f for f in (user_event_islands, text_lines_by_gap, running_offsets, lead_ranges, carried_section, running_means, gap_spaces, range_join_offsets, asof_section, skeleton_fragment_positions, section_tree, weighted_mode, upper_median, weighted_mean, bbox_extents, topk_share, size_guard, unique_names, padded_labels, tar_header_fields, numeric_suffix_sort)}
@@ -158,5 +156,5 @@ SQL = {
     "unique_names": "WITH n AS (SELECT p_partkey, p_brand || '.txt' AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) SELECT p_partkey, name, CASE WHEN k = 1 THEN name ELSE replace(name, '.txt', '') || '-' || k || '.txt' END AS unique_name FROM n",
     "padded_labels": "SELECT doc_id, '-page-' || lpad((row_number() OVER (PARTITION BY source ORDER BY doc_id))::VARCHAR, length((count(*) OVER (PARTITION BY source))::VARCHAR)::INT, '0') AS label FROM documents",
     "tar_header_fields": "SELECT doc_id, lpad(to_base(strlen(text), 8), 11, '0') AS size, '0000644' AS mode, 136 AS length, (ceil(strlen(text) / 512.0) * 512 + 512)::BIGINT AS padded FROM documents",
-    "numeric_suffix_sort": r"WITH n AS (SELECT 'ppt/slides/slide' || doc_id || '.xml' AS name, doc_id FROM documents WHERE doc_id % 7 <> 0) SELECT name, (row_number() OVER (PARTITION BY length(name) ORDER BY doc_id))::INT AS place FROM n",
+    "numeric_suffix_sort": "SELECT 'ppt/slides/slide' || doc_id || '.xml' AS name, row_number() OVER (ORDER BY doc_id) AS place FROM documents",
 }

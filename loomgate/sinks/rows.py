@@ -7,13 +7,14 @@ into one text per group, for groups that fit a document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, DecimalType, DoubleType, FloatType, MapType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
 from loomgate.functions.numbers import js_number
 from loomgate.functions.text import BOM, blob_text, escape_html, escape_xml_text, ini_value, json_string
 from loomgate.functions.times import iso_utc
+from loomgate.operators.ordered import numbered
 
 
 def as_text(f: StructField) -> Column:
@@ -126,8 +127,8 @@ def header(df: DataFrame, target: str, but: list[str]) -> str:
 def lines(df: DataFrame, target: str, order: list[str], keys: list[str] = [], place: Column | None = None) -> DataFrame:
     """keys, order and `line`: each row as the target format has it. INI numbers the rows of each group."""
     fields = _own(df, [*keys, *(c for c in order if c.startswith("__"))])
-    if target == "ini":
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) if place is None else place
+    if target == "ini" and place is None:
+        df, place = numbered(df, keys, order, "__place"), F.col("__place")
     made = {"csv": csv_line, "tsv": lambda f: csv_line(f, "\t"), "json": json_block, "ndjson": json_line, "xml": xml_row, "ini": lambda f: ini_section(f, place), "toml": toml_table, "yaml": yaml_item, "html": html_row}
     return df.select(*keys, *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], made[target](fields).alias("line"))
 
