@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgate.functions.markup import Node, Tree
-from loomgate.operators import aggregates, ordered
+from loomgate.operators import aggregates, lookups, ordered
 
 #: How far a piece may be from its line, in heights, points and shares of the page.
 TURN, TURN_STEP, BASE, BASE_HEIGHTS, RATIO, BACK, GAP_HEIGHTS, GAP_PAGE = 2.0, 1.0, 1.5, 0.35, (0.72, 1.38), 0.2, 1.6, 0.008
+#: Characters in a stretch in which pieces and colour runs meet.
+STRETCH = 256
 PIECE = ("x", "baseline", "width", "height", "rotation", "family", "bold", "italic", "colour", "eol")
 
 
@@ -61,10 +63,10 @@ def line_numbers(pieces: DataFrame, keys: list[str], order: str, page_width: flo
 def piece_colours(pieces: DataFrame, runs: DataFrame, keys: list[str], order: str, length: str, colour: str) -> DataFrame:
     """keys, order, colour: of each piece the colour of most of its characters, of equal ones the first.
 
-    Pieces and colour runs are two cuts of one text: both get offsets and are joined where they overlap on their page."""
+    Pieces and colour runs are two cuts of one text: both get offsets and are joined where they overlap."""
     spans = ordered.running_offsets(runs, keys, [order], length).select(*keys, F.col(order).alias("run"), colour, "start", "end")
     cut = ordered.running_offsets(pieces, keys, [order], length).select(*keys, order, F.col("start").alias("from"), F.col("end").alias("to"))
-    met = cut.join(spans, keys).withColumn("shared", F.least("to", "end") - F.greatest("from", "start")).where("shared > 0")
+    met = lookups.overlapping(cut, ("from", "to"), spans, ("start", "end"), keys, STRETCH).withColumn("shared", F.least("to", "end") - F.greatest("from", "start"))
     return aggregates.weighted_mode(met, [*keys, order], colour, F.col("shared"), "run").select(*keys, order, F.col("mode").alias(colour))
 
 

@@ -16,6 +16,15 @@ def in_range(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str
     return points.withColumn("__cell", F.floor(F.col(at) / width)).join(cells, "__cell").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__cell")
 
 
+def overlapping(left: DataFrame, left_span: tuple[str, str], right: DataFrame, right_span: tuple[str, str], keys: list[str], width: int) -> DataFrame:
+    """Pairs of equal keys whose half-open spans overlap. Both sides are cut into stretches of `width`; a pair counts in the
+    stretch where its overlap begins, so it comes once, and rows that are far apart in a group never meet."""
+    cut = lambda df, span: df.where(F.col(span[1]) > F.col(span[0])).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(span[0]) / width), F.floor((F.col(span[1]) - 1) / width))))
+    begin = F.greatest(left_span[0], right_span[0])
+    met = cut(left, left_span).join(cut(right, right_span), [*keys, "__cell"])
+    return met.where((begin < F.least(left_span[1], right_span[1])) & (F.floor(begin / width) == F.col("__cell"))).drop("__cell")
+
+
 def next_section(points: DataFrame, key: str, at: str, sections: DataFrame, end: str, payload: list[str]) -> DataFrame:
     """points with the payload of the first section whose end is beyond `at`, null if there is none.
 

@@ -132,6 +132,14 @@ def test_range_join(spark):
     assert found == {(p, s) for p in range(0, 60, 7) for s, e in ((0, 10), (10, 11), (20, 50), (5, 5)) if s <= p < e}
 
 
+def test_overlapping(spark):
+    a = [("p", s, s + n) for s, n in ((0, 3), (2, 30), (40, 0), (41, 2), (31, 1))] + [("q", 0, 9)]
+    b = [("p", s, s + n) for s, n in ((0, 1), (1, 50), (7, 8), (32, 9))] + [("r", 0, 9)]
+    left, right = spark.createDataFrame(a, "k string, s long, e long"), spark.createDataFrame(b, "k string, f long, t long")
+    found = [tuple(r) for r in lookups.overlapping(left, ("s", "e"), right, ("f", "t"), ["k"], 8).collect()]
+    assert sorted(found) == sorted((k, s, e, f, t) for k, s, e in a for j, f, t in b if k == j and max(s, f) < min(e, t))
+
+
 def test_rows_to_text(spark):
     df = spark.createDataFrame([(1, 1, None), (2, None, "x=y")], "o int, a int, b string")
     get = lambda target: row_sink.document(df.select("a", "b", F.col("o").alias("__o")), target, ["__o"]).first()["text"]
