@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join may be broadcast (a few tens of MB); above it the join shuffles.
-BROADCAST_ROWS = 500_000
-#: Used only where the session names no shared folder (local runs, tests).
-LOCAL_FALLBACK = "/tmp/loomgate-checkpoints"
-
+from loomgate.operators.ranges import materialise
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = LOCAL_FALLBACK
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+__all__ = ["bounded_broadcast", "materialise", "read", "text_of", "type_of", "unused", "without"]
 
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    It cuts the lineage and holds row order-dependent values still; as the files are shared,
-    a lost executor costs nothing that was finished."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgate-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows up to which a side of a join may be broadcast (a few tens of MB); above it the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
