@@ -4,7 +4,7 @@ Counts of all tokens come from all training documents (map-side sums, one shuffl
 tokens and BUCKETS classes of the others, by a hash of their first two bytes, are the network's tokens; a token of a
 bucket has the network's probability of the bucket times its smoothed share among the bucket's
 training tokens, so every text has a probability. The network (module gru) starts as the unigram model and is
-trained on one in SHARE of the training documents (more where that is under LEAST_TOKENS), which grows with the input: in ROUNDS rounds, each
+trained on all training documents at every size: each belongs to one of ROUNDS rounds by a hash of its text, and in a round each
 partition of about TRAINER_TOKENS tokens trains on its own documents and the weights are averaged. A token's
 probability is MIX of the network's and the rest of the base's.
 
@@ -36,7 +36,7 @@ from loomgate.llm.langid import crc_mod
 VOCABULARY, BUCKETS, FREQUENT = 4096, 64, 250_000
 #: Tokens scored at once in a task, some 60 bytes each; a document is never split.
 SCORED_TOKENS = 1_000_000
-SHARE, LEAST_TOKENS, ROUNDS, TRAINER_TOKENS = 16, 1_000_000, 2, 500_000
+ROUNDS, TRAINER_TOKENS = 2, 500_000
 #: Of a token's probability, what the network gives; the rest is the base's.
 MIX = 0.95
 #: The end token; no word holds a line end.
@@ -156,28 +156,29 @@ def _bucket_column():
     return F.xxhash64(F.substring("word", 1, 2)).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
+def of_round(texts: DataFrame, k: int) -> DataFrame:
+    """The texts that train in round k; each is in one round, equal ones in the same."""
+    return texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)
+
+
 def train(texts: DataFrame, lex: Lexicon) -> gru.Weights:
-    """texts (text), materialised. Rounds of training in the partitions and averaging between them."""
+    """texts (text). Rounds of training in the partitions and averaging between them, which pass over every text once."""
     spark = texts.sparkSession
     weights = gru.start(lex.unigrams)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if not size:
         return weights
-    trainers = max(1, round(size / 6 / TRAINER_TOKENS))
-    dealt = texts.repartition(trainers)
+    trainers = max(1, round(size / 6 / TRAINER_TOKENS / ROUNDS))
     groups = max(1, int(trainers**0.5))
     shipped_lex = spark.sparkContext.broadcast(lex)
     for k in range(ROUNDS):
         shipped = spark.sparkContext.broadcast(weights)
 
-        def run(batches: Iterator[pa.RecordBatch], k: int = k, shipped=shipped) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             trainer, own, n, docs, held = None, shipped_lex.value, 0, [], 0
             for b in batches:
                 for t in b.column(0):
-                    words = tokens(t.as_py())
-                    if xxhash.xxh32_intdigest(b" ".join(words[:50])) % ROUNDS != k:
-                        continue
-                    docs.append(own.look_up(words)[0])
+                    docs.append(own.look_up(tokens(t.as_py()))[0])
                     held += len(docs[-1])
                     if held >= TRAINER_TOKENS:
                         trainer = trainer or gru.Trainer(shipped.value.like(shipped.value.flat()))
@@ -197,7 +198,7 @@ def train(texts: DataFrame, lex: Lexicon) -> gru.Weights:
             return pa.table({"chunk": table.column("chunk").slice(0, 1), "part": pa.array([0], pa.int32()), "n": pa.array([n.sum()]), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
         schema = "chunk int, part int, n double, w binary"
-        found = dealt.mapInArrow(run, schema)
+        found = of_round(texts, k).repartition(trainers).mapInArrow(run, schema)
         for by in (["chunk", "part"], ["chunk"]) if groups > 1 else (["chunk"],):
             found = found.groupBy(*by).applyInArrow(mean, schema)
         parts = sorted(found.collect(), key=lambda r: r["chunk"])  # one set of weights
@@ -213,9 +214,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     training = docs.where(crc_mod(id_col, folds) != 1)
     counts = materialise(token_counts(training.select(F.col(text_col).alias("text"))), "counts")
     lex = lexicon(counts)
-    per_mille = max(1000 // SHARE, min(1000, 1000 * LEAST_TOKENS // max(1, lex.total)))
-    chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1000)) < per_mille
-    weights = train(materialise(training.where(chosen).select(F.col(text_col).alias("text")), "train"), lex)
+    weights = train(training.select(F.col(text_col).alias("text")), lex)
     shipped_lex, shipped = spark.sparkContext.broadcast(lex), spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

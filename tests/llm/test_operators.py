@@ -353,6 +353,18 @@ def test_language_model_odd(spark, odd):
     assert {r["n_known"] for r in language_model.scored(nobody).collect()} == {0}
 
 
+def test_language_model_trains_on_all(spark, monkeypatch):
+    """Every training document reaches the network, also beyond a million tokens, and is in one round."""
+    many = spark.range(0, 3000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("word " * 600), F.col("id").cast("string")).alias("text"))
+    seen = []
+    monkeypatch.setattr(language_model, "train", lambda texts, lex: (seen.append(texts), gru.start(lex.unigrams))[1])
+    language_model.scored(many)
+    wanted = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i in range(3000))
+    assert seen[0].distinct().count() == wanted
+    rounds = [{r["text"] for r in language_model.of_round(seen[0], k).collect()} for k in range(language_model.ROUNDS)]
+    assert all(rounds) and sum(map(len, rounds)) == len(set().union(*rounds)) == wanted
+
+
 def test_gru_gradients():
     """Backpropagation against differences, and probabilities that sum to one."""
     rng = np.random.default_rng(0)
