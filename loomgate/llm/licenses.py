@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits only) and mapped to the
-identifier of a known licence sentence. The identifiers of a text, in order, with a mark where more than
-MAX_GAP other sentences lie between two, are matched against rules: a rule is the sequence of
+A text is cut into pieces at marks and line ends, each is normalised (lower case, letters and digits only); a piece,
+or several in a row that a known licence sentence runs over (a wrapped line, a colon or `v.` inside it), is mapped to
+that sentence's identifier, the longest from where it starts. The identifiers of a text, in order, with a mark where more than
+MAX_GAP other pieces lie between two, are matched against rules: a rule is the sequence of
 identifiers that a licence's text or notice has. Rules are ordered, and a rule that
 holds sets aside those it names as part of it. Only built-in functions, in one pass over the
 rows, without a shuffle.
@@ -87,6 +88,9 @@ RULES = (
 #: Ends of sentences: a mark before white space or the end, a line end, a colon or a dash before one.
 BOUNDARY = r"[.!?:;]+(\s+|$)|\n+"
 MAX_GAP = 3
+#: What a piece may hold if a known sentence starts with it and runs on; pieces a sentence may run over, empty ones between.
+STARTS = sorted({" ".join(s.split()[:n]) for s in SENTENCES for n in range(1, len(s.split()))})
+LONGEST = 2 * max(len(s.split()) for s in SENTENCES)
 
 
 def rule_pattern(places: tuple[int, ...]) -> str:
@@ -99,18 +103,34 @@ def _normalised(sentence: Column) -> Column:
 
 
 def licence_sentences(text: Column) -> Column:
-    """array<struct<s, i>>: identifier and number of every known sentence of text, in order."""
+    """array<struct<s, i, e>>: identifier and numbers of the first and last piece of every known sentence of text, in order."""
     known = F.array(*map(F.lit, SENTENCES))
+
+    def placed(pieces: Column) -> Column:
+        def joined(i: Column, n: Column) -> Column:
+            return F.array_join(F.filter(F.slice(pieces, i + 1, n), lambda x: x != ""), " ")
+
+        def longest(i: Column) -> Column:
+            """Of the pieces from i on, how many make a known sentence; at most, and without empty ones behind it."""
+            widths = F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.size(pieces) - i))
+            return F.array_max(F.filter(widths, lambda n: (F.get(pieces, i + n - 1) != "") & (F.array_position(known, joined(i, n)) > 0)))
+
+        def at(piece: Column, i: Column) -> Column:
+            n = F.when(piece.isin(STARTS), longest(i)).otherwise(1)
+            return F.struct(F.when(piece.isin(STARTS), F.array_position(known, joined(i, n))).otherwise(F.array_position(known, piece)).alias("s"), i.alias("i"), (i + n - 1).alias("e"))
+
+        return F.filter(F.transform(pieces, at), lambda x: x["s"] > 0)
+
+    # through one-entry arrays, so that the pieces are made once, not for each piece
     cut = F.split(F.coalesce(text, F.lit("")), BOUNDARY)
-    found = F.transform(cut, lambda s, i: F.struct(F.array_position(known, _normalised(s)).alias("s"), i.alias("i")))
-    return F.filter(found, lambda x: x["s"] > 0)
+    return F.get(F.transform(F.array(F.transform(cut, _normalised)), placed), 0)
 
 
 def sequence_text(found: Column) -> Column:
     """Identifiers with a space after each, and `| ` before one that stands too far from the last."""
 
     def shown(x: Column, k: Column) -> Column:
-        far = (k > 0) & (x["i"] - F.get(found, k - 1)["i"] > MAX_GAP + 1)
+        far = (k > 0) & (x["i"] - F.get(found, k - 1)["e"] > MAX_GAP + 1)
         return F.concat(F.when(far, "| ").otherwise(""), x["s"].cast("string"), F.lit(" "))
 
     return F.array_join(F.transform(found, shown), "")
@@ -138,7 +158,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, but for sentences that run over several pieces."""
     known = "[" + ", ".join(f"'{s}'" for s in SENTENCES) + "]"
     parts = {name: [a for a, _, _, p in RULES if name in p] for name, *_ in RULES}
     pattern = {name: rule_pattern(places) for name, _, places, _ in RULES}

@@ -320,6 +320,97 @@ def test_licenses(spark):
     assert found == [(3, "mit_notice"), (4, "mit_grant"), (5, "mit_text")]
 
 
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+MIT_AS_IS = """
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+GPL_GRANT = """    This program is free software{} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{} either version {} of the License, or
+    (at your option) any later version.
+"""
+GPL_REST = """
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+LICENCE_TEXTS = {
+    "mit_text": MIT_GRANT + MIT_AS_IS,
+    "mit_grant": MIT_GRANT,
+    "mit_notice": "Released under the\nMIT License.",
+    "mit_notice_2": "Licensed under the MIT\nlicense.",
+    "apache_header": APACHE + "   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0\n",
+    "apache_header_short": APACHE.replace("2.0 (the", "2.0\n(the"),
+    "apache_notice": "Licensed under the Apache License,\nVersion 2.0.",
+    "gpl3_header": GPL_GRANT.format(":", ", ", "3") + GPL_REST,
+    "gpl3_grant": GPL_GRANT.format(":", ", ", "3"),
+    "gpl3_notice": "This work is licensed under the GNU General\nPublic License version 3.",
+    "gpl2_header": GPL_GRANT.format(";", "; ", "2") + GPL_REST,
+    "gpl2_grant": GPL_GRANT.format(";", "; ", "2"),
+    "bsd3_text": BSD + BSD_3,
+    "bsd2_text": BSD,
+    "cc_by_nc_notice": "Licensed under\nCC BY-NC 4.0.",
+    "cc_by_notice": "Licensed under\nCC BY 4.0.",
+    "cc_by_sa_notice": "Licensed under\nCC BY-SA 4.0.",
+    "cc_by_deed": "This work is licensed under a Creative Commons\nAttribution 4.0 International License.",
+    "cc_by_sa_deed": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",
+    "cc_by_nc_deed": "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License.",
+    "unlicense_text": "This is free and unencumbered software released\ninto the public domain.",
+    "mpl2_header": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.",
+    "isc_text": ISC + MIT_AS_IS,
+    "isc_grant": ISC + '\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.',
+    "spdx_mit": "SPDX-License-Identifier: MIT",
+    "spdx_apache": "// SPDX-License-Identifier: Apache-2.0\n",
+    "spdx_gpl3": "/* SPDX-License-Identifier: GPL-3.0-only */",
+    "spdx_gpl3_later": "# SPDX-License-Identifier: GPL-3.0-or-later\nimport os",
+    "spdx_bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+}
+
+
+@pytest.mark.parametrize("form", ["{}", "Copyright 2020 A.\n\n{}\nMore text.", "commented", "windows"])
+def test_licenses_as_published(spark, form):
+    """Every rule on its licence's own punctuation and line ends: bare, inside a text, in a comment, with CRLF."""
+    shown = {"commented": lambda t: "\n".join(" * " + x for x in t.split("\n")), "windows": lambda t: t.replace("\n", "\r\n")}.get(form, form.format)
+    assert list(LICENCE_TEXTS) == [name for name, *_ in licenses.RULES]
+    found = licenses.scanned(spark.createDataFrame([(k, shown(t)) for k, t in LICENCE_TEXTS.items()], "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"], r["rule"]) for r in found) == sorted((k, k) for k in LICENCE_TEXTS)
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 def test_language_model(docs, local):
     found = {r["doc_id"]: r for r in language_model.scored(docs).collect()}
