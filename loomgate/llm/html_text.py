@@ -1,12 +1,13 @@
 """HTML to text by layout: a tree with implied tags, visibility rules, and block layout.
 
 A page is read into a tree as browsers do: void elements, raw text elements, optional end tags, end
-tags without a start. Everything that would be shown is emitted, nothing is judged by content:
+tags without a start; a head ends where something stands that may not be in it, cells get the row they lack, and what
+stands in a table outside its cells comes before the table. Everything that would be shown is emitted, nothing is judged by content:
 navigation and footers stay. Not shown are head, script, style, template, noscript and the like, the
 hidden attribute, display:none, visibility:hidden (a descendant may be visible again), hidden
 inputs, and closed details and dialogs. Blocks stand on lines of their own, paragraph-like ones between
 blank lines; list items get a bullet or number and an indent; cells of a table are aligned in columns
-of up to ALIGN characters; white space collapses outside pre and textarea; character references are decoded.
+of up to ALIGN characters, and those of several lines stand one below the other where their lines are longer; white space collapses outside pre and textarea; character references are decoded.
 
 Defined results: null gives an empty text; broken markup never fails; text without tags is one block; an
 empty table gives an empty result. Time and memory are in proportion to the page.
@@ -44,10 +45,18 @@ CLOSES = {
     **{t: (("rt", "rp"), ("ruby",)) for t in ("rt", "rp")},
     "body": (("head",), ("table",)),
 }
-#: Elements open at once; what opens below that depth is laid beside instead of inside, as browsers do.
+#: What may stand in a head; any other start tag, and text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+SECTIONS = ("thead", "tbody", "tfoot")
+#: Parts of a table: their start tags end what is open in it. In those of TABLE nothing else may stand.
+PARTS = frozenset((*SECTIONS, "caption", "colgroup", "col", "tr", "td", "th"))
+TABLE = frozenset(("table", *SECTIONS, "colgroup", "tr"))
+#: Elements open at once, but for a table's parts; what opens below that depth is laid beside instead of inside, as browsers do.
 MAX_DEPTH = 512
 #: Columns up to this width are padded; beyond it padding would cost more than the text.
 ALIGN = 40
+#: Lines of cells stand side by side if that takes so many times the characters of the row at most.
+PADDING = 8
 
 _name = re.compile(r"[a-zA-Z][^\s/>]*")
 _rest = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -79,9 +88,41 @@ def parse(page: str) -> Node:
     at, size = 0, len(page)
     quotes_end = True  # quotes were closed so far; once one isn't, tags end at the next >
 
+    def add(node: Node | str) -> None:
+        outside = stack[-1].tag in TABLE and (not blank(node) if isinstance(node, str) else node.tag not in PARTS)
+        if outside and (table := nearest(("table",))):
+            above = stack[table - 1].children
+            above.insert(len(above) - 1, node)  # the open table is the last of its parent
+        else:
+            stack[-1].children.append(node)
+
     def add_text(text: str) -> None:
         if text:
-            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
+            if "&" in text:
+                text = entities.unescape(text)
+            if stack[-1].tag == "head" and not blank(text):
+                stack.pop()
+            add(text)
+
+    def blank(text: str) -> bool:
+        return not text.strip(" \t\n\r\f")
+
+    def nearest(tags: tuple[str, ...]) -> int:
+        """Place in the stack of the innermost open element of tags; 0 if there is none."""
+        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in tags), 0)
+
+    def open_part(tag: str, table: int) -> None:
+        """Ends what a part of a table can't stand in, and opens the row that a cell lacks."""
+        keep = table + 1
+        if tag in ("tr", "td", "th") and keep < len(stack) and stack[keep].tag in SECTIONS:
+            keep += 1
+        row = keep < len(stack) and stack[keep].tag == "tr"
+        if tag in ("td", "th") and row:
+            keep += 1
+        del stack[keep:]
+        if tag in ("td", "th") and not row:
+            stack[-1].children.append(Node("tr", {}))
+            stack.append(stack[-1].children[-1])
 
     def close_until(tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -129,9 +170,11 @@ def parse(page: str) -> Node:
         at = end
         if closing:
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
+                if stack[-1].tag == "head":
+                    stack.pop()
+                add(Node("br", {}))
             elif tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
+                add(Node("p", {}))
             else:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
@@ -141,11 +184,21 @@ def parse(page: str) -> Node:
                         break
             continue
         inside = page[named.end() : end - 1]
-        if tag in CLOSES:
+        if tag == "html" and len(stack) > 1 or tag == "head" and stack[-1].tag not in ("#root", "html"):
+            continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
+        table = nearest(("table",)) if tag in PARTS else 0
+        if table:
+            open_part(tag, table)
+        elif tag == "table" and (outer := nearest(("table", "td", "th", "caption"))) and stack[outer].tag == "table":
+            del stack[outer:]  # a table straight in a table ends it
+        elif tag in CLOSES:
             close_until(*CLOSES[tag])
         node = Node(tag, attributes_of(inside) if "=" in inside or "hidden" in inside or "open" in inside else {})
-        stack[-1].children.append(node)
-        if tag in VOID:
+        alone = tag == "form" and stack[-1].tag in TABLE  # is empty, and cells stand beside it
+        add(node)
+        if tag in VOID or alone:
             continue
         if tag in RAW:
             lower_end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -159,7 +212,7 @@ def parse(page: str) -> Node:
         if tag == "plaintext":
             node.children.append(page[at:])
             break
-        if len(stack) < MAX_DEPTH:
+        if len(stack) < MAX_DEPTH or table:
             stack.append(node)
     return root
 
@@ -251,22 +304,29 @@ def _rows(table: Node) -> Iterator[list[Node]]:
 
 def _table_lines(cells: list[list[tuple[str, int]]]) -> list[str]:
     """Rows of (text, span) as lines with aligned columns."""
+    parts = [[([x.rstrip() for x in text.split("\n")], span) for text, span in row] for row in cells]
     width: dict[int, int] = {}
-    for row in cells:
+    for row in parts:
         at = 0
-        for text, span in row:
-            if span == 1 and len(text) <= ALIGN:
-                width[at] = max(width.get(at, 0), len(text))
+        for own, span in row:
+            if span == 1 and max(map(len, own)) <= ALIGN:
+                width[at] = max(width.get(at, 0), *map(len, own))
             at += span
     lines = []
-    for row in cells:
-        at, line = 0, []
-        for text, span in row:
-            room = sum(width.get(k, 0) for k in range(at, at + span)) + 2 * (span - 1)
-            line.append(text.ljust(room) if len(text) <= room else text)
+    for row in parts:
+        if not any(x for own, _ in row for x in own):
+            continue
+        at, rooms = 0, []
+        for _, span in row:
+            rooms.append(sum(width.get(k, 0) for k in range(at, at + span)) + 2 * (span - 1))
             at += span
-        lines.append("  ".join(line).rstrip())
-    return [x for x in lines if x]
+        height = max(len(own) for own, _ in row)
+        longest = max(len(x) for own, _ in row for x in own)
+        if height > 1 and (longest > ALIGN or height * sum(r + 2 for r in rooms) > PADDING * sum(len(x) + 1 for own, _ in row for x in own)):
+            lines += [x for own, _ in row if any(own) for x in own]
+        else:
+            lines += ["  ".join((own[k] if k < len(own) else "").ljust(room) for (own, _), room in zip(row, rooms, strict=True)).rstrip() for k in range(height)]
+    return lines
 
 
 def render(root: Node) -> str:
@@ -303,7 +363,7 @@ def render(root: Node) -> str:
             continue
         if kind == "cell end":
             span = node.attributes.get("colspan", "1")
-            text = " ".join(flows.pop().done().split())
+            text = flows.pop().done()
             tables[-1][-1].append((text, min(1000, int(span)) if span.isascii() and span.isdigit() and int(span) > 0 else 1))
             continue
         if kind == "table end":

@@ -282,6 +282,34 @@ def test_html(page, wanted):
     assert html_text.visible_text(page) == wanted
 
 
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<html><head><title>t</title><p>all the text", "all the text"),
+        ("<html><head><meta charset=utf-8><title>t</title> all <b>the</b> text", "all the text"),
+        ("<head><style>x</style><script>y</script><img src=z><h1>a</h1>b", "a\n\nb"),
+        ("<head><title>t</title></br>a", "a"),
+        ("<head><title>t</title><template><p>unseen</template></head><body>a", "a"),
+        ("<table><td>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tbody><td>a<td>b</tbody><tbody><td>c</table>", "a  b\nc"),
+        ("<table><tr><td>a<tbody><tr><td>b</table>", "a\nb"),
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+        ("<table><form><tr><td>a</td></tr></form></table>", "a"),
+        ("x<table><tr>loose <b>bold</b><td>a</table>y", "x loose bold\n\na\n\ny".replace("x loose", "xloose")),
+        ("<table><tbody><div>d</div><tr><td>a</table>", "d\n\na"),
+        ("<table><tr><td>a<caption>c</caption></table>", "c\na"),
+        ("<table><tr><td>a<table><tr><td>b</table>c<td>d</table>", "a  d\n\nb\n\nc"),
+        ("<table><tr><td>a<table><td>b</table></table>", "a\n\nb"),
+        ("<table><tr><td>one<br>two<td>x<tr><td>three<td>y</table>", "one    x\ntwo\nthree  y"),
+        ("<table><tr><td><ul><li>n<li>m</ul><td><p>" + "long " * 12 + "<p>b<pre>k\n  l</pre></table>", "- n\n- m\n" + ("long " * 12).strip() + "\n\nb\n\nk\n  l"),
+        ("<div>" * 600 + "<table><tr><td>a<td>b", "ab"),
+        ("<div>" * 508 + "<table><tbody><tr><td>a<td>b", "a  b"),
+    ],
+)
+def test_html_implied(page, wanted):
+    assert html_text.visible_text(page) == wanted
+
+
 def test_html_odd(spark, sf):
     pages = spark.createDataFrame([(1, None, "x", "y"), (2, "<p>" * 30_000 + "a", "x", "y"), (3, "<table>" * 300 + "b", "x", "y"), (None, "c", "x", "y")], "page_id long, html string, text string, url string")
     found = {r["page_id"]: r["text"] for r in html_text.page_texts(pages).collect()}
