@@ -182,12 +182,56 @@ def to_markdown(source: str) -> str:
             return f"\n\n{'#' * int(tag[1])} {text.strip()}\n\n"
         if tag == "blockquote":
             return "\n\n" + re.sub("^", "> ", re.sub(r"\n{3,}", "\n\n", text).strip(), flags=re.M) + "\n\n"
-        return f"\n\n{text.strip()}\n\n" if tag in BLOCKS or tag in ("section", "article", "table", "nav", "footer", "header", "main") else text
+        return f"\n\n{text.strip()}\n\n" if tag in BLOCKS or tag in ("section", "article", "table", "nav", "footer", "header", "main", "tr", "td", "th", "caption") else text
 
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n(?!\S)", "\n", inline(body_of(source), False))).strip()
 
 
-def from_markdown(source: str) -> str:
+#: Runs of marks: (mark, element), longer marks first.
+_MARKS = {"**": "strong", "__": "strong", "~~": "del", "*": "em", "_": "em"}
+
+
+def _emphasised(text: str) -> str:
+    """text with its runs of marks paired in one pass: a run may open before a word and close behind one; _ not inside a word.
+
+    The marks that wait for their end are kept by kind, so time is in proportion to the text."""
+    parts = re.split(r"(\*+|_+|~~)", text)
+    waiting: dict[str, list[tuple[int, int]]] = {mark: [] for mark in _MARKS}  # (part, place in order)
+    made: dict[int, list[str]] = {}
+    order = 0
+    for i in range(1, len(parts), 2):
+        run, before, after = parts[i], parts[i - 1][-1:], parts[i + 1][:1]
+        opens, closes = bool(after.strip()), bool(before.strip())
+        if run[0] == "_":
+            opens, closes = opens and not before.isalnum(), closes and not after.isalnum()
+        out: list[str] = []
+        while run:
+            fitting = [m for m in _MARKS if run.startswith(m)] or [run[0]]
+            ends = [m for m in fitting if closes and waiting.get(m)]
+            mark = max(ends, key=lambda m: waiting[m][-1][1]) if ends else fitting[0]  # what was opened last is closed first
+            if ends:
+                element = _MARKS[mark]
+                at, since = waiting[mark].pop()
+                made[at][made[at].index(mark)] = f"<{element}>"
+                out.append(f"</{element}>")
+                for others in waiting.values():  # what was opened in between stays as it is
+                    while others and others[-1][1] > since:
+                        others.pop()
+            else:
+                out.append(mark)
+                if opens:
+                    order += 1
+                    waiting[mark].append((i, order))
+            run = run[len(mark) :]
+        made[i] = out
+    return "".join("".join(made[i]) if i in made else part for i, part in enumerate(parts))
+
+
+#: Quotes and lists in each other beyond so many levels are read as paragraphs.
+_LEVELS = 40
+
+
+def from_markdown(source: str, level: int = 0) -> str:
     """HTML of the usual Markdown with GFM tables, strikes and task boxes; raw HTML passes."""
 
     def spans(text: str) -> str:
@@ -203,9 +247,7 @@ def from_markdown(source: str) -> str:
         text = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", lambda m: keep(f'<a href="{html.escape(m[2])}">') + m[1] + keep("</a>"), text)
         text = re.sub(r"</?[a-zA-Z][^>]*>", lambda m: keep(m[0]), text)
         text = re.sub(r"&(?!#?\w+;)", "&amp;", text).replace("<", "&lt;").replace(">", "&gt;")
-        text = re.sub(r"\*\*(\S(?:.*?\S)?)\*\*|__(\S(?:.*?\S)?)__", lambda m: f"<strong>{m[1] or m[2]}</strong>", text)
-        text = re.sub(r"\*(\S(?:.*?\S)?)\*|(?<!\w)_(\S(?:.*?\S)?)_(?!\w)", lambda m: f"<em>{m[1] or m[2]}</em>", text)
-        text = re.sub(r"~~(.+?)~~", r"<del>\1</del>", text)
+        text = _emphasised(text)
         text = re.sub(r" {2,}\n", "<br>\n", text)
         while "\0" in text:
             text = re.sub(r"\0(\d+)\0", lambda m: kept[int(m[1])], text)
@@ -228,11 +270,11 @@ def from_markdown(source: str) -> str:
         elif re.match(r"\s{0,3}([-*_]\s*){3,}$", line):
             out.append("<hr>")
             i += 1
-        elif line.lstrip().startswith(">"):
+        elif level < _LEVELS and line.lstrip().startswith(">"):
             end = next((j for j in range(i, len(lines)) if not lines[j].lstrip().startswith(">")), len(lines))
-            out.append(f"<blockquote>\n{from_markdown(chr(10).join(re.sub(r'^\s*> ?', '', x) for x in lines[i:end]))}</blockquote>")
+            out.append(f"<blockquote>\n{from_markdown(chr(10).join(re.sub(r'^\s*> ?', '', x) for x in lines[i:end]), level + 1)}</blockquote>")
             i = end
-        elif m := re.match(r"(\s*)([-*+]|\d+[.)])\s+", line):
+        elif level < _LEVELS and (m := re.match(r"(\s*)([-*+]|\d+[.)])\s+", line)):
             ordered, items = m[2][0].isdigit(), []
             while i < len(lines) and (n := re.match(r"(\s*)([-*+]|\d+[.)])\s+(.*)", lines[i])) and n[2][0].isdigit() == ordered:
                 width, end = len(n[1]) + 2, i + 1
@@ -240,7 +282,7 @@ def from_markdown(source: str) -> str:
                     end += 1
                 more = "\n".join(x[width:] for x in lines[i + 1 : end]).strip("\n")
                 first = re.sub(r"^\[([ xX])\] ", lambda b: f'<input disabled="" type="checkbox"{" checked=" + chr(34) * 2 if b[1] != " " else ""}> ', n[3])
-                items.append(f"<li>{spans(first)}{chr(10) + from_markdown(more) if more else ''}</li>")
+                items.append(f"<li>{spans(first)}{chr(10) + from_markdown(more, level + 1) if more else ''}</li>")
                 i = end
                 while i + 1 < len(lines) and not lines[i].strip() and re.match(r"\s*([-*+]|\d+[.)])\s", lines[i + 1]):
                     i += 1
@@ -306,7 +348,7 @@ html_to_text = _column(plain)
 sanitise_html = _column(sanitise)
 sanitise_svg_text = _column(sanitise_svg)
 html_to_markdown = _column(to_markdown)
-markdown_to_html = _column(from_markdown)
+markdown_to_html = _column(lambda source: from_markdown(source))
 unescape_html = _column(html.unescape)
 SLIDE = "array<struct<title:string,body:string>>"
 

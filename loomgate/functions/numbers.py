@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 
 def js_number(x: Column) -> Column:
-    """A double as ECMAScript prints it, for 0 and 1e-6 <= |x| < 1e21: no exponent, no trailing zeros."""
-    scale = F.when(F.abs(x) < 1, x.cast("string").cast("decimal(38,37)").cast("string")).otherwise(x.cast("string").cast("decimal(38,16)").cast("string"))
-    return F.when(x == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(scale, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
+    """A double as ECMAScript prints it: no trailing zeros, an exponent below 1e-6 and from 1e21 on, NaN and Infinity by name."""
+    text = x.cast("string")
+    plain = F.when(F.abs(x) < 1, text.try_cast("decimal(38,37)").cast("string")).otherwise(text.try_cast("decimal(38,16)").cast("string"))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    # the fewest digits that give the number back: the JVM's own print may have more
+    shown = F.coalesce(*[F.when(d.cast("double") == x, d) for d in (F.format_string(f"%.{n}e", x) for n in (14, 15))], F.regexp_replace(F.lower(text), r"e(?=\d)", "e+"))
+    exponent = F.regexp_replace(F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+e", "$1e"), r"\.e", "e"), r"e([+-])0", "e$1")
+    outside = F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(x == 0, "0").when(outside, text).when((F.abs(x) < 1e-6) | (F.abs(x) >= 1e21), exponent).otherwise(plain)
 
 
 def half_up(x: Column) -> Column:

@@ -132,7 +132,7 @@ def font_family(name: Column) -> Column:
     return F.when(named("mono|courier"), "Courier New").when(named("sans|arial|helvetica"), "Arial").when(named("serif|times"), "Times New Roman").otherwise(or_default(plain, "Arial"))
 
 
-#: What is told about an error, by words in its message; the first that fits.
+#: What is told about an error, by words in its message; the first that fits.
 ERRORS = (
     ("memory|abort|out of bounds|infinity", "Out of memory or aborted"),
     ("codec|encoder|decoder|invalid data", "Unsupported format"),

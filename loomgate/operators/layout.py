@@ -13,22 +13,41 @@ from pyspark.sql import functions as F
 from loomgate.functions.markup import Node, Tree
 from loomgate.operators import aggregates, lookups, ordered
 
-#: How far a piece may be from its line, in heights, points and shares of the page.
+#: Largest turn in degrees, largest turn against the line, baselines apart in points and in heights, ratio of
+#: heights, overlap in heights, gap in heights and as a share of the page.
 TURN, TURN_STEP, BASE, BASE_HEIGHTS, RATIO, BACK, GAP_HEIGHTS, GAP_PAGE = 2.0, 1.0, 1.5, 0.35, (0.72, 1.38), 0.2, 1.6, 0.008
 #: Characters in a stretch in which pieces and colour runs meet.
 STRETCH = 256
 PIECE = ("x", "baseline", "width", "height", "rotation", "family", "bold", "italic", "colour", "eol")
 
 
-def _continues(line: dict, last: dict, piece: dict, page_width: float) -> bool:
-    """Whether a piece goes on with a line, whose baseline, height and rotation are running means."""
-    low = min(line["height"], piece["height"])
-    gap = piece["x"] - (last["x"] + last["width"])
-    straight = abs(piece["rotation"]) <= TURN and abs(line["rotation"]) <= TURN and abs(piece["rotation"] - line["rotation"]) <= TURN_STEP
-    alike = all(last[k] == piece[k] for k in ("family", "bold", "italic")) and (last["colour"] or None) == (piece["colour"] or None)
-    level = abs(piece["baseline"] - line["baseline"]) <= max(BASE, low * BASE_HEIGHTS) and RATIO[0] <= piece["height"] / line["height"] <= RATIO[1]
-    near = piece["x"] >= last["x"] - low * BACK and -low * BACK <= gap <= max(low * GAP_HEIGHTS, page_width * GAP_PAGE)
-    return not last["eol"] and straight and alike and level and near
+STYLE = ("family", "bold", "italic", "colour")
+
+
+def _measures(means: dict, last: dict, piece: dict, page_width: float) -> Iterator[tuple[str, float, float, float]]:
+    """What is measured of a piece against a line, by name: (name, value, least, most) with the span it may lie in.
+
+    means holds the line's running means of baseline, height and rotation; last is its last piece."""
+    unit = min(means["height"], piece["height"])
+    far = float("inf")
+    reach = max(BASE, unit * BASE_HEIGHTS)
+    yield "turn of the piece", piece["rotation"], -TURN, TURN
+    yield "turn of the line", means["rotation"], -TURN, TURN
+    yield "turn against the line", piece["rotation"] - means["rotation"], -TURN_STEP, TURN_STEP
+    yield "baseline", piece["baseline"] - means["baseline"], -reach, reach
+    yield "size", piece["height"] / means["height"], *RATIO
+    yield "start", piece["x"] - last["x"], -unit * BACK, far
+    yield "gap", piece["x"] - last["x"] - last["width"], -unit * BACK, max(unit * GAP_HEIGHTS, page_width * GAP_PAGE)
+
+
+def break_before(means: dict, last: dict, piece: dict, page_width: float) -> str | None:
+    """Why a piece begins a new line: an end of line, a style, or the first measure out of its span; None if it goes on."""
+    if last["eol"]:
+        return "end of line"
+    for name in STYLE:
+        if (last[name] or None) != (piece[name] or None):
+            return name
+    return next((name for name, value, least, most in _measures(means, last, piece, page_width) if not least <= value <= most), None)
 
 
 def line_numbers(pieces: DataFrame, keys: list[str], order: str, page_width: float) -> DataFrame:
@@ -46,7 +65,7 @@ def line_numbers(pieces: DataFrame, keys: list[str], order: str, page_width: flo
                 own, piece = values[: len(keys)], dict(zip(PIECE, values[len(keys) :], strict=True))
                 if page is None or own != page[0]:
                     page, line, number = (own,), None, -1
-                if line is not None and _continues(line, last, piece, page_width):
+                if line is not None and break_before(line, last, piece, page_width) is None:
                     n = line["n"] + 1
                     line = {"n": n, **{k: line[k] + (piece[k] - line[k]) / n for k in ("baseline", "height", "rotation")}}
                 else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -81,7 +83,10 @@ def padded_label(place: Column, total: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.lpad(place.cast("string"), F.length(total.cast("string")), F.lit("0")))
 
 
-def gap_spaces(gap: Column, height: Column) -> Column:
-    """The blanks for a gap between two pieces of text: none if it is narrow or null, else 1 to 6."""
+def gap_spaces(gap: Column, height: Column, before: Column | None = None, after: Column | None = None) -> Column:
+    """The blanks for a gap between two pieces of text: none if it is narrow or null, else 1 to 6. If the texts
+    before and after it are given, none beside white space either."""
     n = F.floor(gap / (height * 0.42) + 0.5).cast("int")
-    return F.when(gap.isNull() | (gap <= height * 0.08), "").otherwise(F.repeat(F.lit(" "), F.greatest(F.lit(1), F.least(F.lit(6), n))))
+    spaced = [c.rlike(p) for c, p in ((before, r"(?U)\s$"), (after, r"(?U)^\s")) if c is not None]
+    beside = F.coalesce(functools.reduce(operator.or_, spaced), F.lit(False)) if spaced else F.lit(False)
+    return F.when(gap.isNull() | (gap <= height * 0.08) | beside, "").otherwise(F.repeat(F.lit(" "), F.greatest(F.lit(1), F.least(F.lit(6), n))))

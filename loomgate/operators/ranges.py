@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,24 +19,31 @@ from pyspark.sql import functions as F
 
 #: Columns that ranged() adds: the number of the range, and the place of the row in the whole order.
 PART, AT = "__part", "__at"
-#: Used only where the session names no shared folder (local runs, tests).
-LOCAL_FALLBACK = "/tmp/loomgate-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it isn't set, a local session gets a folder of its own; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = LOCAL_FALLBACK
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/loomgate-checkpoints"
     return base.rstrip("/")
 
 
+def discard(spark: SparkSession) -> bool:
+    """Delete the tables that materialise() wrote in this application; call it when no query needs them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomgate-{spark.sparkContext.applicationId}")
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     It cuts the lineage and holds row order-dependent values still; as the files are shared,
-    a lost executor costs nothing that was finished."""
+    a lost executor costs nothing that was finished. The job runs at once, while the query is built; discard() deletes the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgate-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -6,10 +6,13 @@ that isn't allowed fails the batch before anything runs."""
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ from loomgate.plans import registry
 from loomgate.sinks import cues as cue_sink
 from loomgate.sinks import packages
 from loomgate.sinks import rows as row_sink
+from loomgate.sinks import store
 from loomgate.sources import archives, palm, sheets, sqlite, structured
 from loomgate.sources import cues as cue_source
 
@@ -60,7 +64,7 @@ def plan(request: Request) -> Task:
 def read_rows(spark: SparkSession, task: Task) -> DataFrame:
     path, ext = task.request.path, task.ext
     if ext in ("csv", "tsv"):
-        return structured.read_separated(spark, path, ext)
+        return structured.read_separated(spark, path, ext, bool(task.request.options.get("splittable")))
     if ext in sheets.READERS:
         return sheets.read(spark, path, ext)
     if ext in structured.PARSERS or ext in ("json", "ndjson"):
@@ -80,7 +84,7 @@ def _rows(spark: SparkSession, task: Task) -> DataFrame:
     found = read_rows(spark, task).withColumn("__ord", F.monotonically_increasing_id())
     out = f"{_stem(task)}.{task.request.target}"
     if task.request.target == "xlsx":
-        return _workbook(found, out)
+        return _workbook({"Data": found}, out)
     if task.request.target not in row_sink.FRAMES:
         raise UnsupportedEngine(f"No writer for {task.request.target}")
     doc = row_sink.document(found, task.request.target, ["__ord"])
@@ -89,34 +93,55 @@ def _rows(spark: SparkSession, task: Task) -> DataFrame:
     return _bundle(doc, out)
 
 
-def _workbook(found: DataFrame, out: str) -> DataFrame:
+#: Fixed value: rows of a sheet at most, the header among them.
+SHEET_ROWS = 1 << 20
+
+
+def _workbook(tables: dict[str, DataFrame], out: str) -> DataFrame:
+    """name, content: one workbook with a sheet for each table. It is one file, so it is made in one task; more than
+    SHEET_ROWS rows in a sheet are an error before that."""
     import pandas as pd
 
-    fields = [c for c in found.columns if c != "__ord"]
+    headers, parts = [], []
+    for place, (name, df) in enumerate(tables.items()):
+        fields = [f for f in df.schema if f.name != "__ord"]
+        headers.append((name, [f.name for f in fields]))
+        cells = [F.col(f"`{f.name}`") if f.dataType.typeName() in ("byte", "short", "integer", "long", "double", "boolean", "string") else row_sink.as_text(f) for f in fields]
+        row = F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)]), {"ignoreNullFields": "false"}) if fields else F.lit("{}")
+        parts.append(df.select(F.lit(place).alias("sheet"), "__ord", row.alias("row")))
+    both = functools.reduce(DataFrame.unionByName, parts)
+    full = both.groupBy("sheet").count().where(F.col("count") >= SHEET_ROWS).first()
+    if full is not None:
+        raise ValueError(f"{headers[full['sheet']][0]} has {full['count']} rows; a sheet holds {SHEET_ROWS - 1}")
+    listed = both.sparkSession.range(1, numPartitions=1).select(F.lit(-1).alias("sheet"), F.lit(0).cast("long").alias("__ord"), F.lit("").alias("row")).unionByName(both)  # a table without rows has a sheet too
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        cells = ([None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r] for r in group.sort_values("__ord")[fields].itertuples(index=False))
-        return pd.DataFrame({"name": [out], "content": [packages.workbook([("Data", fields, cells)])]})
+        by_sheet = dict(list(group.sort_values("__ord").groupby("sheet")))
+        rows = lambda k: (tuple(json.loads(r).values()) for r in by_sheet[k]["row"]) if k in by_sheet else iter(())
+        return pd.DataFrame({"name": [out], "content": [packages.workbook([(name, fields, rows(k)) for k, (name, fields) in enumerate(headers)])]})
+
+    return listed.groupBy().applyInPandas(one, "name string, content binary")
+
 
-    return found.groupBy().applyInPandas(one, "name string, content binary")
+def safe_table_name(name: str) -> str:
+    """A table's name as part of a file name."""
+    return re.sub(r"\s+", " ", re.sub(r'[\\/:*?"<>|\x00-\x1f]', "-", name)).strip()[:80] or "table"
 
 
 def _database(spark: SparkSession, task: Task) -> DataFrame:
+    """JSON: one document; CSV: a file for each table; HTML: one page, a section for each table; XLSX: one workbook."""
     found = sqlite.read(spark, task.request.path)
     ordered = {n: df.withColumn("__ord", F.monotonically_increasing_id()) for n, df in found.items()}
     target, stem = task.request.target, _stem(task)
     if target == "json":
         return _bundle(row_sink.database_bundle(ordered, {n: ["__ord"] for n in ordered}), f"{stem}.json")
     if target == "csv":
-        parts = [_bundle(row_sink.document(df, "csv", ["__ord"]), f"{stem}-{n}.csv") for n, df in ordered.items()]
-    elif target == "html":
-        parts = [_bundle(row_sink.document(df, "html", ["__ord"]).select(html_document(F.concat(F.lit(f"<section><h2>{n}</h2>"), "text", F.lit("</section>")), F.lit(stem)).alias("text")), f"{stem}-{n}.html") for n, df in ordered.items()]
-    else:
-        parts = [_workbook(df, f"{stem}-{n}.xlsx") for n, df in ordered.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return functools.reduce(DataFrame.unionByName, [_bundle(row_sink.document(df, "csv", ["__ord"]), f"{stem}-{safe_table_name(n)}.csv") for n, df in ordered.items()])
+    if target == "html":
+        parts = [row_sink.document(df, "html", ["__ord"]).select(F.lit(i).alias("place"), F.concat(F.lit(f"<section><h2>{escape(n)}</h2>"), "text", F.lit("</section>")).alias("t")) for i, (n, df) in enumerate(ordered.items())]
+        sections = functools.reduce(DataFrame.unionByName, parts).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]), "").alias("text"))
+        return _bundle(sections.select(html_document(F.col("text"), F.lit(stem)).alias("text")), f"{stem}.html")
+    return _workbook(ordered, f"{stem}.xlsx")
 
 
 def _subtitle(spark: SparkSession, task: Task) -> DataFrame:
@@ -188,22 +213,31 @@ def convert(spark: SparkSession, path: str, target: str, **options: object) -> D
     return HANDLERS[task.kind](spark, task)
 
 
-def convert_batch(spark: SparkSession, requests: list[Request], out: str, workers: int = 4) -> DataFrame:
-    """idx, status (fulfilled or rejected), files, reason of each request, in order; files are written under out/idx."""
+def convert_rows(spark: SparkSession, path: str, target: str, out: str, **options: object) -> None:
+    """The rows of path as CSV, TSV or NDJSON part files in the folder out, in order, for tables of any size: unlike
+    convert(), which gives one file, nothing is brought together. Existing files there are an error."""
+    task = plan(Request(path, target, options))
+    if task.kind != "data":
+        raise ValueError(f"{task.kind} files have no rows")
+    row_sink.write(read_rows(spark, task).withColumn("__ord", F.monotonically_increasing_id()), out, task.request.target, ["__ord"])
+
+
+def convert_batch(spark: SparkSession, requests: list[Request], out: str, workers: int | None = None) -> DataFrame:
+    """idx, status (fulfilled or rejected), files, reason of each request, in order; its files are written in the folder
+    out/idx, which the executors have to share. As many requests run at once as the session has task slots, up to 8."""
     tasks = [plan(r) for r in requests]
 
-    def run(pair: tuple[int, Task]) -> tuple[int, str, int, str | None]:
+    def run(pair: tuple[int, Task]) -> tuple[int, str, list, str | None]:
         i, task = pair
         try:
-            made = convert(spark, task.request.path, task.request.target, **task.request.options)
-            made.write.mode("overwrite").parquet(f"{out}/{i}")
-            return i, "fulfilled", spark.read.parquet(f"{out}/{i}").count(), None
+            made = store.stored(convert(spark, task.request.path, task.request.target, **task.request.options), f"{out}/{i}")
+            return i, "fulfilled", [tuple(r) for r in made.collect()], None
         except Exception as e:  # one item's failure is its own result
-            return i, "rejected", 0, str(e).split("\n")[0][:200]
+            return i, "rejected", [], str(e).split("\n")[0][:200]
 
-    with ThreadPoolExecutor(workers) as pool:
+    with ThreadPoolExecutor(workers or max(1, min(8, spark.sparkContext.defaultParallelism))) as pool:
         results = list(pool.map(run, enumerate(tasks)))
-    return spark.createDataFrame(results, "idx int, status string, files long, reason string")
+    return spark.createDataFrame(results, f"idx int, status string, files array<struct<{store.MANIFEST.replace(' ', ':').replace(',:', ',')}>>, reason string")
 
 
 def inspect(path: str) -> dict[str, object]:

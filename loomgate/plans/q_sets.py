@@ -23,8 +23,8 @@ def allowed_targets(spark, d):
 
 
 def common_targets(spark, d):
-    chosen = _files(spark, d).where("ext IN ('json', 'csv', 'xlsx')").join(F.broadcast(registry.routes(spark)), ["kind", "ext"])
-    return sets.common_values(chosen, "doc_id", "target")
+    """Of each kind the targets that all its files have."""
+    return sets.common_values(_files(spark, d).join(F.broadcast(registry.routes(spark)), ["kind", "ext"]), "doc_id", "target", ["kind"])
 
 
 def targets_except_self(spark, d):
@@ -42,7 +42,7 @@ def selection_state(spark, d):
 
 
 def route_table(spark, d):
-    return registry.routes(spark).where("kind IN ('data', 'subtitle', 'archive', 'ebook', 'database', 'pdf')")
+    return registry.routes(spark)
 
 
 QUERIES = {f.__name__: f for f in (allowed_targets, common_targets, targets_except_self, batch_status_counts, selection_state, route_table)}
@@ -51,9 +51,9 @@ _ROUTES = "(VALUES " + ", ".join(f"('{k}', '{e}', '{t}', {i})" for k, e in sorte
 _FILES = f"(SELECT doc_id, ext, {_case({e: registry.KIND[e] for e in _EXTS}, 'ext', 'NULL')} AS kind FROM (SELECT doc_id, [{', '.join(repr(e) for e in _EXTS)}][doc_id % {len(_EXTS)} + 1] AS ext FROM documents))"
 SQL = {
     "allowed_targets": f"SELECT doc_id, ext, target, place FROM {_FILES} f JOIN {_ROUTES} USING (kind, ext)",
-    "common_targets": f"WITH f AS (SELECT * FROM {_FILES} WHERE ext IN ('json', 'csv', 'xlsx')) SELECT target FROM f JOIN {_ROUTES} USING (kind, ext) GROUP BY target HAVING count(DISTINCT doc_id) = (SELECT count(*) FROM f)",
+    "common_targets": f"WITH f AS (SELECT * FROM {_FILES}), n AS (SELECT kind, count(*) AS n FROM f GROUP BY kind) SELECT kind, target FROM f JOIN {_ROUTES} USING (kind, ext) JOIN n USING (kind) GROUP BY kind, target, n.n HAVING count(DISTINCT doc_id) = n.n",
     "targets_except_self": f"SELECT doc_id, array_to_string(list_filter(string_split('{registry.WRITES['data']}', ' '), lambda t: t <> ext), ' ') AS targets, list_contains(string_split('{registry.WRITES['data']}', ' '), ext) AS writes_own FROM {_FILES} WHERE kind = 'data'",
     "batch_status_counts": "SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'error') AS n_failed, count(*) FILTER (event_type <> 'error' AND value > 50) AS n_done, count(*) FILTER (event_type <> 'error' AND NOT value > 50) AS n_pending FROM events GROUP BY user_id",
     "selection_state": "SELECT user_id, CASE WHEN bool_and(event_type = 'click') THEN 'all' WHEN NOT bool_or(event_type = 'click') THEN 'none' ELSE 'some' END AS state FROM events GROUP BY user_id",
-    "route_table": f"SELECT * FROM {_ROUTES} WHERE kind IN ('data', 'subtitle', 'archive', 'ebook', 'database', 'pdf')",
+    "route_table": f"SELECT * FROM {_ROUTES}",
 }

@@ -28,6 +28,11 @@ def _js(x: str) -> str:
     return f"CASE WHEN {x} = 0 THEN '0' WHEN abs({x}) < 1 THEN {tail(f'{x}::VARCHAR::DECIMAL(38,37)::VARCHAR')} ELSE {tail(f'{x}::VARCHAR::DECIMAL(38,16)::VARCHAR')} END"
 
 
+def _far(x: str) -> str:
+    """Numbers that may need an exponent: this engine's own print of them has two digits of it at least."""
+    return f"CASE WHEN abs({x}) >= 1e-6 AND abs({x}) < 1e21 THEN {_js(x)} ELSE regexp_replace(regexp_replace({x}::VARCHAR, 'e([+-])0', 'e\\1'), '\\.0e', 'e') END"
+
+
 def _escape(x: str, pairs: list[tuple[str, str]]) -> str:
     for old, new in pairs:
         x = f"replace({x}, '{old}', '{new}')"
@@ -52,7 +57,7 @@ _EXTS = ["JPEG", "srt", "md", "yml", "db", "mobi", "csv", "tgz", "m4b", "nope",
 
 
 def safe_name_titles(spark, d):
-    title = F.concat(F.substring("text", 1, 160), F.lit(".v2/draft.txt"))
+    title = F.concat(F.col("text"), F.lit(".v2/draft.txt"))
     return table(spark, d, "documents").select("doc_id", T.safe_name(title).alias("safe"), T.safe_table_name(title).alias("table_name"))
 
 
@@ -95,7 +100,7 @@ def bom_strip_roundtrip(spark, d):
 
 
 def blob_base64(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.blob_text(F.substring("text", 1, 64).cast("binary")).alias("blob"), T.data_url(F.lit("x").cast("binary"), "text/plain").alias("url"))
+    return table(spark, d, "documents").select("doc_id", T.blob_text(F.col("text").cast("binary")).alias("blob"), T.data_url(F.lit("x").cast("binary"), "text/plain").alias("url"))
 
 
 def format_error_case(spark, d):
@@ -126,7 +131,7 @@ def split_event_fields(spark, d):
 
 
 def js_numbers(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", N.js_number(F.col("l_extendedprice")).alias("price"), N.js_number(F.col("l_quantity")).alias("quantity"), N.js_number(F.col("l_discount") / 7).alias("share"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", N.js_number(F.col("l_extendedprice")).alias("price"), N.js_number(F.col("l_quantity")).alias("quantity"), N.js_number(F.col("l_discount") / 7).alias("share"), N.js_number(F.col("l_extendedprice") * 1e18).alias("large"), N.js_number(F.col("l_extendedprice") * -1e-12).alias("small"), N.js_number(F.when(F.col("l_linenumber") == 1, F.col("l_tax") * float("inf")).otherwise(F.col("l_quantity"))).alias("beyond"))
 
 
 def time_formats(spark, d):
@@ -170,7 +175,7 @@ SQL = {
     "format_identify": f"""WITH n AS (SELECT doc_id, 'Report ' || doc_id || '.' || {_pick(_EXTS, 'doc_id')} AS name FROM documents),
         e AS (SELECT *, regexp_extract(lower(name), '\\.([a-z0-9]+)$', 1) AS raw_ext FROM n), c AS (SELECT *, {_case(registry.ALIASES, 'raw_ext', 'raw_ext')} AS ext FROM e)
         SELECT *, {_case(registry.KIND, 'ext', "''")} AS kind FROM c""",
-    "safe_name_titles": f"WITH t AS (SELECT doc_id, substr(text, 1, 160) || '.v2/draft.txt' AS t FROM documents) SELECT doc_id, {_clean(_base('t'), 120, 'converted-file')} AS safe, {_clean('t', 80, 'table')} AS table_name FROM t",
+    "safe_name_titles": f"WITH t AS (SELECT doc_id, text || '.v2/draft.txt' AS t FROM documents) SELECT doc_id, {_clean(_base('t'), 120, 'converted-file')} AS safe, {_clean('t', 80, 'table')} AS table_name FROM t",
     "output_names": f"WITH t AS (SELECT p_partkey, p_name || '/' || p_type || '.csv' AS t FROM part), s AS (SELECT p_partkey, {_clean(_base('t'), 120, 'converted-file')} AS s FROM t) SELECT p_partkey, s || '.json' AS out, s || '-page.png' AS page_out FROM s",
     "escape_html_text": f"SELECT doc_id, {_escape('''text || '<a href="x">''&' ''', _HTML)} AS html FROM documents",
     "escape_xml_text": f"""WITH t AS (SELECT doc_id, text || '<a b="c">''&' || chr(1) AS t FROM documents) SELECT doc_id, {_escape('t', _HTML[:4])} AS text_form, {_escape(r"regexp_replace(t, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')", [*_HTML[:4], ("''", "&apos;")])} AS attribute_form FROM t""",
@@ -183,13 +188,14 @@ SQL = {
     "plain_text_tidy": rf"""WITH t AS (SELECT doc_id, chr(10) || ' a' || chr(160) || 'b ' || chr(9) || repeat(chr(10), 4) || text || ' ' || chr(10) || ' ' AS t FROM documents)
         SELECT doc_id, {_trim(r"regexp_replace(regexp_replace(replace(t, chr(160), ' '), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS tidy FROM t""",
     "bom_strip_roundtrip": "SELECT doc_id, length(text) + 1 AS with_bom, true AS same, md5(text) AS digest FROM documents",
-    "blob_base64": "SELECT doc_id, 'base64:' || base64(encode(substr(text, 1, 64))) AS blob, 'data:text/plain;base64,eA==' AS url FROM documents",
+    "blob_base64": "SELECT doc_id, 'base64:' || base64(encode(text)) AS blob, 'data:text/plain;base64,eA==' AS url FROM documents",
     "format_error_case": f"""WITH m AS (SELECT event_id, {_pick(_ERRORS, 'event_id')} || ' for ' || event_type || ' ' || props AS m FROM events) SELECT event_id, CASE {" ".join(f"WHEN regexp_matches(m, '(?i){a}') THEN '{b}'" for a, b in T.ERRORS)} WHEN length(m) > 40 THEN substr(m, 1, 37) || '...' ELSE m END AS label FROM m""",
     "font_families": f"WITH n AS (SELECT p_partkey, p_type || ' ' || {_pick(_FONTS, 'p_partkey')} AS n FROM part) SELECT p_partkey, CASE WHEN regexp_matches(n, '(?i)mono|courier') THEN 'Courier New' WHEN regexp_matches(n, '(?i)sans|arial|helvetica') THEN 'Arial' WHEN regexp_matches(n, '(?i)serif|times') THEN 'Times New Roman' ELSE trim(n) END AS family FROM n",
     "path_cleaning": "SELECT p_partkey, array_to_string(list_filter(string_split(replace(p_name, ' ', '/') || '/' || p_brand || '/x.txt', '/'), lambda s: s NOT IN ('', '.', '..')), '/') AS path FROM part",
     "split_event_fields": """SELECT event_id, event_type AS f0, user_id::VARCHAR AS f1, regexp_extract(props, '^[^,]*') AS f2, substr(props || ',a,b', length(regexp_extract(props, '^[^,]*')) + 2) AS f3,
         CASE WHEN event_id % 2 = 0 THEN to_json(event_type || '=#"x' || chr(10))::VARCHAR ELSE event_type END AS ini, event_type AS bare FROM events""",
-    "js_numbers": f"SELECT l_orderkey, l_linenumber, {_js('l_extendedprice')} AS price, {_js('l_quantity')} AS quantity, {_js('(l_discount / 7)')} AS share FROM lineitem",
+    "js_numbers": f"""SELECT l_orderkey, l_linenumber, {_js('l_extendedprice')} AS price, {_js('l_quantity')} AS quantity, {_js('(l_discount / 7)')} AS share, {_far('(l_extendedprice * 1e18)')} AS large, {_far('(l_extendedprice * -1e-12)')} AS small,
+        CASE WHEN l_linenumber > 1 THEN {_js('l_quantity')} WHEN l_tax = 0 THEN 'NaN' ELSE 'Infinity' END AS beyond FROM lineitem""",
     "time_formats": f"""WITH m AS (SELECT *, event_id * 86399 + 7 AS ms FROM events), c AS (SELECT *, floor(ms / 10 + 0.5)::BIGINT AS cs FROM m)
         SELECT event_id, {_TIME.replace('MARK', ',')} AS srt, {_TIME.replace('MARK', '.')} AS vtt, format('{{}}:{{:02d}}:{{:02d}}.{{:02d}}', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) AS ass, ms AS back, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM c""",
     "color_distance": """WITH c AS (SELECT *, list_transform([3, 5, 7], lambda k: floor(value * k)::BIGINT % 256) AS a, list_transform([11, 13, 17], lambda k: floor(value * k)::BIGINT % 256) AS b FROM events)

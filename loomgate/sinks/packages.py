@@ -1,7 +1,8 @@
 """Binary targets: TAR, ZIP, GZ archives, and XLSX, DOCX and PPTX packages.
 
 An archive is one file, so its entries meet in one task; they are grouped by archive and
-fed in order, one entry at a time in a batch. Packages of rows are written one for each group."""
+written in order. Packages of rows are written one for each group. All of these hold a whole file in a task, so
+groups must have a bounded size; tables of any size go to line formats (sinks.rows.write)."""
 
 from __future__ import annotations
 
@@ -69,6 +70,7 @@ def _zip(parts: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
+#: Namespaces of office packages.
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
@@ -153,7 +155,7 @@ def word_documents(text: Column) -> Column:
 
 
 def slide_package(slides: list[dict[str, str]]) -> bytes:
-    """A PPTX of slides with title and body."""
+    """A PPTX of slides with title and body. The places and sizes of the boxes and of the slide are fixed values."""
     p, a = "http://schemas.openxmlformats.org/presentationml/2006/main", "http://schemas.openxmlformats.org/drawingml/2006/main"
     parts = {}
     for i, s in enumerate(slides, 1):

@@ -7,6 +7,8 @@ into one text per group, for groups that fit a document.
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, DecimalType, DoubleType, FloatType, MapType, StringType, StructField, StructType, TimestampNTZType, TimestampType
@@ -36,7 +38,11 @@ def _is_quoted(f: StructField) -> bool:
 
 
 def as_json(f: StructField) -> Column:
-    return F.coalesce(json_string(as_text(f)) if _is_quoted(f) else as_text(f), F.lit("null"))
+    """A flat value as JSON; null, NaN and the infinities are null."""
+    text = json_string(as_text(f)) if _is_quoted(f) else as_text(f)
+    if isinstance(f.dataType, (DoubleType, FloatType)):
+        text = F.when(~text.isin("NaN", "Infinity", "-Infinity"), text)
+    return F.coalesce(text, F.lit("null"))
 
 
 def _own(df: DataFrame, but: list[str]) -> list[StructField]:
@@ -120,7 +126,7 @@ def header(df: DataFrame, target: str, but: list[str]) -> str:
         mark = "," if target == "csv" else "\t"
         before += mark.join('"' + n.replace('"', '""') + '"' if any(c in n for c in f'"\n\r{mark}') else n for n in names) + "\n"
     if target == "html":
-        before += "<tr>" + "".join(f"<td>{n}</td>" for n in names) + "</tr>"
+        before += "<tr>" + "".join(f"<td>{escape(n)}</td>" for n in names) + "</tr>"
     return before
 
 

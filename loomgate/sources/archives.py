@@ -116,4 +116,4 @@ def slides(entries: DataFrame) -> DataFrame:
     parts = document_parts(entries.where(F.col("name").startswith("ppt/")))
     n = F.row_number().over(Window.partitionBy("path").orderBy("number"))
     title = F.coalesce(F.get("lines", F.lit(0)), F.concat(F.lit("Slide "), n.cast("string")))
-    return parts.select("path", n.alias("number"), title.alias("title"), F.array_join(F.slice("lines", 2, 1_000_000), "\n").alias("body"), "lines")
+    return parts.select("path", n.alias("number"), title.alias("title"), F.array_join(F.slice("lines", F.lit(2), F.greatest(F.size("lines"), F.lit(1))), "\n").alias("body"), "lines")

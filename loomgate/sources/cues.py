@@ -56,7 +56,7 @@ def vtt(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     zero = F.struct(F.lit(False).alias("open"), F.array().cast("array<array<string>>").alias("cues"))
     cues = docs.select(*keys, F.posexplode(F.aggregate(lines, zero, step, lambda s: s["cues"])).alias("at", "cue"))
     start, end = _span(F.get("cue", F.lit(0)))
-    return _numbered(cues.select(*keys, "at", start.alias("start_ms"), end.alias("end_ms"), F.array_join(F.slice("cue", 2, 1_000_000), "\n").alias("text")), keys, "at")
+    return _numbered(cues.select(*keys, "at", start.alias("start_ms"), end.alias("end_ms"), F.array_join(F.slice("cue", F.lit(2), F.size("cue")), "\n").alias("text")), keys, "at")
 
 
 def ass(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:

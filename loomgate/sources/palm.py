@@ -6,7 +6,7 @@ text records (LZ77) runs in Python, record by record, so a large book is spread
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,11 @@ def is_mobi(content: Column) -> Column:
 def records(books: DataFrame, content: str, keys: list[str]) -> DataFrame:
     """keys, place (from 0), data: the records of each book; a record ends where the next begins."""
     data = F.col(content)
-    listed = books.where(is_mobi(data)).select(*keys, content, F.explode(F.sequence(F.lit(0), number(data, 76, 2).cast("int") - 1)).alias("place"))
-    offsets = listed.withColumn("offset", number(data, F.col("place") * 8 + 78, 4))
-    ends = offsets.withColumn("end", F.coalesce(F.lead("offset").over(Window.partitionBy(*keys).orderBy("place")), F.length(data).cast("long")))
-    return ends.select(*keys, "place", F.substring(data, (F.col("offset") + 1).cast("int"), (F.col("end") - F.col("offset")).cast("int")).alias("data"))
+    offsets = F.transform(F.sequence(F.lit(0), number(data, 76, 2).cast("int") - 1), lambda i: number(data, i * 8 + 78, 4))
+    # a row holds its book once: records are cut from it before they are dealt to rows of their own
+    cut = F.transform("offsets", lambda at, i: F.substring(data, (at + 1).cast("int"), (F.coalesce(F.get("offsets", i + 1), F.length(data).cast("long")) - at).cast("int")))
+    listed = books.where(is_mobi(data) & (number(data, 76, 2) > 0)).withColumn("offsets", offsets)
+    return listed.select(*keys, F.posexplode(cut).alias("place", "data"))
 
 
 def unpacked(data: bytes) -> bytes:

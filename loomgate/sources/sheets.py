@@ -17,18 +17,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS = "path string, ord int, cells array<string>"
-_LARGEST = 1 << 14
+#: Columns and rows of a sheet at most, as the formats have it.
+_LARGEST, _ROWS = 1 << 14, 1 << 20
 
 
 def _local(e: ElementTree.Element) -> str:
     return e.tag.rpartition("}")[2]
 
 
+def _first_sheet(z: zipfile.ZipFile, names: list[str]) -> str:
+    """The part of the sheet that the workbook lists first; without such a list, the one of the lowest number."""
+    get = lambda e, name: next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), None)
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= set(names):
+        target = {get(r, "Id"): get(r, "Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in (e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"):
+            part = target.get(get(sheet, "id")) or ""
+            part = part[1:] if part.startswith("/") else f"xl/{part}"
+            if part in names:
+                return part
+    return min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rpartition("/")[2])[0]))
+
+
 def _xlsx(data: bytes) -> Iterator[list[str | None]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         shared = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(si) == "si"] if "xl/sharedStrings.xml" in names else []
-        sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.rpartition("/")[2])[0]))
+        sheet = _first_sheet(z, names)
         for row in (e for e in ElementTree.fromstring(z.read(sheet)).iter() if _local(e) == "row"):
             cells: list[str | None] = []
             for c in row:
@@ -61,7 +75,7 @@ def _ods(data: bytes) -> Iterator[list[str | None]]:
         while cells and cells[-1] is None:
             cells.pop()
         if cells:
-            for _ in range(min(1 << 20, int(get(row, "number-rows-repeated") or 1))):
+            for _ in range(min(_ROWS, int(get(row, "number-rows-repeated") or 1))):
                 yield list(cells)
 
 

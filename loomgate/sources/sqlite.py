@@ -1,4 +1,4 @@
-"""SQLite files as a Python data source: one partition for each range of row ids, filters pushed into the query.
+"""SQLite files as a Python data source: ranges of row ids as partitions, Arrow batches, filters pushed into the query.
 
     spark.dataSource.register(SqliteSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -11,13 +11,15 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 _TYPES = (("INT", LongType()), ("CHAR", StringType()), ("CLOB", StringType()), ("TEXT", StringType()), ("BLOB", BinaryType()), ("REAL", DoubleType()), ("FLOA", DoubleType()), ("DOUB", DoubleType()))
 _OPERATORS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-ROWS_PER_PARTITION = 500_000
+ROWS_PER_PARTITION, MAX_PARTITIONS, BATCH = 500_000, 1000, 10_000
 
 
 def quoted(name: str) -> str:
@@ -64,18 +66,21 @@ class SqliteReader(DataSourceReader):
             return [Rows(None, None)]
         if low is None:
             return [Rows(None, None)]
-        return [Rows(a, min(high + 1, a + ROWS_PER_PARTITION)) for a in range(low, high + 1, ROWS_PER_PARTITION)]
+        step = max(ROWS_PER_PARTITION, -(-(high - low + 1) // MAX_PARTITIONS))  # scattered ids make wide ranges, not many
+        return [Rows(a, min(high, a + step - 1)) for a in range(low, high + 1, step)]
 
-    def read(self, partition: Rows) -> Iterator[tuple]:
+    def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         where, values = list(self.where), list(self.values)
         if partition.low is not None:
-            where += ["rowid >= ?", "rowid < ?"]
+            where += ["rowid >= ?", "rowid <= ?"]
             values += [partition.low, partition.high]
         kinds = [f.dataType for f in self.schema]
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
             names = ", ".join(quoted(f.name) for f in self.schema)
-            for row in db.execute(f"SELECT {names} FROM {quoted(self.table)}" + (f" WHERE {' AND '.join(where)}" if where else ""), values):
-                yield tuple(_fit(v, k) for v, k in zip(row, kinds, strict=True))
+            found = db.execute(f"SELECT {names} FROM {quoted(self.table)}" + (f" WHERE {' AND '.join(where)}" if where else ""), values)
+            while rows := found.fetchmany(BATCH):
+                columns = [[_fit(v, k) for v in column] for column, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(k)) for c, k in zip(columns, kinds, strict=True)], names=[f.name for f in self.schema])
 
 
 def _fit(v: object, kind) -> object:

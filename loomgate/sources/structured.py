@@ -119,6 +119,7 @@ def read(spark: SparkSession, path: str, ext: str) -> DataFrame:
     return flattened(objects.orderBy("file", "ord").select(F.from_json("value", schema).alias("v")).select("v.*"))
 
 
-def read_separated(spark: SparkSession, path: str, ext: str) -> DataFrame:
-    """CSV or TSV with a header; splittable unless cells hold line ends (then set multiLine yourself)."""
-    return spark.read.csv(path, sep="," if ext == "csv" else "\t", header=True, inferSchema=True, escape='"')
+def read_separated(spark: SparkSession, path: str, ext: str, splittable: bool = False) -> DataFrame:
+    """CSV or TSV with a header. Quoted cells may hold line ends, so a file is read by one task; where no
+    cell of large files does, splittable=True lets Spark cut them."""
+    return spark.read.csv(path, sep="," if ext == "csv" else "\t", header=True, inferSchema=True, escape='"', multiLine=not splittable)

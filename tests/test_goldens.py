@@ -2,9 +2,11 @@
 
 import io
 import json
+import re
 import sqlite3
 import struct
 import tarfile
+import time
 import zipfile
 
 import pytest
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from loomgate.functions import markup, numbers, text, times
 from loomgate.operators import aggregates, lookups, ordered, records
 from loomgate.plans import convert, registry
-from loomgate.sinks import packages
+from loomgate.sinks import packages, store
 from loomgate.sinks import rows as row_sink
 from loomgate.sources import archives, cues, palm, sheets, sqlite, structured
 
@@ -240,6 +242,95 @@ def test_convert(spark, tmp_path):
         convert.convert(spark, str(tmp_path / "m.md"), "pdf")
     results = convert.convert_batch(spark, [convert.Request(str(tmp_path / "a.csv"), "ndjson"), convert.Request(str(tmp_path / "bad.json"), "csv")], str(tmp_path / "out")).orderBy("idx").collect()
     assert [r["status"] for r in results] == ["fulfilled", "rejected"]
+    stored = results[0]["files"][0]
+    assert stored["name"] == "a.ndjson" and open(stored["path"]).read() == '{"x":1,"y":"p, q"}\n{"x":2,"y":"r"}\n' and stored["size"] == 35
+    assert store.deleted(str(tmp_path / "out" / "0")) and not store.deleted(str(tmp_path / "out" / "0"))
+
+
+def test_separated_line_ends(spark, tmp_path):
+    """Quoted cells hold line ends, also those that this library writes."""
+    (tmp_path / "a.csv").write_text('a,b\n"x\ny",1\n"say ""hi""",2\n')
+    rows = [{"a": "x\ny", "b": 1}, {"a": 'say "hi"', "b": 2}]
+    assert json.loads(convert.convert(spark, str(tmp_path / "a.csv"), "json").first()["content"]) == rows
+    back = convert.convert(spark, str(tmp_path / "a.csv"), "tsv").first()["content"]
+    (tmp_path / "b.tsv").write_bytes(back)
+    assert json.loads(convert.convert(spark, str(tmp_path / "b.tsv"), "json").first()["content"]) == rows
+    convert.convert_rows(spark, str(tmp_path / "a.csv"), "ndjson", str(tmp_path / "rows"))
+    assert [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "rows")).collect()] == rows
+
+
+@pytest.mark.parametrize(
+    ("value", "shown"),
+    [(0.0, "0"), (-0.0, "0"), (20.0, "20"), (0.1, "0.1"), (1e-6, "0.000001"), (1e-7, "1e-7"), (-1.5e-9, "-1.5e-9"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.25e22, "1.25e+22"), (1.2345678901234567e-300, "1.2345678901234567e-300"), (float("nan"), "NaN"), (float("inf"), "Infinity"), (float("-inf"), "-Infinity")],
+)
+def test_js_number(spark, value, shown):
+    df = spark.createDataFrame([(value,)], "x double")
+    assert df.select(numbers.js_number(F.col("x")).alias("x")).first()["x"] == shown
+    line = row_sink.lines(df, "ndjson", ["x"]).first()["line"]
+    assert line == '{"x":%s}' % ("null" if shown in ("NaN", "Infinity", "-Infinity") else shown)
+
+
+def test_markdown_hard_cases():
+    deep = markup.from_markdown(">" * 3000 + " x")
+    assert "x" in deep and deep.count("<blockquote>") == 40
+    assert "x" in markup.from_markdown("\n".join("  " * i + "- x" for i in range(500)))
+    began = time.time()
+    markup.from_markdown("*a " * 20_000 + "_b " * 20_000 + "~~c " * 20_000)
+    assert time.time() - began < 5
+    spans = lambda x: markup.from_markdown(x)[3:-5]
+    assert spans("**a** *b* __c__ _d_ ~~e~~ snake_case_name 2 * 3 * 4") == "<strong>a</strong> <em>b</em> <strong>c</strong> <em>d</em> <del>e</del> snake_case_name 2 * 3 * 4"
+    assert spans("***a*** **b *c* d** *open **two**") == "<strong><em>a</em></strong> <strong>b <em>c</em> d</strong> *open <strong>two</strong>"
+    assert markup.to_markdown("<table><tr><td>a</td><td>b</td></tr></table>").split() == ["a", "b"]
+
+
+def test_database(spark, tmp_path):
+    """One workbook, one page and a file for each table; names are made clean and escaped; empty tables keep their columns."""
+    path = str(tmp_path / "d.db")
+    with sqlite3.connect(path) as db:
+        db.execute('CREATE TABLE "a/b" (x INT, "y<z" TEXT, w BLOB)')
+        db.execute("CREATE TABLE empty (k TEXT)")
+        db.executemany('INSERT INTO "a/b" VALUES (?, ?, ?)', [(1, "p", b"\x01"), (2**60, None, None)])
+    get = lambda target: convert.convert(spark, path, target).collect()
+    (book,) = get("xlsx")
+    files = spark.createDataFrame([("p", bytes(book["content"]))], "path string, content binary")
+    assert book["name"] == "d.xlsx" and [r["cells"] for r in sheets.rows(files, "xlsx").orderBy("ord").collect()] == [["x", "y<z", "w"], ["1", "p", "base64:AQ=="], [str(2**60), None, None]]
+    with zipfile.ZipFile(io.BytesIO(book["content"])) as z:
+        listed = z.read("xl/workbook.xml").decode()
+        assert listed.count("<sheet ") == 2 and 'name="a-b"' in listed and 'name="empty"' in listed
+    (page,) = get("html")
+    text = bytes(page["content"]).decode()
+    assert page["name"] == "d.html" and text.count("<section>") == 2 and "<h2>a/b</h2>" in text and "y&lt;z" in text and "<td>k</td>" in text
+    assert sorted(r["name"] for r in get("csv")) == ["d-a-b.csv", "d-empty.csv"]
+
+
+def test_sqlite_scattered_ids(spark, tmp_path):
+    """Row ids far apart make a bounded number of partitions, up to the largest id."""
+    path = str(tmp_path / "far.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(-5, "a"), (1, "b"), (10**12, "c"), (2**63 - 1, "d")])
+    found = sqlite.read(spark, path, "t")["t"]
+    assert found.rdd.getNumPartitions() <= sqlite.MAX_PARTITIONS
+    assert sorted(r["v"] for r in found.collect()) == ["a", "b", "c", "d"]
+
+
+def test_first_sheet():
+    """The workbook's own order of sheets counts, not the numbers of their files."""
+    data = packages.workbook([("one", ["a"], iter([("x",)])), ("two", ["b"], iter([("y",)]))])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as made:
+        for n in z.namelist():
+            body = z.read(n).decode()
+            if n == "xl/workbook.xml":
+                first, second = re.findall("<sheet .*?/>", body)
+                body = body.replace(first + second, second + first)
+            made.writestr(n, body)
+    assert list(sheets._xlsx(out.getvalue())) == [["b"], ["y"]]
+
+
+def test_gap_spaces(spark):
+    row = lambda before, after: one(spark, ordered.gap_spaces(F.lit(8.0), F.lit(10.0), F.lit(before), F.lit(after)))
+    assert (row("a", "b"), row("a ", "b"), row("a", "\u00a0b")) == ("  ", "", "")
 
 
 def test_watch(spark, tmp_path):
