@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -112,10 +113,8 @@ def test_simhash(docs, local):
     assert {d: r["component_id"] for d, r in found.items()} == brute_components(fps)
 
 
-@pytest.mark.parametrize("cell", [simhash.CELL, 8])
-def test_simhash_links(spark, monkeypatch, cell):
-    """Chains and dense clusters of fingerprints; with a small cell, the dense way takes over."""
-    monkeypatch.setattr(simhash, "CELL", cell)
+def test_simhash_links(spark):
+    """Chains and dense clusters of fingerprints."""
     rng = np.random.default_rng(1)
     fps = []
     for _ in range(12):
@@ -128,11 +127,88 @@ def test_simhash_links(spark, monkeypatch, cell):
     fps += [int(x) for x in rng.integers(0, 2**64, 100, np.uint64)] + [0, 1, 3, 7, 15]
     fps = list(dict.fromkeys(fps))
     by_doc = dict(enumerate(fps))
-    nodes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), d) for d, f in by_doc.items()], "fp long, rep long")
+    nodes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), d) for d, f in by_doc.items()], "f0 long, rep long")
     label = {r["node"]: r["component"] for r in simhash.connected_components(simhash.near_links(nodes)).collect()}
     assert {d: label.get(d, d) for d in by_doc} == brute_components(by_doc)
 
 
+def test_simhash_covering():
+    """Two fingerprints share a cell if they differ in two bits at most, and hardly ever if in more."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**64, 400, np.uint64)
+    for bits in range(5):
+        flips = np.array([sum(1 << int(i) for i in rng.choice(64, bits, replace=False)) for _ in a], np.uint64)
+        shared = [len(set(x) & set(y)) for x, y in zip(simhash.covering_keys(a[:, None]), simhash.covering_keys((a ^ flips)[:, None]), strict=True)]
+        assert all(shared) if bits <= 2 else not any(shared)
+
+
+def brute_similar(texts, least):
+    """Components of texts by five-word Jaccard similarity of at least `least`, by comparing all pairs."""
+    sets = {}
+    for d, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets[d] = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    up = {d: d for d in texts}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    pairs = set()
+    for a, b in combinations(sorted(texts), 2):
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y):
+            pairs.add((a, b))
+            ra, rb = root(a), root(b)
+            up[max(ra, rb)] = min(ra, rb)
+    return {d: root(d) for d in texts}, pairs
+
+
+def near_copies(words, rng, share):
+    """words with about so large a share of their five-word shingles changed, by single substitutions."""
+    out = list(words)
+    for at in range(int(rng.integers(3)), len(out), max(6, round(5 / share))):
+        out[at] = f"other{int(rng.integers(1e9))}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("pairs", [simhash.PAIRS, 4])
+def test_similar_documents(spark, monkeypatch, pairs):
+    """Recall on copies planted at similarities of 0.8 to 0.95, and nothing linked that brute force doesn't link; with small
+    cells leaders take over, and a group of copies lies over several ranges."""
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = {}
+    for k in range(120):
+        words = [str(w) for w in rng.choice(vocabulary, int(rng.integers(60, 500)))]
+        texts[10 * k] = " ".join(words)
+        texts[10 * k + 1] = near_copies(words, rng, float(rng.uniform(0.03, 0.1)))  # a changed share of x is a similarity of (1-x)/(1+x)
+    group = [str(w) for w in rng.choice(vocabulary, 300)]
+    for i in range(300):
+        texts[5000 + i] = near_copies(group, np.random.default_rng(i), 0.03)
+    texts |= {9000: "", 9001: " ", 9002: "one two", 9003: "ONE  two", 9004: "one two three"}
+    brute, wanted = brute_similar(texts, 0.8)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert set(found) == set(texts) and all(brute[d] == brute[c] for d, c in found.items())
+    planted = [(a, b) for a, b in wanted if a < 5000]
+    assert len(planted) > 90 and sum(found[a] == found[b] for a, b in planted) >= 0.9 * len(planted)
+    assert sum(found[5000 + i] == 5000 for i in range(300)) >= 295
+    assert found[9001] == 9000 and found[9003] == 9002 and found[9004] == 9004
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    assert kept == {d for d, c in found.items() if d == c}
+
+
+def test_hot_fingerprint(spark, monkeypatch):
+    """A fingerprint of many rows is dealt over tasks; every row keeps its component."""
+    monkeypatch.setattr(simhash, "HOT", 10)
+    df = spark.range(0, 200, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("t "), F.col("id").cast("string"))).alias("text"))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert len(found) == 200 and {found[i] for i in range(0, 200, 3)} == {0}
+
+
 def test_simhash_odd(spark, odd):
     found = simhash.near_duplicates(odd).collect()
     assert len(found) == odd.count() and simhash.near_duplicates(none_of(spark)).count() == 0
@@ -484,6 +560,54 @@ def test_language_model_trains_on_all(spark, monkeypatch):
     assert all(rounds) and sum(map(len, rounds)) == len(set().union(*rounds)) == wanted
 
 
+def brute_log_probabilities(w, doc, first):
+    """The network token by token, in plain Python."""
+    h, before, out = [0.0] * gru.HIDDEN, first, []
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    n = gru.HIDDEN
+    for token in doc:
+        u = [sum(h[i] * float(w.over[i, j]) for i in range(n)) for j in range(3 * n)]
+        a = [float(x) for x in w.into[before]]
+        z = [logistic(a[j] + u[j]) for j in range(n)]
+        r = [logistic(a[n + j] + u[n + j]) for j in range(n)]
+        cand = [math.tanh(a[2 * n + j] + r[j] * u[2 * n + j]) for j in range(n)]
+        h = [z[j] * h[j] + (1 - z[j]) * cand[j] for j in range(n)]
+        c, k = divmod(int(token), gru.CLASS)
+        of_class = [sum(h[i] * float(w.classes[i, j]) for i in range(n)) + float(w.class_bias[j]) for j in range(w.classes.shape[1])]
+        of_word = [sum(h[i] * float(w.words[j, i]) for i in range(n)) + float(w.word_bias[j]) for j in range(c * gru.CLASS, (c + 1) * gru.CLASS)]
+        out.append(of_class[c] - math.log(sum(map(math.exp, of_class))) + of_word[k] - math.log(sum(map(math.exp, of_word))))
+        before = token
+    return out
+
+
+def test_gru_scores():
+    """Against plain Python, however the documents are laid into lanes, and after training."""
+    rng = np.random.default_rng(1)
+    w = gru.start(rng.integers(1, 50, 2 * gru.CLASS).astype(float))
+    docs = [rng.integers(0, 2 * gru.CLASS, n).astype(np.int32) for n in [*rng.integers(1, 40, 49), 300]]
+    trainer = gru.Trainer(w)
+    before = -gru.score(w, docs, 5).sum()
+    assert trainer.learn(docs, 5)[1] == sum(map(len, docs))
+    wanted = [x for d in docs for x in brute_log_probabilities(trainer.w, d, 5)]
+    found = gru.score(trainer.w, docs, 5)
+    assert np.allclose(found, wanted, atol=2e-4) and -found.sum() < before
+    for name in ("words", "classes"):  # scores beyond the range of exponentials
+        getattr(trainer.w, name)[:] *= 300
+    assert np.isfinite(gru.score(trainer.w, docs, 5)).all()
+
+
+def test_gru_memory():
+    """Memory is in proportion to the tokens: a document of a million beside 511 short ones stays far below a gigabyte."""
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 999, n).astype(np.int32) for n in [1_000_000, *[5] * 511]]
+    tracemalloc.start()
+    lanes = gru.Lanes(docs, gru.LANES, 0)
+    seen = sum(int(real.sum()) for _, real in lanes.windows(gru.LANES * gru.WINDOW, gru.WINDOW))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 1_000_000 + 5 * 511 and peak < 200e6
+
+
 def test_gru_gradients():
     """Backpropagation against differences, and probabilities that sum to one."""
     rng = np.random.default_rng(0)
@@ -493,17 +617,14 @@ def test_gru_gradients():
     for name in ("class_bias", "word_bias"):
         setattr(w, name, getattr(w, name).astype(np.float64))
     docs = [rng.integers(0, 2 * gru.CLASS, n).astype(np.int32) for n in (7, 4, 3)]
-    target, place, fresh = gru.lanes_of(docs, 2)
+    lanes = gru.Lanes(docs, 2, 0)
+    index, real = next(lanes.windows(100, 1))
     trainer = gru.Trainer(w)
     h = np.zeros((2, gru.HIDDEN))
-    last = np.zeros(2, np.int32)
-    loss = lambda: trainer.gradients(h, last, target, place >= 0, fresh, 0)
-    value, grads, per_class, (rows, d_into), _, _ = loss()
-    n = int((place >= 0).sum())
+    loss = lambda: trainer.gradients(h, lanes.input[index], lanes.token[index], real, lanes.fresh[index] & real)
+    value, grads, (words, _), (rows, d_into), _ = loss()
+    n = int(real.sum())
     assert abs(value + gru.score(w, docs, 0).sum()) < 1e-3
-    words = np.zeros_like(w.words)
-    for s, g, _ in per_class:
-        words[s] = g
     into = np.zeros_like(w.into)
     into[rows] = d_into
     for name, grad in (("over", grads["over"]), ("classes", grads["classes"]), ("class_bias", grads["class_bias"]), ("words", words), ("into", into)):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from loomgate.llm import byte_bpe, decontamination, langid
-from tests.llm.test_operators import brute_components, brute_exact, brute_fingerprint, brute_overlap
+from tests.llm.test_operators import brute_exact, brute_overlap, brute_similar
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,7 @@ def test_pipeline(spark, folder):
     wanted = [set(left)]
     left = {d: left[d] for d, keep, _, _ in brute_exact(list(left.items())) if d == keep}
     wanted.append(set(left))
-    component = brute_components({d: brute_fingerprint(t) for d, t in left.items()})
+    component, pairs = brute_similar(left, 0.8)
     left = {d: t for d, t in left.items() if component[d] == d}
     wanted.append(set(left))
     grams = {tuple(i[k : k + 5]) for i in items for k in range(len(i) - 4)}
