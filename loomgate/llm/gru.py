@@ -2,19 +2,24 @@
 
 The output softmax is factored: first the class of a token, then the token within its class. A class
 is a stretch of CLASS numbers. Documents are laid one after the other into lanes that advance
-together; the state is carried over windows and set back only where a document starts.
+together; the state is carried over windows and set back only where a document starts. For training, lanes are
+equal cuts of all documents in a row, so a document may go on in the next lane, with a new state there. Memory is
+in proportion to the tokens.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 
 HIDDEN, CLASS = 32, 64
 LANES, WINDOW = 512, 32
-TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 32, 32, 0.08, 1.0
+#: Training steps that little text is dealt into at least.
+STEPS = 100
+TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 128, 32, 0.12, 1.0
 
 
 @dataclass
@@ -48,85 +53,132 @@ def start(counts: np.ndarray, seed: int = 3) -> Weights:
     return Weights(small(n, 3 * HIDDEN), small(HIDDEN, 3 * HIDDEN), small(HIDDEN, n // CLASS) * 0.1, np.log(by_class).astype(np.float32), small(n, HIDDEN) * 0.1, np.log(p / np.repeat(by_class, CLASS)).astype(np.float32))
 
 
-def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(target, place, fresh), each (steps, lanes), lanes from the longest to the shortest.
+class Lanes:
+    """Documents laid one after the other into lanes that advance together, the longest lane first.
 
-    place: of the token among those of all docs in a row, -1 behind a lane's end."""
-    lanes = max(1, min(lanes, len(docs)))
-    heap = [(0, k) for k in range(lanes)]
-    held: list[list[int]] = [[] for _ in range(lanes)]
-    for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
-        size, k = heapq.heappop(heap)
-        held[k].append(d)
-        heapq.heappush(heap, (size + len(docs[d]), k))
-    sizes = [sum(len(docs[d]) for d in own) for own in held]
-    order = sorted(range(lanes), key=lambda k: -sizes[k])
-    shape = (max(sizes, default=0), lanes)
-    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    target, place, fresh = np.zeros(shape, np.int32), np.full(shape, -1, np.int32), np.zeros(shape, bool)
-    for lane, k in enumerate(order):
-        at = 0
-        for d in held[k]:
-            end = at + len(docs[d])
-            target[at:end, lane], place[at:end, lane] = docs[d], np.arange(starts[d], starts[d + 1])
-            if end > at:
-                fresh[at, lane] = True
-            at = end
-    return target, place, fresh
+    All arrays are as long as the documents together: token and input (the token before it, first at the start of a
+    document), fresh (a document starts here) and place (of the token among those of all docs in a row)."""
 
+    def __init__(self, docs: list[np.ndarray], lanes: int, first: int):
+        sizes = np.array([len(d) for d in docs], np.int64)
+        lanes = max(1, min(lanes, len(docs)))
+        heap = [(0, k) for k in range(lanes)]
+        held: list[list[int]] = [[] for _ in range(lanes)]
+        for d in np.argsort(-sizes, kind="stable").tolist():
+            size, k = heapq.heappop(heap)
+            held[k].append(d)
+            heapq.heappush(heap, (size + int(sizes[d]), k))
+        held.sort(key=lambda own: -sum(int(sizes[d]) for d in own))
+        self.size = np.array([sum(int(sizes[d]) for d in own) for own in held], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        order = [d for own in held for d in own]
+        before = np.cumsum(sizes) - sizes
+        self.token, self.input, self.fresh = stream([docs[d] for d in order], first)
+        self.place = np.repeat(before[order] - (np.cumsum(sizes[order]) - sizes[order]), sizes[order]) + np.arange(len(self.token)) if order else np.zeros(0, np.int64)
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    def windows(self, tokens: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index, real), each (steps, lanes that go on): about tokens at once, but at least `least` steps; real is false behind a lane's end."""
+        at, end = 0, int(self.size.max(initial=0))
+        while at < end:
+            n = int((self.size > at).sum())
+            steps = np.arange(at, min(end, at + max(least, tokens // n)))[:, None]
+            real = steps < self.size[:n]
+            yield self.start[:n] + np.where(real, steps, 0), real
+            at += len(steps)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1, keepdims=True)
-    return top[:, 0] + np.log(np.exp(x - top).sum(1))
+def stream(docs: list[np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, input, fresh) of docs in a row."""
+    token = np.concatenate([np.zeros(0, np.int32), *docs])
+    sizes = np.array([len(d) for d in docs if len(d)], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    before, fresh = np.empty_like(token), np.zeros(len(token), bool)
+    before[1:] = token[:-1]
+    before[starts], fresh[starts] = first, True
+    return token, before, fresh
+
+
+def _halved(w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """into and over with all but the input's part of the candidate halved, as _cell wants them: the logistic function is
+    half of one plus the hyperbolic tangent of the half."""
+    into, over = w.into.copy(), w.over * w.over.dtype.type(0.5)
+    into[:, : 2 * HIDDEN] *= into.dtype.type(0.5)
+    return into, over
+
+
+def _cell(into: np.ndarray, over: np.ndarray, inputs: np.ndarray, h: np.ndarray, state: np.ndarray, gates: np.ndarray, cand: np.ndarray, un: np.ndarray) -> None:
+    """One step from states h (lanes, hidden) by inputs (lanes): fills in the next state, twice the gates, the candidate, and
+    half of the state's part of the candidate."""
+    a, u = np.take(into, inputs, axis=0), h @ over
+    np.add(a[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=gates)
+    np.tanh(gates, out=gates)
+    gates += 1
+    un[:] = u[:, 2 * HIDDEN :]
+    np.multiply(gates[:, HIDDEN:], un, out=cand)
+    cand += a[:, 2 * HIDDEN :]
+    np.tanh(cand, out=cand)
+    np.subtract(h, cand, out=state)
+    state *= 0.5
+    state *= gates[:, :HIDDEN]
+    state += cand
+
+
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether exponentials of all scores stay in the range of floats: states lie within one, so weights (one row a score) and bias bound the scores."""
+    return bool((np.abs(weights).sum(1) + np.abs(bias)).max() < 80)
+
+
+def _exp(score: np.ndarray, bounded: bool) -> np.ndarray:
+    """exp of score in place, up to a factor for each row."""
+    if not bounded:
+        score -= score.max(1, keepdims=True)
+    return np.exp(score, out=score)
+
+
+def _by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+    """(order by class, for each class that occurs the slices of the order and of the class's tokens)."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    ends = np.searchsorted(group[order], np.arange(classes + 1)).tolist()
+    return order, [(slice(ends[c], ends[c + 1]), slice(c * CLASS, (c + 1) * CLASS)) for c in range(classes) if ends[c] < ends[c + 1]]
+
+
+def _in_class(w: Weights, states: np.ndarray, parts: list[tuple[slice, slice]]) -> np.ndarray:
+    """Of each state, ordered by class, the exponentials of the scores of its class's tokens."""
+    p = np.empty((len(states), CLASS), states.dtype)
+    for at, s in parts:
+        np.matmul(states[at], w.words[s].T, out=p[at])
+        p[at] += w.word_bias[s]
+    return _exp(p, _bounded(w.words, w.word_bias))
 
 
 def log_probabilities(w: Weights, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each target (n) after each state (n, hidden)."""
-    group = target // CLASS
-    score = states @ w.classes + w.class_bias
-    out = score[np.arange(len(target)), group] - _log_sum(score)
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(w.classes.shape[1] + 1))
-    for c in np.flatnonzero(np.diff(ends)):
-        at = order[ends[c] : ends[c + 1]]
-        s = slice(c * CLASS, (c + 1) * CLASS)
-        score = states[at] @ w.words[s].T + w.word_bias[s]
-        out[at] += score[np.arange(len(at)), target[at] - c * CLASS] - _log_sum(score)
+    order, parts = _by_class(target // CLASS, w.classes.shape[1])
+    states, target, rows = states[order], target[order], np.arange(len(target))
+    p = _exp(states @ w.classes + w.class_bias, _bounded(w.classes.T, w.class_bias))
+    q = _in_class(w, states, parts)
+    out = np.empty(len(target), states.dtype)
+    out[order] = np.log(np.maximum(1e-30, p[rows, target // CLASS] / p.sum(1))) + np.log(np.maximum(1e-30, q[rows, target % CLASS] / q.sum(1)))
     return out
 
 
 def score(w: Weights, docs: list[np.ndarray], first: int) -> np.ndarray:
     """Natural log-probability of each token of docs (token numbers), in a row; first is what stands before a document."""
-    target, place, fresh = lanes_of(docs, LANES)
-    out = np.zeros(sum(map(len, docs)), np.float32)
-    steps, lanes = target.shape
-    alive = (place >= 0).sum(1)
-    h, last = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, first, np.int32)
-    for t0 in range(0, steps, WINDOW):
-        t1 = min(steps, t0 + WINDOW)
-        n = int(alive[t0])
-        states = np.zeros((t1 - t0, n, HIDDEN), np.float32)
-        h, last = h[:n], last[:n]
-        for t in range(t0, t1):
-            new = fresh[t, :n]
-            if new.any():
-                h = np.where(new[:, None], np.float32(0), h)
-                last = np.where(new, first, last)
-            a = w.into[last]
-            u = h @ w.over
-            gates = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-            z = gates[:, :HIDDEN]
-            cand = np.tanh(a[:, 2 * HIDDEN :] + gates[:, HIDDEN:] * u[:, 2 * HIDDEN :])
-            h = cand + z * (h - cand)
-            states[t - t0] = h
-            last = target[t, :n]
-        own = place[t0:t1, :n].ravel()
-        real = own >= 0
-        out[own[real]] = log_probabilities(w, states.reshape(-1, HIDDEN)[real], target[t0:t1, :n].ravel()[real])
+    lanes = Lanes(docs, LANES, first)
+    out = np.zeros(len(lanes.token), np.float32)
+    h, (into, over) = np.zeros((len(lanes.size), HIDDEN), np.float32), _halved(w)
+    for index, real in lanes.windows(LANES * WINDOW, WINDOW):
+        inputs, fresh = lanes.input[index], lanes.fresh[index]
+        h = h[: index.shape[1]]
+        states, resets = np.empty((*index.shape, HIDDEN), np.float32), fresh.any(1).tolist()
+        gates, cand, un = (np.empty((len(h), k * HIDDEN), np.float32) for k in (2, 1, 1))
+        for t in range(len(index)):
+            if resets[t]:
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+            _cell(into, over, inputs[t], h, states[t], gates, cand, un)
+            h = states[t]
+        at = index[real]
+        out[lanes.place[at]] = log_probabilities(w, states[real], lanes.token[at])
     return out
 
 
@@ -143,92 +195,80 @@ class Trainer:
         sums[rows] = new
         getattr(self.w, name)[rows] -= rate * grad / np.sqrt(new)
 
-    def gradients(self, h: np.ndarray, last: np.ndarray, target: np.ndarray, real: np.ndarray, fresh: np.ndarray, first: int):
-        """(loss sum, gradients, h, last): target, real and fresh are (steps, lanes)."""
-        w, steps = self.w, len(target)
-        kept, ins = [], []
+    def gradients(self, h: np.ndarray, inputs: np.ndarray, target: np.ndarray, real: np.ndarray, fresh: np.ndarray):
+        """(loss sum, gradients, those of words and word_bias, (inputs, those of into), h): inputs, target, real and fresh are (steps, lanes)."""
+        w, (steps, lanes) = self.w, target.shape
+        before, states, un, cand = np.empty((4, steps, lanes, HIDDEN), np.result_type(h, w.over))
+        gates, (into, over), resets = np.empty((steps, lanes, 2 * HIDDEN), before.dtype), _halved(w), fresh.any(1).tolist()
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            last = np.where(fresh[t], first, last)
-            u = h @ w.over
-            a = w.into[last]
-            gates = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-            z, r, un = gates[:, :HIDDEN], gates[:, HIDDEN:], u[:, 2 * HIDDEN :]
-            cand = np.tanh(a[:, 2 * HIDDEN :] + r * un)
-            kept.append((h, z, r, un, cand))
-            ins.append(last)
-            h = cand + z * (h - cand)
-            last = target[t]
-        states = np.stack([cand + z * (h0 - cand) for h0, z, _, _, cand in kept]).reshape(-1, HIDDEN)
-        flat, use = target.ravel(), real.ravel()
-        at_all = np.flatnonzero(use)
-        scale = np.float32(1 / max(1, len(at_all)))
-        d_states = np.zeros_like(states)
-        group = flat // CLASS
-        own = states[at_all]
-        p = own @ w.classes + w.class_bias
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        place = np.arange(len(at_all))
-        loss = -np.log(np.maximum(1e-30, p[place, group[at_all]])).sum()
-        p[place, group[at_all]] -= 1
-        p *= scale
+            before[t] = np.where(fresh[t][:, None], 0, h) if resets[t] else h
+            _cell(into, over, inputs[t], before[t], states[t], gates[t], cand[t], un[t])
+            h = states[t]
+        gates *= 0.5
+        un *= 2
+        order, parts = _by_class(target[real] // CLASS, w.classes.shape[1])
+        own, goal, rows = states[real][order], target[real][order], np.arange(len(order))
+        scale = 1 / max(1, len(goal))
+
+        def errors(p: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, float]:
+            """(scale times the gradient of the scores whose exponentials are p, the loss)."""
+            total = p.sum(1)
+            loss = -float(np.log(np.maximum(1e-30, p[rows, goal] / total)).sum())
+            p *= (scale / total)[:, None].astype(p.dtype)
+            p[rows, goal] -= p.dtype.type(scale)
+            return p, loss
+
+        p, loss = errors(_exp(own @ w.classes + w.class_bias, _bounded(w.classes.T, w.class_bias)), goal // CLASS)
+        q, more = errors(_in_class(w, own, parts), goal % CLASS)
         grads = {"classes": own.T @ p, "class_bias": p.sum(0)}
-        d_states[at_all] = p @ w.classes.T
-        per_class: list[tuple[slice, np.ndarray, np.ndarray]] = []
-        order = at_all[np.argsort(group[at_all], kind="stable")]
-        ends = np.searchsorted(group[order], np.arange(w.classes.shape[1] + 1))
-        for c in np.flatnonzero(np.diff(ends)):
-            at = order[ends[c] : ends[c + 1]]
-            s = slice(c * CLASS, (c + 1) * CLASS)
-            p = states[at] @ w.words[s].T + w.word_bias[s]
-            p -= p.max(1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
-            place, mine = np.arange(len(at)), flat[at] - c * CLASS
-            loss -= np.log(np.maximum(1e-30, p[place, mine])).sum()
-            p[place, mine] -= 1
-            p *= scale
-            per_class.append((s, p.T @ states[at], p.sum(0)))
-            d_states[at] += p @ w.words[s]
-        d_states = d_states.reshape(steps, -1, HIDDEN)
-        d_over, d_in = np.zeros_like(w.over), np.zeros((steps, len(h), 3 * HIDDEN), np.float32)
-        dh = np.zeros_like(h)
+        d_words, d_bias, d_own = np.zeros_like(w.words), np.zeros_like(w.word_bias), p @ w.classes.T
+        for at, s in parts:
+            d_words[s], d_bias[s] = q[at].T @ own[at], q[at].sum(0)
+            d_own[at] += q[at] @ w.words[s]
+        d_states = np.zeros_like(states)
+        d_states[real] = d_own[np.argsort(order)]
+        # what an error of the state makes of the update gate, the candidate and, of the candidate's error, the reset gate
+        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        of_cand, of_z, of_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), un * r * (1 - r)
+        # side by side: candidate through the reset gate, update gate, reset gate, candidate
+        d = np.empty((steps, lanes, 4 * HIDDEN), before.dtype)
+        back = np.concatenate([w.over[:, 2 * HIDDEN :], w.over[:, : 2 * HIDDEN]], 1).T.copy()
+        dh = np.zeros((lanes, HIDDEN), before.dtype)
         for t in range(steps - 1, -1, -1):
-            h0, z, r, un, cand = kept[t]
-            dh = dh + d_states[t]
-            d_cand = dh * (1 - z) * (1 - cand * cand)
-            d_z = dh * (h0 - cand) * z * (1 - z)
-            d_r = d_cand * un * r * (1 - r)
-            d_in[t] = np.concatenate([d_z, d_r, d_cand], 1)
-            du = np.concatenate([d_z, d_r, d_cand * r], 1)
-            d_over += h0.T @ du
-            dh = (dh * z + du @ w.over.T) * ~fresh[t][:, None]
-        grads["over"] = d_over
-        ids = np.stack(ins).ravel()
-        by = np.argsort(ids, kind="stable")
-        rows, starts = np.unique(ids[by], return_index=True)
-        d_into = np.add.reduceat(d_in.reshape(-1, 3 * HIDDEN)[by], starts, axis=0)
-        return loss, grads, per_class, (rows, d_into), h, last
+            dh += d_states[t]
+            d_cand = np.multiply(dh, of_cand[t], out=d[t, :, 3 * HIDDEN :])
+            np.multiply(dh, of_z[t], out=d[t, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(d_cand, of_r[t], out=d[t, :, 2 * HIDDEN : 3 * HIDDEN])
+            np.multiply(d_cand, r[t], out=d[t, :, :HIDDEN])
+            dh *= z[t]
+            dh += d[t, :, : 3 * HIDDEN] @ back
+            if resets[t]:
+                dh[fresh[t]] = 0
+        d = d.reshape(-1, 4 * HIDDEN)
+        d_over = before.reshape(-1, HIDDEN).T @ d[:, : 3 * HIDDEN]
+        grads["over"] = np.concatenate([d_over[:, HIDDEN:], d_over[:, :HIDDEN]], 1)
+        ids = inputs.ravel()
+        by = np.argsort(ids.astype(np.uint16), kind="stable")
+        ids, starts = np.unique(ids[by], return_index=True)
+        return loss + more, grads, (d_words, d_bias), (ids, np.add.reduceat(d[by, HIDDEN:], starts, axis=0)), h
 
     def learn(self, docs: list[np.ndarray], first: int) -> tuple[float, int]:
-        """(summed loss, tokens) of one pass over docs."""
-        target, place, fresh = lanes_of(docs, TRAIN_LANES)
-        h, last = np.zeros((target.shape[1], HIDDEN), np.float32), np.full(target.shape[1], first, np.int32)
-        total, n = 0.0, 0
-        for t in range(0, len(target), TRAIN_WINDOW):
+        """(summed loss, tokens) of one pass over docs, whose tokens in a row are cut into lanes of equal length."""
+        token, before, fresh = stream(docs, first)
+        lanes = max(1, min(TRAIN_LANES, len(token) // (STEPS * TRAIN_WINDOW)))  # few documents: narrow steps rather than few
+        steps = -(-len(token) // lanes)
+        lay = lambda x: np.ascontiguousarray(np.concatenate([x, np.zeros(lanes * steps - len(x), x.dtype)]).reshape(lanes, steps).T)
+        target, inputs, fresh, real = lay(token), lay(before), lay(fresh), lay(np.ones(len(token), bool))
+        h, total = np.zeros((lanes, HIDDEN), np.float32), 0.0
+        for t in range(0, steps, TRAIN_WINDOW):
             s = slice(t, t + TRAIN_WINDOW)
-            real = place[s] >= 0
-            keep = slice(0, int(real[0].sum()))
-            loss, grads, per_class, (rows, d_into), h, last = self.gradients(h[keep], last[keep], target[s, keep], real[:, keep], fresh[s, keep], first)
+            loss, grads, (d_words, d_bias), (rows, d_into), h = self.gradients(h, inputs[s], target[s], real[s], fresh[s])
             norm = np.sqrt(sum(float((g * g).sum()) for g in [*grads.values(), d_into]))
             cut = np.float32(min(1.0, CLIP / max(norm, 1e-9)))
             for name, g in grads.items():
                 self._step(name, g * cut)
-            for c, g, b in per_class:
-                self._step("words", g * cut, c)
-                self._step("word_bias", b * cut, c)
+            self._step("words", d_words * cut)
+            self._step("word_bias", d_bias * cut)
             self._step("into", d_into * cut, rows)
-            total, n = total + loss, n + int(real.sum())
-        return total, n
+            total += loss
+        return total, len(token)

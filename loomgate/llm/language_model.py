@@ -34,9 +34,11 @@ from loomgate.llm.common import materialise, type_of
 from loomgate.llm.langid import crc_mod
 
 VOCABULARY, BUCKETS, FREQUENT = 4096, 64, 250_000
-#: Tokens scored at once in a task, some 60 bytes each; a document is never split.
-SCORED_TOKENS = 1_000_000
-ROUNDS, TRAINER_TOKENS = 2, 500_000
+#: Tokens scored at once in a task, some 60 bytes each; a document is never split. Documents above LONG tokens wait for each
+#: other, so that the network doesn't go through one long document after the other with nothing beside it.
+SCORED_TOKENS, LONG = 1_500_000, 2048
+#: Tokens of a partition that trains, and those laid out at once there.
+ROUNDS, TRAINER_TOKENS, LAID_TOKENS = 2, 2_000_000, 500_000
 #: Of a token's probability, what the network gives; the rest is the base's.
 MIX = 0.95
 #: The end token; no word holds a line end.
@@ -107,6 +109,20 @@ class Lexicon:
         self.base_log = float(np.log10(total + 0.5 * (distinct + 1)))
         self.buckets: dict[bytes, int] = {}
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Network tokens of a document with its end."""
+        at = np.fromiter(map(self.place.get, chain(words, (END,)), repeat(-1)), np.int64, len(words) + 1)
+        out = self.number[at]
+        for i in np.flatnonzero(at < 0).tolist():
+            out[i] = self.bucket_number[self.bucket(words[i])]
+        return out
+
+    def bucket(self, word: bytes) -> int:
+        start = word[:2]
+        if (b := self.buckets.get(start)) is None:
+            b = self.buckets[start] = bucket_of(word)
+        return b
+
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, Counter[bytes]]:
         """Of a document with its end: network tokens, log10 share in the bucket, log10 base probability, known
         tokens, and the tokens that aren't frequent; log10(c + 0.5) of those is left out of both logs and to be added."""
@@ -123,9 +139,7 @@ class Lexicon:
                 base[i] += np.log10(0.5)
                 continue
             w = words[i]
-            start = w[:2]
-            if (b := self.buckets.get(start)) is None:
-                b = self.buckets[start] = bucket_of(w)
+            b = self.bucket(w)
             numbers[i], share[i] = self.bucket_number[b], -self.bucket_log[b]
             left[w] += 1
         return numbers, share, base, int((at >= 0).sum()), left
@@ -175,17 +189,14 @@ def train(texts: DataFrame, lex: Lexicon) -> gru.Weights:
         shipped = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            trainer, own, n, docs, held = None, shipped_lex.value, 0, [], 0
-            for b in batches:
-                for t in b.column(0):
-                    docs.append(own.look_up(tokens(t.as_py()))[0])
-                    held += len(docs[-1])
-                    if held >= TRAINER_TOKENS:
-                        trainer = trainer or gru.Trainer(shipped.value.like(shipped.value.flat()))
-                        n += trainer.learn(docs, own.end)[1]
-                        docs, held = [], 0
+            trainer, own, n, docs, held = gru.Trainer(shipped.value.like(shipped.value.flat())), shipped_lex.value, 0, [], 0
+            for t in chain.from_iterable(b.column(0) for b in batches):
+                docs.append(own.numbers(tokens(t.as_py())))
+                held += len(docs[-1])
+                if held >= LAID_TOKENS:
+                    n += trainer.learn(docs, own.end)[1]
+                    docs, held = [], 0
             if docs:
-                trainer = trainer or gru.Trainer(shipped.value.like(shipped.value.flat()))
                 n += trainer.learn(docs, own.end)[1]
             if n:
                 flat, part = trainer.w.flat(), TaskContext.get().partitionId()
@@ -221,30 +232,36 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         ln10 = np.log(10)
         own, net, at = shipped_lex.value, shipped.value, TaskContext.get().partitionId() << 33
 
-        def score(part: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        def score(rows: list) -> pa.RecordBatch:
             nonlocal at
+            ids, held_out, found = zip(*rows, strict=True)
             share, base = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
             mixed = np.logaddexp(gru.score(net, [x[0] for x in found], own.end) + ln10 * share + np.log(MIX), ln10 * base + np.log1p(-MIX)) / ln10
             starts = np.cumsum([0, *(len(x[0]) for x in found[:-1])])
-            keys = np.arange(at, at + part.num_rows)
-            at += part.num_rows
+            keys = np.arange(at, at + len(rows))
+            at += len(rows)
             ends = pa.array(np.cumsum([0, *(len(x[4]) for x in found)], dtype=np.int32))
             words = pa.StructArray.from_arrays([pa.array([w for x in found for w in x[4]], pa.binary()), pa.array([n for x in found for n in x[4].values()], pa.int32())], names=["word", "n"])
             return pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(keys), pa.array([len(x[0]) for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mixed, starts)), pa.ListArray.from_arrays(ends, words)],
+                [pa.array(ids, kind), pa.array(held_out, pa.bool_()), pa.array(keys), pa.array([len(x[0]) for x in found], pa.int64()), pa.array([x[3] for x in found], pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(mixed, starts)), pa.ListArray.from_arrays(ends, words)],
                 names=["doc_id", "held_out", "key", "n_tokens", "known", "base", "own", "rare"],
             )
 
+        waiting: list[list] = [[], []]  # documents up to LONG, and longer ones
+        held = [0, 0]
         for b in batches:
-            first, found, held = 0, [], 0
-            for i, t in enumerate(b.column(2)):
-                found.append(own.look_up(tokens(t.as_py())))
-                held += len(found[-1][0])
-                if held >= SCORED_TOKENS:
-                    yield score(b.slice(first, i + 1 - first), found)
-                    first, found, held = i + 1, [], 0
-            if found:
-                yield score(b.slice(first), found)
+            kind = b.schema.types[0]
+            for doc, out, t in zip(*b.columns, strict=True):
+                found = own.look_up(tokens(t.as_py()))
+                long = len(found[0]) > LONG
+                waiting[long].append((doc.as_py(), out.as_py(), found))
+                held[long] += len(found[0])
+                if held[long] >= SCORED_TOKENS:
+                    yield score(waiting[long])
+                    waiting[long], held[long] = [], 0
+        for rows in waiting:
+            if rows:
+                yield score(rows)
 
     slim = docs.select(F.col(id_col).alias("doc_id"), (crc_mod(id_col, folds) == 1).alias("held_out"), F.col(text_col).alias("text"))
     rows = slim.mapInArrow(run, f"doc_id {type_of(docs, id_col)}, held_out boolean, key long, n_tokens long, known long, base double, own double, rare array<struct<word: binary, n: int>>")
