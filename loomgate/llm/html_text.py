@@ -27,8 +27,10 @@ from loomgate.llm.common import type_of, unused
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist area map title".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist area title".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
+#: Types of inputs that show no text of their value.
+SILENT = frozenset("hidden checkbox radio file image range color password".split())
 BLOCKS = PARAGRAPHS | frozenset("html body address article aside center details dialog dd div dt figcaption footer form header hgroup legend li main menu nav optgroup option search section summary caption tr thead tbody tfoot xmp".split())
 #: A start tag ends the open elements named here, looking no further up than the scope.
 CLOSES = {
@@ -61,6 +63,8 @@ PADDING = 8
 _name = re.compile(r"[a-zA-Z][^\s/>]*")
 _rest = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _attribute = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Attributes that count without a value.
+_flag = re.compile("hidden|open", re.I)
 _space = re.compile(r"[ \t\n\r\f]+")
 _hides = re.compile(r"display\s*:\s*none", re.I)
 _veils = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -195,7 +199,7 @@ def parse(page: str) -> Node:
             del stack[outer:]  # a table straight in a table ends it
         elif tag in CLOSES:
             close_until(*CLOSES[tag])
-        node = Node(tag, attributes_of(inside) if "=" in inside or "hidden" in inside or "open" in inside else {})
+        node = Node(tag, attributes_of(inside) if "=" in inside or _flag.search(inside) else {})
         alone = tag == "form" and stack[-1].tag in TABLE  # is empty, and cells stand beside it
         add(node)
         if tag in VOID or alone:
@@ -286,25 +290,65 @@ def shown(node: Node, parent: Node | None) -> bool:
     if node.tag in UNSEEN or "hidden" in a or _hides.search(a.get("style", "")):
         return False
     if node.tag == "input":
-        return a.get("type", "").lower() in ("submit", "button", "reset", "text", "search", "") and "value" in a
+        return a.get("type", "").strip().lower() not in SILENT and "value" in a
     if node.tag == "dialog" and "open" not in a:
         return False
     return not (parent is not None and parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary")
 
 
-def _rows(table: Node) -> Iterator[list[Node]]:
+def _sees(node: Node, visible: bool) -> bool:
+    """Whether text in node is visible, if it is around node or not."""
+    veil = _veils.search(node.attributes.get("style", ""))
+    return veil[1].lower() == "visible" if veil else visible
+
+
+def _rows(table: Node, visible: bool) -> Iterator[tuple[list[Node], bool]]:
+    """(cells, visible) of the rows of a table, in sections or not."""
     for child in table.children:
         if isinstance(child, str) or not shown(child, table):
             continue
         if child.tag == "tr":
-            yield [c for c in child.children if not isinstance(c, str) and c.tag in ("td", "th") and shown(c, child)]
-        elif child.tag in ("thead", "tbody", "tfoot"):
-            yield from _rows(child)
+            yield [c for c in child.children if not isinstance(c, str) and c.tag in ("td", "th") and shown(c, child)], _sees(child, visible)
+        elif child.tag in SECTIONS:
+            yield from _rows(child, _sees(child, visible))
+
+
+def _number(value: str) -> int:
+    """A span: 1 to 1000, 1 for anything else."""
+    return max(1, min(1000, int(value))) if value.isascii() and value.isdigit() else 1
 
 
-def _table_lines(cells: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (text, span) as lines with aligned columns."""
-    parts = [[([x.rstrip() for x in text.split("\n")], span) for text, span in row] for row in cells]
+def _gridded(cells: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int]]]:
+    """Rows of (text, columns, rows) as rows of (text, columns), with empty cells under those that go on from rows above.
+
+    The empty cells are at most PADDING times the cells there are; beyond that columns may shift, no text is lost."""
+    room, out = PADDING * sum(map(len, cells)), []
+    below: dict[int, int] = {}  # rows in which a column is still taken
+    for row in cells:
+        taken, below = below, {c: n - 1 for c, n in below.items() if n > 1}
+        own: list[tuple[str, int]] = []
+        at = 0
+
+        def fill(own: list, at: int, taken: dict[int, int] = taken) -> int:
+            nonlocal room
+            while at in taken and room > 0:
+                own.append(("", 1))
+                at, room = at + 1, room - 1
+            return at
+
+        for text, columns, rows in row:
+            at = fill(own, at)
+            own.append((text, columns))
+            if rows > 1 and columns * rows <= room:
+                below |= {c: rows - 1 for c in range(at, at + columns)}
+            at += columns
+        out.append(own)
+    return out
+
+
+def _table_lines(cells: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Rows of (text, columns, rows) as lines with aligned columns."""
+    parts = [[([x.rstrip() for x in text.split("\n")], span) for text, span in row] for row in _gridded(cells)]
     width: dict[int, int] = {}
     for row in parts:
         at = 0
@@ -336,7 +380,7 @@ def render(root: Node) -> str:
     # entries: (kind, node, parent, visible, preformatted)
     work: list[tuple] = [("open", root, None, True, False)]
     counters: list[list] = []  # of open lists: [ordered, next number]
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[tuple[str, int, int]]]] = []
     while work:
         kind, node, parent, visible, pre = work.pop()
         flow = flows[-1]
@@ -362,9 +406,7 @@ def render(root: Node) -> str:
             flows.append(Flow())
             continue
         if kind == "cell end":
-            span = node.attributes.get("colspan", "1")
-            text = flows.pop().done()
-            tables[-1][-1].append((text, min(1000, int(span)) if span.isascii() and span.isdigit() and int(span) > 0 else 1))
+            tables[-1][-1].append((flows.pop().done(), *(_number(node.attributes.get(k, "1").strip()) for k in ("colspan", "rowspan"))))
             continue
         if kind == "table end":
             for line in _table_lines(tables.pop()):
@@ -375,9 +417,7 @@ def render(root: Node) -> str:
             continue
         if parent is not None and not shown(node, parent):
             continue
-        if veil := _veils.search(node.attributes.get("style", "")):
-            visible = veil[1].lower() == "visible"
-        tag = node.tag
+        visible, tag = _sees(node, visible), node.tag
         if tag == "br":
             flow.newline() if visible else None
             continue
@@ -393,10 +433,10 @@ def render(root: Node) -> str:
                     steps.append(("open", child, node, visible, pre))
                 elif isinstance(child, str) and child.strip():
                     steps.append(("text", child, node, visible, pre))
-            for row in _rows(node):
-                steps.append(("row", None, None, visible, pre))
+            for row, seen in _rows(node, visible):
+                steps.append(("row", None, None, seen, pre))
                 for cell in row:
-                    steps += [("cell", cell, None, visible, pre), ("open", cell, None, visible, pre), ("cell end", cell, None, visible, pre)]
+                    steps += [("cell", cell, None, seen, pre), ("open", cell, None, seen, pre), ("cell end", cell, None, seen, pre)]
             work.append(("table end", node, None, visible, pre))
             work += reversed(steps)
             continue
