@@ -27,13 +27,15 @@ REPLY = {"reply": {"role": (("STRING",), True), "text": (("STRING",), True), "tu
 
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn is a call whose identifier is made of conversation and turn, and which uses the result
-    of the user turn two before it; an assistant's turn is the result of the call one turn before."""
+    """Every turn is a call or a result. A user's turn is a call whose identifier is made of conversation and turn, and which uses the
+    result of the turn two before it; any other turn but the assistant's is a call with its text as arguments; an assistant's turn
+    is the result of the turn before it."""
     turns = read(spark, sf_dir, "conversations")
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
-    calls = turns.where("role = 'user'").select(
-        F.col("conv_id").alias("conv"), name(F.col("turn")).alias("id"), F.col("turn").alias("seq"), F.lit("reply").alias("tool"),
-        F.to_json(F.struct("turn", "text", "role")).alias("arguments"), F.when(F.col("turn") >= 2, name(F.col("turn") - 2)).alias("parent"),
+    user = F.col("role") == "user"
+    calls = turns.where("role IS NULL OR role <> 'assistant'").select(
+        F.col("conv_id").alias("conv"), name(F.col("turn")).alias("id"), F.col("turn").alias("seq"), F.when(user, "reply").otherwise(F.col("role")).alias("tool"),
+        F.when(user, F.to_json(F.struct("turn", "text", "role"))).otherwise(F.col("text")).alias("arguments"), F.when(user & (F.col("turn") >= 2), name(F.col("turn") - 2)).alias("parent"),
     )
     results = turns.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), name(F.col("turn") - 1).alias("id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
     return tool_calls.linked(calls, results, REPLY)
@@ -69,13 +71,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH RECURSIVE t AS (SELECT *, 'c' || conv_id || '-' || turn AS id FROM conversations),
-calls AS (SELECT conv_id AS conv, id, turn AS seq, any_value(text) AS text FROM t WHERE role = 'user' GROUP BY ALL),
+calls AS (SELECT conv_id AS conv, id, turn AS seq, role, any_value(text) AS text FROM t WHERE role <> 'assistant' GROUP BY ALL),
 answers AS (SELECT conv_id AS conv, turn - 1 AS seq, arg_min(text, text) AS content, count(*) AS n FROM t WHERE role = 'assistant' GROUP BY 1, 2),
-walk AS (SELECT c.conv, c.seq, 0 AS depth, c.seq >= 2 AS lost FROM calls c WHERE c.seq < 2 OR NOT EXISTS (FROM calls p WHERE p.conv = c.conv AND p.seq = c.seq - 2)
-  UNION ALL SELECT c.conv, c.seq, w.depth + 1, false FROM walk w JOIN calls c ON c.conv = w.conv AND c.seq = w.seq + 2)
-SELECT c.conv, c.id AS call_id, c.seq, w.depth, CASE WHEN w.lost THEN 'lost_parent' WHEN a.n IS NULL THEN 'pending' ELSE 'ok' END AS status, coalesce(a.n, 0) AS n_results,
-  '{"arguments":{"role":"user","text":' || to_json(c.text) || ',"turn":' || c.seq || '},"call_id":"' || c.id || '","depth":' || w.depth || ',"name":"reply","result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || '}' AS json
-FROM calls c JOIN walk w ON w.conv = c.conv AND w.seq = c.seq LEFT JOIN answers a ON a.conv = c.conv AND a.seq = c.seq
+linked AS (SELECT c.*, c.role = 'user' AND c.seq >= 2 AS has_parent, p.seq AS parent FROM calls c LEFT JOIN calls p ON p.conv = c.conv AND p.seq = c.seq - 2 AND c.role = 'user'),
+walk AS (SELECT conv, seq, 0 AS depth, has_parent AS lost FROM linked WHERE parent IS NULL
+  UNION ALL SELECT c.conv, c.seq, w.depth + 1, false FROM walk w JOIN linked c ON c.conv = w.conv AND c.parent = w.seq),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY depth, seq) AS place FROM walk)
+SELECT c.conv, c.id AS call_id, c.seq, w.depth, w.place, CASE WHEN c.role <> 'user' THEN 'bad_json' WHEN w.lost THEN 'lost_parent' WHEN a.n IS NULL THEN 'pending' ELSE 'ok' END AS status, coalesce(a.n, 0) AS n_results,
+  '{"arguments":' || CASE WHEN c.role = 'user' THEN '{"role":"user","text":' || to_json(c.text) || ',"turn":' || c.seq || '}' ELSE 'null' END || ',"call_id":"' || c.id || '","depth":' || w.depth
+  || ',"name":"' || CASE WHEN c.role = 'user' THEN 'reply' ELSE c.role END || '","result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || '}' AS json
+FROM calls c JOIN placed w ON w.conv = c.conv AND w.seq = c.seq LEFT JOIN answers a ON a.conv = c.conv AND a.seq = c.seq
+UNION ALL SELECT a.conv, 'c' || a.conv || '-' || a.seq, a.seq + 1, NULL, NULL, 'no_call', a.n,
+  '{"arguments":null,"call_id":"c' || a.conv || '-' || a.seq || '","depth":null,"name":null,"result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || '}'
+FROM answers a ANTI JOIN calls c ON c.conv = a.conv AND c.seq = a.seq
 """
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)

@@ -1,18 +1,19 @@
 """Chat formatting: tool calls linked to their results, in order, checked and serialised.
 
 Calls and results are joined by hash on (conversation, call identifier), after results of one call are
-reduced to the first. A call may name the call whose result it uses; depths along these links, the
-topological order, come from pointer doubling, in rounds that grow with the logarithm of the longest
-chain, so a conversation is never gathered in one task. Arguments are checked against the tool's schema as
-VARIANT, and each call is written as JSON in canonical form (keys sorted, no blanks). Only built-in
+reduced to the first. A call may name the call whose result it uses; depths along these links come from pointer doubling, in rounds
+that grow with the logarithm of the longest chain, and the place of each call in the topological order of its conversation (by depth,
+then seq) from running counts over sorted ranges, so a conversation is never gathered in one task. Arguments are checked against
+the tool's schema as VARIANT, and each call is written as JSON in canonical form (keys sorted, no blanks). Only built-in
 DataFrame functions.
 
-Defined results: arguments that aren't a JSON object are `bad_json`; a tool without schema is
+Defined results: a result whose identifier is null or meets no call is `no_call` (a row for each such identifier in a conversation); a call
+with null identifier is `no_id` and linked to nothing; arguments that aren't a JSON object are `bad_json`; a tool without schema is
 `unknown_tool`; a missing, mistyped or unlisted field is `bad_arguments`; a link to a call that
-isn't there is `lost_parent` (depth 0), a link along a circle `cyclic` (depth null); a call
+isn't there is `lost_parent` (depth 0), a link along a circle `cyclic` (depth and place null); a call
 without result is `pending`; all else `ok`, and the first that holds counts in this order. Of
-calls that repeat an identifier in a conversation the first (by seq) counts. Calls with null
-identifier are left out; null contents are JSON null; empty tables give an empty result.
+calls that repeat an identifier in a conversation the first (by seq) counts; of repeated results the first is shown and all are
+counted. A null conversation is one of its own; null contents are JSON null; other columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgate.llm.common import materialise
+from loomgate.operators import ordered
 
 #: tool -> field -> (types: BIGINT, DOUBLE, STRING, BOOLEAN, VOID, ARRAY, OBJECT; required)
 Schemas = dict[str, dict[str, tuple[tuple[str, ...], bool]]]
@@ -35,7 +37,7 @@ def _quoted(text: Column) -> Column:
 def depths(calls: DataFrame) -> DataFrame:
     """calls (conv, id, parent), ids distinct in a conv -> (conv, id, depth, lost): depth 0 for roots, null on or behind a circle."""
     known = calls.select("conv", F.col("id").alias("parent"), F.lit(True).alias("there"))
-    state = calls.join(known, ["conv", "parent"], "left").select(
+    state = calls.join(known.hint("shuffle_hash"), ["conv", "parent"], "left").select(
         "conv", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"), (F.col("parent").isNotNull() & F.col("there").isNull()).alias("lost")
     )
     state = materialise(state, "depths")
@@ -44,7 +46,7 @@ def depths(calls: DataFrame) -> DataFrame:
         if state.where("up IS NOT NULL").isEmpty():
             break
         above = state.select("conv", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        state = materialise(state.join(above, ["conv", "up"], "left").select("conv", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "lost"), "depths")
+        state = materialise(state.join(above.hint("shuffle_hash"), ["conv", "up"], "left").select("conv", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "lost"), "depths")
     return state.select("conv", "id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), "lost")
 
 
@@ -63,17 +65,28 @@ def argument_faults(tool: Column, arguments: Column, schemas: Schemas) -> Column
     return F.when(~is_object, "bad_json").when(fits.isNull(), "unknown_tool").when(~fits, "bad_arguments")
 
 
+def placed(calls: DataFrame) -> DataFrame:
+    """calls (conv, id, seq, parent), ids distinct in a conv -> depths of them with place, from 1, in the order of depth, seq, id; null where the depth is."""
+    found = depths(calls).join(calls.select("conv", "id", "seq").hint("shuffle_hash"), ["conv", "id"])
+    numbers = ordered.numbered(found.where("depth IS NOT NULL").select("conv", "id", "depth", "seq"), ["conv"], ["depth", "seq", "id"], "place")
+    return found.drop("seq").join(numbers.select("conv", "id", "place").hint("shuffle_hash"), ["conv", "id"], "left")
+
+
 def linked(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """calls (conv, id, seq, tool, arguments, parent) and results (conv, id, seq, content) ->
-    conv, call_id, seq, depth, status, n_results, json."""
-    rest = [c for c in ("seq", "tool", "arguments", "parent")]
-    first = calls.where("id IS NOT NULL").groupBy("conv", "id").agg(F.min(F.struct(*rest)).alias("c")).select("conv", "id", "c.*")
-    answers = results.where("id IS NOT NULL").groupBy("conv", "id").agg(F.min_by("content", F.struct("seq", "content")).alias("content"), F.count("*").alias("n_results"))
-    whole = first.join(answers, ["conv", "id"], "left").join(depths(first.select("conv", "id", "parent")), ["conv", "id"])
-    status = F.coalesce(argument_faults(F.col("tool"), F.col("arguments"), schemas), F.when(F.col("lost"), "lost_parent").when(F.col("depth").isNull(), "cyclic").when(F.col("n_results").isNull(), "pending").otherwise("ok"))
-    canonical = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null"))
+    conv, call_id, seq, depth, place, status, n_results, json."""
+    own = F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("")).alias("own")  # a null conversation has a key too
+    rest = ["seq", "tool", "arguments", "parent"]
+    first = calls.where("id IS NOT NULL").groupBy(own, "id").agg(F.min(F.struct(*rest)).alias("c"), F.min("conv").alias("conv")).select("own", "id", "conv", "c.*", F.lit(True).alias("called"))
+    nameless = calls.where("id IS NULL").select(own, "id", "conv", *rest, F.lit(True).alias("called"))
+    answers = results.groupBy(own, "id").agg(F.min_by("content", F.struct("seq", "content")).alias("content"), F.count("*").alias("n_results"), F.min("seq").alias("answer_seq"), F.min("conv").alias("answer_conv"))
+    order = placed(first.select(F.col("own").alias("conv"), "id", "seq", "parent")).withColumnRenamed("conv", "own")
+    whole = first.unionByName(nameless).join(answers.hint("shuffle_hash"), ["own", "id"], "full").join(order.hint("shuffle_hash"), ["own", "id"], "left")
+    linking = F.when(F.col("lost"), "lost_parent").when(F.col("depth").isNull(), "cyclic").when(F.col("n_results").isNull(), "pending").otherwise("ok")
+    status = F.when(F.col("called").isNull(), "no_call").when(F.col("id").isNull(), "no_id").otherwise(F.coalesce(argument_faults(F.col("tool"), F.col("arguments"), schemas), linking))
+    shown = lambda c: F.coalesce(c, F.lit("null"))
     json = F.concat(
-        F.lit('{"arguments":'), canonical, F.lit(',"call_id":'), _quoted(F.col("id")), F.lit(',"depth":'), F.coalesce(F.col("depth").cast("string"), F.lit("null")),
+        F.lit('{"arguments":'), shown(F.to_json(F.try_parse_json("arguments"))), F.lit(',"call_id":'), _quoted(F.col("id")), F.lit(',"depth":'), shown(F.col("depth").cast("string")),
         F.lit(',"name":'), _quoted(F.col("tool")), F.lit(',"result":'), _quoted(F.col("content")), F.lit("}"),
     )
-    return whole.select("conv", F.col("id").alias("call_id"), "seq", "depth", status.alias("status"), F.coalesce("n_results", F.lit(0)).alias("n_results"), json.alias("json"))
+    return whole.select(F.coalesce("conv", "answer_conv").alias("conv"), F.col("id").alias("call_id"), F.coalesce("seq", "answer_seq").alias("seq"), "depth", "place", status.alias("status"), F.coalesce("n_results", F.lit(0)).alias("n_results"), json.alias("json"))
