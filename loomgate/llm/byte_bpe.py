@@ -30,8 +30,8 @@ from loomgate.llm.common import type_of, unused
 WORDS, PIECES, PAIRS = 400_000, 150_000, 400_000
 #: Fixed value: the pattern for which encode() may go word by word (see there); others are split as a whole.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A space between other white space: there the pattern looks further than the space.
-_INNER_SPACE = regex.compile(r"\s \s").search
+#: A space behind other white space and before more of it or the end: there the pattern looks further than the space.
+_INNER_SPACE = regex.compile(r"\s (?:\s|$)").search
 _CODERS: dict[tuple[str, str], Coder] = {}
 
 
