@@ -10,6 +10,8 @@ score that all but REJECT of the kept-out texts reach, at most MAX_THRESHOLD.
 Prediction reads whole texts. As the model is linear after the mean, a word needs its summed
 logits only, and a worker remembers those of a bounded number of words.
 
+Labels beyond the MAX_LANGUAGES most frequent, and languages all of whose texts are longer than MAX_BYTES, aren't learned.
+
 Defined results: null text and text without a letter give `und`, score 0, rejected; if nothing can be
 learned (no labelled row), every text does; an empty table gives an empty result.
 """
@@ -17,6 +19,7 @@ learned (no labelled row), every text does; an empty table gives an empty result
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -34,7 +37,9 @@ REJECT, MAX_THRESHOLD = 0.002, 0.5
 UNKNOWN = "und"
 #: Words a worker remembers; some 50 MB.
 MEMORY = 250_000
-_words = re.compile(r"[^\W\d_]+").findall
+#: Numbers that the word class of `re` takes for letters, such as fractions and Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_words = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
 
 
 def subwords(word: str) -> list[int]:
