@@ -52,6 +52,30 @@ SENTENCES = (
     "spdx license identifier gpl 3 0 only",
     "spdx license identifier gpl 3 0 or later",
     "spdx license identifier bsd 3 clause",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "see the gnu affero general public license for more details",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "see the gnu lesser general public license for more details",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "this software is provided as is without any express or implied warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    "this notice may not be removed or altered from any source distribution",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",
+    "spdx license identifier bsd 2 clause",
+    "spdx license identifier mpl 2 0",
+    "spdx license identifier isc",
+    "spdx license identifier agpl 3 0 or later",
+    "spdx license identifier lgpl 2 1 or later",
+    "spdx license identifier unlicense",
 )
 #: Rules in their order: name, licence, places of the sentences in SENTENCES (from 1), rules that are part of it.
 RULES = (
@@ -84,6 +108,27 @@ RULES = (
     ("spdx_gpl3", "GPL-3.0", (30,), ()),
     ("spdx_gpl3_later", "GPL-3.0-or-later", (31,), ()),
     ("spdx_bsd3", "BSD-3-Clause", (32,), ()),
+    ("agpl3_header", "AGPL-3.0-or-later", (33, 13, 34), ("agpl3_grant",)),
+    ("agpl3_grant", "AGPL-3.0-or-later", (33,), ()),
+    ("lgpl21_header", "LGPL-2.1-or-later", (35, 37, 38), ("lgpl21_grant",)),
+    ("lgpl21_grant", "LGPL-2.1-or-later", (35,), ()),
+    ("lgpl3_header", "LGPL-3.0-or-later", (36, 13, 38), ("lgpl3_grant",)),
+    ("lgpl3_grant", "LGPL-3.0-or-later", (36,), ()),
+    ("epl2_header", "EPL-2.0", (39,), ()),
+    ("epl2_header_2", "EPL-2.0", (40,), ()),
+    ("bsl1_text", "BSL-1.0", (41,), ()),
+    ("zlib_text", "Zlib", (42, 43, 44, 45), ("zlib_grant",)),
+    ("zlib_grant", "Zlib", (44, 45), ()),
+    ("bsd3_whole", "BSD-3-Clause", (15, 16, 17, 18, 48), ("bsd3_text", "bsd2_text", "bsd2_whole")),
+    ("bsd2_whole", "BSD-2-Clause", (15, 16, 17, 48), ("bsd2_text",)),
+    ("isc_whole", "ISC", (27, 49), ("isc_grant",)),
+    ("apache_text", "Apache-2.0", (50,), ()),
+    ("spdx_bsd2", "BSD-2-Clause", (51,), ()),
+    ("spdx_mpl2", "MPL-2.0", (52,), ()),
+    ("spdx_isc", "ISC", (53,), ()),
+    ("spdx_agpl3_later", "AGPL-3.0-or-later", (54,), ()),
+    ("spdx_lgpl21_later", "LGPL-2.1-or-later", (55,), ()),
+    ("spdx_unlicense", "Unlicense", (56,), ()),
 )
 #: Ends of sentences: a mark before white space or the end, a line end, a colon or a dash before one.
 BOUNDARY = r"[.!?:;]+(\s+|$)|\n+"
