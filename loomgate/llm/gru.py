@@ -98,18 +98,11 @@ def stream(docs: list[np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray,
     return token, before, fresh
 
 
-def _halved(w: Weights) -> tuple[np.ndarray, np.ndarray]:
-    """into and over with all but the input's part of the candidate halved, as _cell wants them: the logistic function is
-    half of one plus the hyperbolic tangent of the half."""
-    into, over = w.into.copy(), w.over * w.over.dtype.type(0.5)
-    into[:, : 2 * HIDDEN] *= into.dtype.type(0.5)
-    return into, over
-
-
-def _cell(into: np.ndarray, over: np.ndarray, inputs: np.ndarray, h: np.ndarray, state: np.ndarray, gates: np.ndarray, cand: np.ndarray, un: np.ndarray) -> None:
-    """One step from states h (lanes, hidden) by inputs (lanes): fills in the next state, twice the gates, the candidate, and
-    half of the state's part of the candidate."""
-    a, u = np.take(into, inputs, axis=0), h @ over
+def _cell(w: Weights, inputs: np.ndarray, h: np.ndarray, state: np.ndarray, gates: np.ndarray, cand: np.ndarray, un: np.ndarray) -> None:
+    """One step from states h (lanes, hidden) by inputs (lanes): fills in the next state, twice the gates, the candidate, and the
+    state's part of the candidate. A gate is half of one plus the hyperbolic tangent of its score, which is the logistic function of twice
+    the score."""
+    a, u = np.take(w.into, inputs, axis=0), h @ w.over
     np.add(a[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=gates)
     np.tanh(gates, out=gates)
     gates += 1
@@ -123,6 +116,18 @@ def _cell(into: np.ndarray, over: np.ndarray, inputs: np.ndarray, h: np.ndarray,
     state += cand
 
 
+def _summed(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of rows that begin at starts: short ones side by side, long ones one by one."""
+    sizes = np.diff(np.append(starts, len(rows)))
+    out = rows[starts]
+    for k in range(1, 8):
+        at = np.flatnonzero((sizes > k) & (sizes <= 8))
+        out[at] += rows[starts[at] + k]
+    for i in np.flatnonzero(sizes > 8).tolist():
+        out[i] = rows[starts[i] : starts[i] + sizes[i]].sum(0)
+    return out
+
+
 def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
     """Whether exponentials of all scores stay in the range of floats: states lie within one, so weights (one row a score) and bias bound the scores."""
     return bool((np.abs(weights).sum(1) + np.abs(bias)).max() < 80)
@@ -166,7 +171,7 @@ def score(w: Weights, docs: list[np.ndarray], first: int) -> np.ndarray:
     """Natural log-probability of each token of docs (token numbers), in a row; first is what stands before a document."""
     lanes = Lanes(docs, LANES, first)
     out = np.zeros(len(lanes.token), np.float32)
-    h, (into, over) = np.zeros((len(lanes.size), HIDDEN), np.float32), _halved(w)
+    h = np.zeros((len(lanes.size), HIDDEN), np.float32)
     for index, real in lanes.windows(LANES * WINDOW, WINDOW):
         inputs, fresh = lanes.input[index], lanes.fresh[index]
         h = h[: index.shape[1]]
@@ -175,7 +180,7 @@ def score(w: Weights, docs: list[np.ndarray], first: int) -> np.ndarray:
         for t in range(len(index)):
             if resets[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            _cell(into, over, inputs[t], h, states[t], gates, cand, un)
+            _cell(w, inputs[t], h, states[t], gates, cand, un)
             h = states[t]
         at = index[real]
         out[lanes.place[at]] = log_probabilities(w, states[real], lanes.token[at])
@@ -199,15 +204,15 @@ class Trainer:
         """(loss sum, gradients, those of words and word_bias, (inputs, those of into), h): inputs, target, real and fresh are (steps, lanes)."""
         w, (steps, lanes) = self.w, target.shape
         before, states, un, cand = np.empty((4, steps, lanes, HIDDEN), np.result_type(h, w.over))
-        gates, (into, over), resets = np.empty((steps, lanes, 2 * HIDDEN), before.dtype), _halved(w), fresh.any(1).tolist()
+        gates, resets = np.empty((steps, lanes, 2 * HIDDEN), before.dtype), fresh.any(1).tolist()
         for t in range(steps):
             before[t] = np.where(fresh[t][:, None], 0, h) if resets[t] else h
-            _cell(into, over, inputs[t], before[t], states[t], gates[t], cand[t], un[t])
+            _cell(w, inputs[t], before[t], states[t], gates[t], cand[t], un[t])
             h = states[t]
-        gates *= 0.5
-        un *= 2
-        order, parts = _by_class(target[real] // CLASS, w.classes.shape[1])
-        own, goal, rows = states[real][order], target[real][order], np.arange(len(order))
+        at_all = np.flatnonzero(real)
+        order, parts = _by_class(target.ravel()[at_all] // CLASS, w.classes.shape[1])
+        order = at_all[order]
+        own, goal, rows = states.reshape(-1, HIDDEN)[order], target.ravel()[order], np.arange(len(order))
         scale = 1 / max(1, len(goal))
 
         def errors(p: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, float]:
@@ -226,22 +231,30 @@ class Trainer:
             d_words[s], d_bias[s] = q[at].T @ own[at], q[at].sum(0)
             d_own[at] += q[at] @ w.words[s]
         d_states = np.zeros_like(states)
-        d_states[real] = d_own[np.argsort(order)]
-        # what an error of the state makes of the update gate, the candidate and, of the candidate's error, the reset gate
-        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
-        of_cand, of_z, of_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), un * r * (1 - r)
+        d_states.reshape(-1, HIDDEN)[order] = d_own
         # side by side: candidate through the reset gate, update gate, reset gate, candidate
         d = np.empty((steps, lanes, 4 * HIDDEN), before.dtype)
         back = np.concatenate([w.over[:, 2 * HIDDEN :], w.over[:, : 2 * HIDDEN]], 1).T.copy()
         dh = np.zeros((lanes, HIDDEN), before.dtype)
+        keep, slope, some = (np.empty_like(dh) for _ in range(3))
         for t in range(steps - 1, -1, -1):
+            z2, r2, c = gates[t, :, :HIDDEN], gates[t, :, HIDDEN:], cand[t]  # twice the gates
             dh += d_states[t]
-            d_cand = np.multiply(dh, of_cand[t], out=d[t, :, 3 * HIDDEN :])
-            np.multiply(dh, of_z[t], out=d[t, :, HIDDEN : 2 * HIDDEN])
-            np.multiply(d_cand, of_r[t], out=d[t, :, 2 * HIDDEN : 3 * HIDDEN])
-            np.multiply(d_cand, r[t], out=d[t, :, :HIDDEN])
-            dh *= z[t]
-            dh += d[t, :, : 3 * HIDDEN] @ back
+            np.multiply(z2, 0.5, out=keep)
+            np.multiply(dh, keep, out=some)  # what goes on to the state before
+            d_cand = np.subtract(dh, some, out=d[t, :, 3 * HIDDEN :])
+            np.multiply(c, c, out=slope)
+            np.subtract(1, slope, out=slope)
+            d_cand *= slope
+            d_z = np.subtract(2, z2, out=d[t, :, HIDDEN : 2 * HIDDEN])
+            d_z *= some
+            d_z *= np.subtract(before[t], c, out=slope)
+            d_r = np.subtract(2, r2, out=d[t, :, 2 * HIDDEN : 3 * HIDDEN])
+            d_through = np.multiply(d_cand, r2, out=d[t, :, :HIDDEN])
+            d_r *= d_through
+            d_r *= un[t]
+            dh = d[t, :, : 3 * HIDDEN] @ back
+            dh += some
             if resets[t]:
                 dh[fresh[t]] = 0
         d = d.reshape(-1, 4 * HIDDEN)
@@ -250,7 +263,7 @@ class Trainer:
         ids = inputs.ravel()
         by = np.argsort(ids.astype(np.uint16), kind="stable")
         ids, starts = np.unique(ids[by], return_index=True)
-        return loss + more, grads, (d_words, d_bias), (ids, np.add.reduceat(d[by, HIDDEN:], starts, axis=0)), h
+        return loss + more, grads, (d_words, d_bias), (ids, _summed(np.take(d, by, axis=0)[:, HIDDEN:], starts)), h
 
     def learn(self, docs: list[np.ndarray], first: int) -> tuple[float, int]:
         """(summed loss, tokens) of one pass over docs, whose tokens in a row are cut into lanes of equal length."""
