@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Columns that ranged() adds: the number of the range, and the place of the row in the whole order.
 PART, AT = "__part", "__at"
+#: Rows of a group up to which one task may hold it.
+WINDOW_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,19 +53,27 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df with PART and AT. Rows that are equal in keys and order are told apart by a row number, so that they spread too."""
+    """df with PART and AT. Rows that are equal in keys and order are told apart by a row number, so that they spread too.
+
+    Where no group has more than WINDOW_ROWS rows there is AT only, and a group is one window: the same results without a
+    written copy of the rows."""
+    hashed = all(f.dataType.typeName() not in ("map", "variant") for f in df.schema)  # what ties are told apart by
+    if hashed and (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= WINDOW_ROWS:
+        return df.withColumn(AT, F.struct(*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
     by = [*keys, *order, "__tie"]
     tied = df.withColumn("__tie", F.monotonically_increasing_id())
     placed = tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("__tie").withColumn(AT, F.monotonically_increasing_id())
     return materialise(placed, "ranges").withColumn(PART, F.shiftright(AT, 33))
 
 
-def _inside(keys: list[str]):
-    return Window.partitionBy(PART, *keys).orderBy(AT)
+def _inside(placed: DataFrame, keys: list[str]):
+    return Window.partitionBy(*([PART] if PART in placed.columns else []), *keys).orderBy(AT)
 
 
 def _entering(placed: DataFrame, keys: list[str], totals: dict[str, Column], fold: Callable[[str], Column]) -> DataFrame:
     """placed with, under each name, the fold of the totals that the row's group has in earlier ranges; null if it has none."""
+    if PART not in placed.columns:
+        return placed.withColumns({n: F.lit(None) for n in totals})
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(PART, *keys).agg(*[c.alias(n) for n, c in totals.items()])
     found = sums.withColumns({n: fold(n).over(before) for n in totals}).where(functools.reduce(operator.or_, [F.col(n).isNotNull() for n in totals]))
@@ -76,7 +86,7 @@ def _entering(placed: DataFrame, keys: list[str], totals: dict[str, Column], fol
 def sums_to_here(placed: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """placed with, under each name, the sum of the group's values up to and with the row; nulls count as 0."""
     names = list(values)
-    upto = _inside(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = _inside(placed, keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     enters = [f"__in_{n}" for n in names]
     wide = _entering(placed.withColumns({n: F.coalesce(v, F.lit(0)) for n, v in values.items()}), keys, {e: F.sum(n) for e, n in zip(enters, names, strict=True)}, F.sum)
     return wide.withColumns({n: F.sum(n).over(upto) + F.coalesce(e, F.lit(0)) for n, e in zip(names, enters, strict=True)}).drop(*enters)
@@ -84,7 +94,7 @@ def sums_to_here(placed: DataFrame, keys: list[str], values: dict[str, Column])
 
 def last_to_here(placed: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """placed with the group's last value that isn't null, up to and with the row."""
-    upto = _inside(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = _inside(placed, keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = placed.withColumn(name, value)
     wide = _entering(own, keys, {"__last": F.max_by(name, F.when(F.col(name).isNotNull(), F.col(AT)))}, lambda n: F.last(n, ignorenulls=True))
     return wide.withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(upto), "__last")).drop("__last")
@@ -94,4 +104,4 @@ def row_before(placed: DataFrame, keys: list[str], columns: list[str], name: str
     """placed with a struct of columns of the row before in the group; null for the first."""
     row = F.struct(*columns)
     wide = _entering(placed, keys, {"__last": F.max_by(row, AT)}, F.last)
-    return wide.withColumn(name, F.coalesce(F.lag(row).over(_inside(keys)), "__last")).drop("__last")
+    return wide.withColumn(name, F.coalesce(F.lag(row).over(_inside(placed, keys)), "__last")).drop("__last")

@@ -13,12 +13,16 @@ rng = random.Random(5)
 ROWS = [(rng.choice(["hot", "hot", "hot", "hot", "a", "b", None]), i // 2, i, rng.choice([None, 1, 2, 3])) for i in range(600)]
 
 
-@pytest.fixture(scope="module", autouse=True)
-def many_ranges(spark):
-    """Small ranges are not put together, so that groups do lie over several."""
+@pytest.fixture(scope="module", autouse=True, params=["ranges", "windows"])
+def way(spark, request):
+    """Both ways of ordered work: in ranges, as for large groups (small ranges are not put together, so that groups do lie over several), and in windows."""
+    usual = ranges.WINDOW_ROWS
+    if request.param == "ranges":
+        ranges.WINDOW_ROWS = 0
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
+    yield request.param
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges.WINDOW_ROWS = usual
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +35,9 @@ def groups():
     return [(k, list(g)) for k, g in itertools.groupby(sorted(ROWS, key=lambda r: (r[0] or "", r[1], r[2])), key=lambda r: r[0])]
 
 
-def test_ranges_cut_groups(rows):
+def test_ranges_cut_groups(rows, way):
+    if way == "windows":
+        pytest.skip("no ranges")
     placed = ranges.ranged(rows, ["k"], ["o", "i"])
     assert placed.where("k = 'hot'").select(ranges.PART).distinct().count() > 1
     assert [r["i"] for r in placed.where("k = 'hot'").orderBy(ranges.AT).collect()] == sorted(r[2] for r in ROWS if r[0] == "hot")
