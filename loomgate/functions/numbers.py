@@ -86,3 +86,58 @@ def half_points(size: Column, inherited: float = 22.0) -> Column:
     unit = F.regexp_extract(size, r"(px|pt|em|rem|%)\s*$", 1)
     points = F.when(unit == "px", value * 1.5).when(unit == "pt", value * 2).when(unit == "em", value * inherited).when(unit == "rem", value * 24).when(unit == "%", value / 100 * inherited)
     return F.when(points.isNotNull(), F.greatest(F.lit(2), F.least(F.lit(192), half_up(points))))
+
+
+def _limited(x: Column, most: float) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(float(most)), x))
+
+
+def gray_rgb(values: Column) -> Column:
+    """Three equal channels of the last value; up to 1 it is a share of 255. Null without a value."""
+    x = F.element_at(values, -1)
+    level = _limited(F.when(x <= 1, x * 255).otherwise(x), 255)
+    return F.when(F.size(values) > 0, F.array(level, level, level))
+
+
+def rgb_channels(values: Column) -> Column:
+    """The last three values as channels; if all are from 0 to 1 they are shares of 255. Null with fewer."""
+    last = F.slice(values, -3, 3)
+    shares = F.forall(last, lambda x: x.between(0, 1))
+    return F.when(F.size(values) >= 3, F.transform(last, lambda x: _limited(F.when(shares, x * 255).otherwise(x), 255)))
+
+
+def cmyk_rgb(values: Column) -> Column:
+    """Channels of the last four values, inks from 0 to 1 (above 1: of 255). Null with fewer."""
+    inks = F.transform(F.slice(values, -4, 4), lambda x: _limited(F.when(x > 1, x / 255).otherwise(x), 1))
+    mixed = F.transform(F.slice(inks, 1, 3), lambda x: 255 * (1 - F.least(F.lit(1.0), x + F.element_at(inks, 4))))
+    return F.when(F.size(values) >= 4, mixed)
+
+
+def text_place(matrix: Column, width: Column, ascent: Column) -> Column:
+    """struct angle, height, left, top, width of a piece of text by its matrix of six; ascent is a share of the height (null: all of it)."""
+    angle = F.atan2(matrix[1], matrix[0])
+    height = F.greatest(F.lit(1.0), F.hypot(matrix[2], matrix[3]))
+    up = F.coalesce(ascent, F.lit(1.0)) * height
+    wide = F.greatest(F.when(F.coalesce(width, F.lit(0.0)) == 0, height * 0.5).otherwise(width), height * 0.25)
+    return F.struct(angle.alias("angle"), height.alias("height"), (matrix[4] + up * F.sin(angle)).alias("left"), (matrix[5] - up * F.cos(angle)).alias("top"), wide.alias("width"))
+
+
+def _bytes(content: Column, start: Column, n: int) -> Column:
+    """Up to n bytes from place start (from 1) as numbers."""
+    cut = F.substring(content, start, F.lit(n))
+    at = F.sequence(F.lit(1), F.length(cut))
+    return F.when(F.length(cut) > 0, F.transform(at, lambda i: F.conv(F.hex(F.substring(cut, i, F.lit(1))), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
+
+
+def variable_length(content: Column, at: int | Column = 0) -> Column:
+    """struct value, length of the number at a place (from 0): seven bits a byte, up to four, the last one marked."""
+    zero = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).alias("length"), F.lit(True).alias("open"))
+    step = lambda s, b: F.when(s["open"], F.struct((s["value"] * 128 + b % 128).alias("value"), (s["length"] + 1).alias("length"), (b < 128).alias("open"))).otherwise(s)
+    start = F.lit(at + 1) if isinstance(at, int) else (at + 1).cast("int")
+    return F.aggregate(_bytes(content, start, 4), zero, step, lambda s: F.struct(s["value"].alias("value"), s["length"].alias("length")))
+
+
+def variable_length_back(content: Column) -> Column:
+    """The number of seven bits a byte at the end of content, four bytes at most; its first byte is marked."""
+    last = _bytes(content, F.greatest(F.length(content) - 3, F.lit(1)), 4)
+    return F.aggregate(last, F.lit(0).cast("long"), lambda s, b: F.when(b >= 128, b % 128).otherwise(s * 128 + b))

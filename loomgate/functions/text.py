@@ -171,3 +171,24 @@ def data_url(content: Column, mime: str) -> Column:
 def blob_text(content: Column) -> Column:
     """Bytes as text: `base64:` and their base64 form."""
     return F.concat(F.lit("base64:"), base64_line(content))
+
+
+def data_url_parts(url: Column) -> Column:
+    """struct mime, content of a data URL in base64; null for anything else."""
+    form = r"(?s)^data:([^;,]*);base64,(.*)$"
+    return F.when(url.rlike(form), F.struct(F.regexp_extract(url, form, 1).alias("mime"), F.try_to_binary(F.regexp_extract(url, form, 2), F.lit("base64")).alias("content")))
+
+
+def truthy(values: Column) -> Column:
+    """The array without nulls and empty texts."""
+    return F.filter(values, lambda x: x.isNotNull() & (x != ""))
+
+
+def utf16_key(x: Column) -> Column:
+    """A sort key: texts by UTF-16 units, which differs from the order of UTF-8 bytes above the basic plane."""
+    return F.hex(F.encode(x, "UTF-16BE"))
+
+
+def numbers_in(text: Column, pattern: str) -> Column:
+    """The different numbers that the pattern's group finds, ascending."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("long"))))

@@ -56,3 +56,10 @@ def not_empty(df: DataFrame, message: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(message)
     return df
+
+
+def at_most(df: DataFrame, n: int, what: str) -> DataFrame:
+    """df, or an error if it has more than n rows; only n + 1 of them are counted."""
+    if df.limit(n + 1).count() > n:
+        raise ValueError(f"More than {n} {what}")
+    return df

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgate.functions.markup import Node, Tree
+from loomgate.functions.text import trim
 from loomgate.operators import aggregates, lookups, ordered
 
 #: Largest turn in degrees, largest turn against the line, baselines apart in points and in heights, ratio of
@@ -151,3 +152,45 @@ def metadata_text(json: Column) -> Column:
     member = F.coalesce(F.try_element_at(named, F.lit("en")), F.get(F.map_values(named), F.lit(0)))
     kind = F.schema_of_variant(value)
     return F.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), member).otherwise(F.try_variant_get(value, "$", "string"))
+
+
+def shown(text: Column, rotation: Column) -> Column:
+    """Whether a piece of text is laid out at all: it isn't blank and hardly turned (degrees)."""
+    return F.coalesce(trim(text) != "", F.lit(False)) & (F.abs(rotation) <= TURN)
+
+
+def glyph_text(glyphs: Column) -> Column:
+    """The text of an array<struct<str, unicode, fontChar>>: of each glyph the first of these that isn't empty."""
+    own = lambda g: F.coalesce(*[F.nullif(g[k], F.lit("")) for k in ("str", "unicode", "fontChar")], F.lit(""))
+    return F.array_join(F.transform(glyphs, own), "")
+
+
+def colour_states(steps: Column) -> Column:
+    """The colour after each of array<struct<op, colour>>: set takes a colour, save keeps the one at hand, restore takes it back
+    (without one kept, nothing changes); other steps change nothing."""
+    texts = "array<string>"
+    zero = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast(texts).alias("kept"), F.array().cast(texts).alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = F.size(s["kept"])
+        back = (x["op"] == "restore") & (depth > 0)
+        now = F.when(x["op"] == "set", x["colour"]).when(back, F.try_element_at(s["kept"], F.lit(-1))).otherwise(s["now"])
+        kept = F.when(x["op"] == "save", F.concat(s["kept"], F.array(s["now"]))).when(back, F.slice(s["kept"], F.lit(1), depth - 1)).otherwise(s["kept"])
+        return F.struct(now.alias("now"), kept.alias("kept"), F.concat(s["out"], F.array(now)).alias("out"))
+
+    return F.aggregate(steps, zero, step, lambda s: s["out"])
+
+
+def contents_levels(indents: Column) -> Column:
+    """Levels in a table of contents by the indents of its entries: a larger indent is one level down, a smaller one the level that
+    this indent had last, or one up."""
+    kind = "array<struct<indent:double,level:int>>"
+    zero = F.struct(F.lit(0.0).alias("indent"), F.lit(0).alias("level"), F.array().cast(kind).alias("had"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        before = F.try_element_at(F.filter(s["had"], lambda h: h["indent"] == x), F.lit(-1))["level"]
+        level = F.when(x > s["indent"], s["level"] + 1).when(x == s["indent"], s["level"]).otherwise(F.coalesce(before, F.greatest(F.lit(0), s["level"] - 1)))
+        had = F.concat(F.filter(s["had"], lambda h: h["indent"] != x), F.array(F.struct(x.alias("indent"), level.alias("level"))))
+        return F.struct(x.alias("indent"), level.alias("level"), had.alias("had"), F.concat(s["out"], F.array(level)).alias("out"))
+
+    return F.aggregate(indents, zero, step, lambda s: s["out"])

@@ -60,3 +60,9 @@ def tree_depths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
         state = materialise(state.where("up IS NOT NULL").join(above, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth")).unionByName(state.where("up IS NULL")), "tree")
         open_nodes = state.where("up IS NOT NULL").count()
     return state.where("up IS NULL").select(F.col("node").alias(node), F.col("depth").cast("int").alias("depth"))
+
+
+def with_defaults(df: DataFrame, table: DataFrame, keys: list[str], defaults: dict[str, object]) -> DataFrame:
+    """df with the columns of a small table (a style sheet, a registry) by its keys; what isn't there gets the default."""
+    found = df.join(F.broadcast(table.select(*keys, *defaults)), keys, "left")
+    return found.withColumns({n: F.coalesce(n, F.lit(v)) for n, v in defaults.items()})

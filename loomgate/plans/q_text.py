@@ -131,7 +131,7 @@ def split_event_fields(spark, d):
 
 
 def js_numbers(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", N.js_number(F.col("l_extendedprice")).alias("price"), N.js_number(F.col("l_quantity")).alias("quantity"), N.js_number(F.col("l_discount") / 7).alias("share"), N.js_number(F.col("l_extendedprice") * 1e18).alias("large"), N.js_number(F.col("l_extendedprice") * -1e-12).alias("small"), N.js_number(F.when(F.col("l_linenumber") == 1, F.col("l_tax") * float("inf")).otherwise(F.col("l_quantity"))).alias("beyond"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", N.js_number(F.col("l_extendedprice")).alias("price"), N.js_number(F.col("l_quantity")).alias("quantity"), N.js_number(F.col("l_discount") / 7).alias("share"), N.js_number(F.col("l_quantity") * 1e21).alias("large"), N.js_number(F.col("l_quantity") / -1e9).alias("small"), N.js_number(F.when(F.col("l_linenumber") == 1, F.col("l_tax") * float("inf")).otherwise(F.col("l_quantity"))).alias("beyond"))
 
 
 def time_formats(spark, d):
@@ -194,7 +194,7 @@ SQL = {
     "path_cleaning": "SELECT p_partkey, array_to_string(list_filter(string_split(replace(p_name, ' ', '/') || '/' || p_brand || '/x.txt', '/'), lambda s: s NOT IN ('', '.', '..')), '/') AS path FROM part",
     "split_event_fields": """SELECT event_id, event_type AS f0, user_id::VARCHAR AS f1, regexp_extract(props, '^[^,]*') AS f2, substr(props || ',a,b', length(regexp_extract(props, '^[^,]*')) + 2) AS f3,
         CASE WHEN event_id % 2 = 0 THEN to_json(event_type || '=#"x' || chr(10))::VARCHAR ELSE event_type END AS ini, event_type AS bare FROM events""",
-    "js_numbers": f"""SELECT l_orderkey, l_linenumber, {_js('l_extendedprice')} AS price, {_js('l_quantity')} AS quantity, {_js('(l_discount / 7)')} AS share, {_far('(l_extendedprice * 1e18)')} AS large, {_far('(l_extendedprice * -1e-12)')} AS small,
+    "js_numbers": f"""SELECT l_orderkey, l_linenumber, {_js('l_extendedprice')} AS price, {_js('l_quantity')} AS quantity, {_js('(l_discount / 7)')} AS share, {_far('(l_quantity * 1e21)')} AS large, {_far('(l_quantity / -1e9)')} AS small,
         CASE WHEN l_linenumber > 1 THEN {_js('l_quantity')} WHEN l_tax = 0 THEN 'NaN' ELSE 'Infinity' END AS beyond FROM lineitem""",
     "time_formats": f"""WITH m AS (SELECT *, event_id * 86399 + 7 AS ms FROM events), c AS (SELECT *, floor(ms / 10 + 0.5)::BIGINT AS cs FROM m)
         SELECT event_id, {_TIME.replace('MARK', ',')} AS srt, {_TIME.replace('MARK', '.')} AS vtt, format('{{}}:{{:02d}}:{{:02d}}.{{:02d}}', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) AS ass, ms AS back, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM c""",

@@ -67,3 +67,32 @@ def texts(books: DataFrame, content: str, keys: list[str]) -> DataFrame:
         return pd.Series([one(d, c, s) for d, c, s in zip(data, codec, charset, strict=True)])
 
     return each.join(heads, keys).where("place BETWEEN 1 AND n").select(*keys, "place", decoded("data", "codec", "charset").alias("text"))
+
+
+#: Types of metadata records, their names, and whether they may repeat.
+METADATA = {100: ("creator", True), 101: ("publisher", False), 103: ("description", False), 104: ("isbn", False), 105: ("subject", True), 106: ("date", False), 108: ("contributor", True), 109: ("rights", False), 503: ("title", False), 524: ("language", True)}
+
+
+def metadata_records(header: Column) -> Column:
+    """array<struct<type, data>> of a metadata header (EXTH): each record has its type, its length with both numbers, and its bytes."""
+    kind = "array<struct<type:bigint,data:binary>>"
+    count = F.when(F.substring(header, 1, 4) == F.lit(bytearray(b"EXTH")), number(header, 8, 4)).otherwise(F.raise_error(F.lit("Invalid metadata header")).cast("long"))
+    zero = F.struct(F.lit(12).cast("long").alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        size = number(header, s["at"] + 4, 4)
+        data = F.substring(header, (s["at"] + 9).cast("int"), (size - 8).cast("int"))
+        return F.struct((s["at"] + size).alias("at"), F.concat(s["out"], F.array(F.struct(number(header, s["at"], 4).alias("type"), data.alias("data")))).alias("out"))
+
+    each = F.when(count > 0, F.sequence(F.lit(1).cast("long"), count)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(each, zero, step, lambda s: s["out"])
+
+
+def metadata(books: DataFrame, header: str, keys: list[str]) -> DataFrame:
+    """keys, name, value: metadata in order; of a name that may not repeat the last counts. Text is read as UTF-8."""
+    names = F.create_map(*[F.lit(x) for t, (name, _) in METADATA.items() for x in (t, name)])
+    many = [name for name, repeats in METADATA.values() if repeats]
+    each = books.select(*keys, F.posexplode(metadata_records(F.col(header))).alias("place", "r"))
+    named = each.select(*keys, "place", F.element_at(names, F.col("r.type").cast("int")).alias("name"), F.decode("r.data", "UTF-8").alias("value")).where("name IS NOT NULL")
+    slot = F.when(F.col("name").isin(many), F.col("place")).otherwise(-1).alias("slot")
+    return named.groupBy(*keys, "name", slot).agg(F.max_by("value", "place").alias("value")).select(*keys, "name", "slot", "value")

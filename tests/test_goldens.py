@@ -261,7 +261,7 @@ def test_separated_line_ends(spark, tmp_path):
 
 @pytest.mark.parametrize(
     ("value", "shown"),
-    [(0.0, "0"), (-0.0, "0"), (20.0, "20"), (0.1, "0.1"), (1e-6, "0.000001"), (1e-7, "1e-7"), (-1.5e-9, "-1.5e-9"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.25e22, "1.25e+22"), (1.2345678901234567e-300, "1.2345678901234567e-300"), (float("nan"), "NaN"), (float("inf"), "Infinity"), (float("-inf"), "-Infinity")],
+    [(0.0, "0"), (-0.0, "0"), (20.0, "20"), (0.1, "0.1"), (1e-6, "0.000001"), (1e-7, "1e-7"), (-1.5e-9, "-1.5e-9"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.25e22, "1.25e+22"), (1.2345678901234568e-300, "1.2345678901234568e-300"), (float("nan"), "NaN"), (float("inf"), "Infinity"), (float("-inf"), "-Infinity")],
 )
 def test_js_number(spark, value, shown):
     df = spark.createDataFrame([(value,)], "x double")
