@@ -1,6 +1,6 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-A word's subwords are its character 2- to 4-grams and itself, with marks at both ends, hashed
+A word's subwords are its character 2- to 4-grams, with marks at both ends, and itself, hashed
 into buckets. A text is the mean of the embeddings of all subwords of all its words. Embeddings and
 softmax are trained together by stochastic gradient descent in numpy, on a bounded sample of labelled rows
 (PER_LANGUAGE texts of at most MAX_BYTES for each language, and about SAMPLE in all). A fifth of the sample is kept out of the training; there a
@@ -38,14 +38,42 @@ UNKNOWN = "und"
 #: Words a worker remembers; some 50 MB.
 MEMORY = 250_000
 #: Numbers that the word class of `re` takes for letters, such as fractions and Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_words = re.compile(rf"[^\W\d_{_NUMBERS}]+").findall
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_GAPS = str.maketrans(dict.fromkeys(_NUMBERS, " "))
+_runs = re.compile(r"[^\W\d_]+").findall
 
 
-def subwords(word: str) -> list[int]:
-    marked = f"<{word}>"
-    grams = {marked} | {marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in sorted(grams)]
+def _words(text: str) -> list[str]:
+    """Runs of letters. Texts with other numbers than digits are rare, so these aren't in the pattern, which they would slow down."""
+    return _runs(text if _NUMBERS.isdisjoint(text) else text.translate(_GAPS))
+
+
+#: Words whose subwords are hashed at once.
+_AT_ONCE = 20_000
+#: Odd factors of the hash of a run of characters.
+_STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, starts): the buckets of each word's subwords, word after word, and where each word's begin.
+
+    All words are laid in a row with marks at their ends; runs of 2 to 4 characters are hashed side by side."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters of the word from here on
+    whole = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    hashes, owners, h = [whole * _STEP], [np.arange(len(words))], codes
+    for n in (2, 3, 4):
+        h = h[:-1] * _STEP + codes[n - 1 :]
+        inside = left[: len(h)] >= n
+        hashes.append(h[inside] ^ np.uint64(n))
+        owners.append(owner[: len(h)][inside])
+    all_owners = np.concatenate(owners)
+    order = np.argsort(all_owners, kind="stable")
+    buckets = (np.concatenate(hashes)[order] * _MIX >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
+    counts = np.bincount(all_owners, minlength=len(words))
+    return buckets, np.cumsum(counts) - counts
 
 
 @dataclass
@@ -77,11 +105,13 @@ class Predictor:
             room = max(need, 2 * len(self.sizes)) - len(self.sizes)
             self.sums = np.concatenate([self.sums, np.zeros((room, self.sums.shape[1]), np.float32)])
             self.sizes = np.concatenate([self.sizes, np.zeros(room, np.int32)])
-        for w in words:
-            grams = subwords(w)
-            i = self.index[w] = len(self.index)
-            self.sums[i] = self.model.logits[grams].sum(0)
-            self.sizes[i] = len(grams)
+        new = list(words)
+        for k in range(0, len(new), _AT_ONCE):
+            part, at = new[k : k + _AT_ONCE], len(self.index)
+            buckets, starts = subwords(part)
+            self.index.update(zip(part, range(at, at + len(part)), strict=True))
+            self.sums[at : at + len(part)] = np.add.reduceat(self.model.logits[buckets], starts)
+            self.sizes[at : at + len(part)] = np.diff(np.append(starts, len(buckets)))
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = _words((text or "").lower())
@@ -107,15 +137,18 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def _examples(texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(buckets, shares, label): each whole text, and some runs of a few of its words, so that short texts are met too."""
-    known: dict[str, list[int]] = {}
     out = []
     for text, label in zip(texts, labels, strict=True):
         words = _words(text.lower())
-        for run in [words, *(words[i : i + int(rng.integers(1, 12))] for i in rng.integers(0, max(1, len(words)), 3))]:
-            grams = [g for w in run for g in (known.get(w) or known.setdefault(w, subwords(w)))]
-            if grams:
-                buckets, n = np.unique(np.array(grams), return_counts=True)
-                out.append((buckets, (n / len(grams)).astype(np.float32), int(label)))
+        if not words:
+            continue
+        different = list(dict.fromkeys(words))
+        grams, starts = subwords(different)
+        of = dict(zip(different, np.split(grams, starts[1:]), strict=True))
+        for run in [words, *(words[i : i + int(rng.integers(1, 12))] for i in rng.integers(0, len(words), 3))]:
+            own = np.concatenate([of[w] for w in run])
+            buckets, n = np.unique(own, return_counts=True)
+            out.append((buckets, (n / len(own)).astype(np.float32), int(label)))
     return out
 
 

@@ -285,6 +285,16 @@ def test_language(spark, docs, odd):
     assert {r["lang_pred"] for r in langid.predicted_languages(unlabelled).collect()} == {"und"}
 
 
+def test_language_subwords():
+    """A word's buckets don't depend on the words beside it, and are as many as its runs of 2 to 4 characters and one."""
+    words = ["a", "ab", "naïve", "日本語", "🙂x", "abababab"]
+    buckets, starts = langid.subwords(words)
+    together = np.split(buckets, starts[1:])
+    for w, own in zip(words, together, strict=True):
+        assert own.tolist() == langid.subwords([w])[0].tolist()
+        assert len(own) == 1 + sum(max(0, len(w) + 3 - n) for n in (2, 3, 4)) and own.min() >= 0 and own.max() < langid.BUCKETS
+
+
 def test_language_letters():
     """Words are runs of letters as Unicode has them: no fractions, powers, Roman numerals or circled numbers."""
     for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000)]):
