@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgate.operators import ranges
+
 
 def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: Column, order: str) -> DataFrame:
     """keys, mode, weight: of each group the value of the largest summed weight, of equal ones the first in order.
@@ -18,11 +23,14 @@ def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: Column, or
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, median: the entry at place floor(n/2), from 0, of the sorted values; no mean of two.
 
-    Equal values are counted before they are ordered, so a group takes space for its distinct values only."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counted.withColumn("upto", F.sum("n").over(before)).withColumn("half", F.floor(F.sum("n").over(Window.partitionBy(*keys)) / 2))
-    return placed.where((F.col("upto") > F.col("half")) & (F.col("upto") - F.col("n") <= F.col("half"))).select(*keys, F.col(value).alias("median"))
+    Equal values are counted before they are ordered, and running counts come in ranges, so that a group of any size is spread."""
+    counted = ranges.materialise(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")), "counted")
+    placed = ranges.sums_to_here(ranges.ranged(counted, keys, [value]), keys, {"__upto": F.col("n")})
+    own = [f"__key{i}" for i in range(len(keys))]
+    half = counted.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]).agg(F.floor(F.sum("n") / 2).alias("__half"))
+    same = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)], F.lit(True))
+    found = placed.join(half if keys else F.broadcast(half), same)
+    return found.where((F.col("__upto") > F.col("__half")) & (F.col("__upto") - F.col("n") <= F.col("__half"))).select(*keys, F.col(value).alias("median"))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -57,7 +58,7 @@ def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
     Where no group has more than WINDOW_ROWS rows there is AT only, and a group is one window: the same results without a
     written copy of the rows."""
-    hashed = all(f.dataType.typeName() not in ("map", "variant") for f in df.schema)  # what ties are told apart by
+    hashed = all(not re.search(r"\b(map<|variant)", f.dataType.simpleString()) for f in df.schema)  # what ties are told apart by
     if hashed and (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= WINDOW_ROWS:
         return df.withColumn(AT, F.struct(*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
     by = [*keys, *order, "__tie"]

@@ -222,7 +222,12 @@ def convert_rows(spark: SparkSession, path: str, target: str, out: str, **option
     row_sink.write(read_rows(spark, task).withColumn("__ord", F.monotonically_increasing_id()), out, task.request.target, ["__ord"])
 
 
-def convert_batch(spark: SparkSession, requests: list[Request], out: str, workers: int | None = None) -> DataFrame:
+def cancel(spark: SparkSession, group: str) -> None:
+    """Stop the running jobs of a batch that was given this group; its items that aren't done are rejected."""
+    spark.sparkContext.cancelJobGroup(group)
+
+
+def convert_batch(spark: SparkSession, requests: list[Request], out: str, workers: int | None = None, group: str | None = None) -> DataFrame:
     """idx, status (fulfilled or rejected), files, reason of each request, in order; its files are written in the folder
     out/idx, which the executors have to share. As many requests run at once as the session has task slots, up to 8."""
     tasks = [plan(r) for r in requests]
@@ -230,6 +235,8 @@ def convert_batch(spark: SparkSession, requests: list[Request], out: str, worker
     def run(pair: tuple[int, Task]) -> tuple[int, str, list, str | None]:
         i, task = pair
         try:
+            if group:
+                spark.sparkContext.setJobGroup(group, task.name, interruptOnCancel=True)
             made = store.stored(convert(spark, task.request.path, task.request.target, **task.request.options), f"{out}/{i}")
             return i, "fulfilled", [tuple(r) for r in made.collect()], None
         except Exception as e:  # one item's failure is its own result

@@ -110,7 +110,9 @@ SQL = {
     "rows_to_ndjson": f"""SELECT c_custkey, '{{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":' || {_js('c_acctbal')} || ',"c_mktsegment":"' || c_mktsegment || '"}}' AS line FROM customer""",
     "rows_to_html_table": _nations("'<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>'", """'<table id="converted-table"><tbody><tr><td>n_nationkey</td><td>n_name</td></tr>'""", "''", "'</tbody></table>'"),
     "rows_to_yaml": _nations(f"'- n_nationkey: ' || n_nationkey || {_NL} || '  n_name: ' || n_name", "''", _NL, _NL),
-    "database_bundle_json": """SELECT '{"nation":[' || (SELECT string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}', ',' ORDER BY n_nationkey) FROM nation) || '],"region":[' || (SELECT string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) FROM region) || ']}' AS text""",
+    "database_bundle_json": r"""WITH n AS (SELECT string_agg(E'    {\n      "n_nationkey": ' || n_nationkey || E',\n      "n_name": "' || n_name || E'",\n      "n_regionkey": ' || n_regionkey || E'\n    }', E',\n' ORDER BY n_nationkey) AS t FROM nation),
+        r AS (SELECT string_agg(E'    {\n      "r_regionkey": ' || r_regionkey || E',\n      "r_name": "' || r_name || E'"\n    }', E',\n' ORDER BY r_regionkey) AS t FROM region)
+        SELECT E'{\n  "nation": [\n' || n.t || E'\n  ],\n  "region": [\n' || r.t || E'\n  ]\n}' AS text FROM n, r""",
     "key_union": "SELECT r_regionkey::VARCHAR AS key, r_name AS name, '' AS parent FROM region UNION ALL SELECT n_nationkey::VARCHAR, '', n_regionkey::VARCHAR FROM nation",
     "ini_parse_rows": """WITH p AS (SELECT p_partkey, p_size, p_name, p_retailprice::DECIMAL(12,2)::VARCHAR AS price FROM part)
         SELECT p_partkey, '' AS section, 'size' AS key, p_size::VARCHAR AS value, 'number' AS kind FROM p UNION ALL SELECT p_partkey, 'p.main', 'name', p_name, 'string' FROM p UNION ALL SELECT p_partkey, 'p.main', 'price', price, 'number' FROM p

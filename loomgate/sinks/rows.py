@@ -62,9 +62,10 @@ def json_line(fields: list[StructField]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
 
 
-def json_block(fields: list[StructField]) -> Column:
-    pairs = [F.concat(F.lit("    "), json_string(F.lit(f.name)), F.lit(": "), as_json(f)) for f in fields]
-    return F.concat(F.lit("  {\n"), F.concat_ws(",\n", *pairs), F.lit("\n  }"))
+def json_block(fields: list[StructField], level: int = 1) -> Column:
+    """An object on lines of its own, level steps of two blanks in."""
+    pairs = [F.concat(F.lit("  " * (level + 1)), json_string(F.lit(f.name)), F.lit(": "), as_json(f)) for f in fields]
+    return F.concat(F.lit("  " * level + "{\n"), F.concat_ws(",\n", *pairs), F.lit("\n" + "  " * level + "}"))
 
 
 def xml_row(fields: list[StructField]) -> Column:
@@ -161,11 +162,14 @@ def write(df: DataFrame, path: str, target: str, order: list[str], compression:
 
 
 def database_bundle(tables: dict[str, DataFrame], orders: dict[str, list[str]]) -> DataFrame:
-    """One JSON document {table: [rows]}, tables by name."""
+    """One JSON document {table: [rows]}, indented, tables by name."""
     parts = None
     for name in sorted(tables):
-        rows = lines(tables[name], "ndjson", orders[name])
-        places = [f"__o{i}" for i in range(len(orders[name]))]
-        one = rows.agg(F.concat(F.lit(f'"{name}":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*places, "line"))), lambda x: x["line"]), ","), F.lit("]")).alias("t")).select(F.lit(name).alias("name"), "t")
+        order = orders[name]
+        fields = _own(tables[name], [c for c in order if c.startswith("__")])
+        rows = tables[name].select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], json_block(fields, 2).alias("line"))
+        listed = F.array_sort(F.collect_list(F.struct(*(f"__o{i}" for i in range(len(order))), "line")))
+        body = F.when(F.size(listed) == 0, "[]").otherwise(F.concat(F.lit("[\n"), F.array_join(F.transform(listed, lambda x: x["line"]), ",\n"), F.lit("\n  ]")))
+        one = rows.agg(F.concat(F.lit("  "), json_string(F.lit(name)), F.lit(": "), body).alias("t")).select(F.lit(name).alias("name"), "t")
         parts = one if parts is None else parts.unionByName(one)
-    return parts.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "t"))), lambda x: x["t"]), ","), F.lit("}")).alias("text"))
+    return parts.agg(F.concat(F.lit("{\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "t"))), lambda x: x["t"]), ",\n"), F.lit("\n}")).alias("text"))
