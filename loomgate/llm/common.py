@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,15 +12,19 @@ from loomgate.operators.ranges import materialise
 
 __all__ = ["bounded_broadcast", "materialise", "read", "text_of", "type_of", "unused", "without"]
 
-#: Rows up to which a side of a join may be broadcast (a few tens of MB); above it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of texts, up to which a side of a join may be broadcast; above it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else unchanged (the join then shuffles).
+    """df with a broadcast hint if it has at most limit rows and BROADCAST_BYTES of texts, else unchanged (the join then shuffles).
 
     df must be cheap to count: a materialised table, whose files tell their row counts."""
-    return F.broadcast(df) if df.count() <= limit else df
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    if not texts:
+        return F.broadcast(df) if df.count() <= limit else df
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(reduce(add, texts)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df
 
 
 def unused(df: DataFrame, name: str) -> str:
