@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgate.llm import byte_bpe, decontamination, exact_dedup, html_text, langid, language_model, licenses, sharding, simhash, tool_calls
+from loomgate.llm import byte_bpe, decontamination, exact_dedup, html_text, langid, language_model, licenses, merkle, sharding, simhash, tool_calls
 from loomgate.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(read(spark, sf_dir, "documents"))
+
+
 OP4_SQL = """
 WITH RECURSIVE t AS (SELECT *, 'c' || conv_id || '-' || turn AS id FROM conversations),
 calls AS (SELECT conv_id AS conv, id, turn AS seq, role, any_value(text) AS text FROM t WHERE role <> 'assistant' GROUP BY ALL),
@@ -93,23 +97,56 @@ FROM d WINDOW g AS (PARTITION BY norm)
 """
 
 
-OP10_SQL = """
-WITH RECURSIVE poly AS (SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
+#: CRC-32 in SQL: the table of the bytes, and the checksum of a text expression.
+CRC_TABLE = """poly AS (SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
   UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM poly WHERE k < 8),
-crc AS (SELECT list(v ORDER BY i) AS t FROM poly WHERE k = 8),
-d AS (SELECT doc_id, (coalesce(strlen(text), 0) + 1)::BIGINT AS size,
-  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
-      lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)::BIGINT AS text_crc32 FROM documents, crc),
+crc AS (SELECT list(v ORDER BY i) AS t FROM poly WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text, where crc is one of the tables read."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)::BIGINT"""
+
+
+OP10_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, (coalesce(strlen(text), 0) + 1)::BIGINT AS size, {crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents, crc),
 lined AS (SELECT *, (sum(size) OVER (ORDER BY doc_id) - size)::BIGINT AS before, (sum(size) OVER ())::BIGINT AS total, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM d),
 cut AS (SELECT *, least(7, (2 * before + size) * 8 // (2 * total))::INT AS shard FROM lined)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (rank - min(rank) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM cut
 """
 
 
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+#: Levels are lists of digests; where the fanout is 2 a node's sibling stands at its number with the last bit flipped.
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, {crc_sql("doc_id::VARCHAR")} % 7 = 0 AS touched,
+  sha256({_field("doc_id::VARCHAR")} || {_field("source")} || {_field("lang")} || {_field("n_chars::VARCHAR")} || {_field("text")}) AS leaf,
+  sha256({_field("doc_id::VARCHAR")} || {_field("source")} || {_field("lang")} || {_field("(n_chars + 1)::VARCHAR")} || {_field("text")}) AS other FROM documents, crc),
+low AS (SELECT lang, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM d GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) FROM low WHERE len(nodes) > 1),
+subs AS (SELECT lang, level AS depth, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS no FROM low WHERE len(nodes) = 1),
+high AS (SELECT 0 AS level, list(subroot ORDER BY no) AS nodes FROM subs
+  UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) FROM high WHERE len(nodes) > 1),
+top AS (SELECT nodes[1] AS root FROM high WHERE len(nodes) = 1),
+steps AS (SELECT d.doc_id, low.level AS lvl, (d.idx >> low.level)::BIGINT AS own, low.nodes AS nodes FROM d JOIN low ON low.lang IS NOT DISTINCT FROM d.lang WHERE len(low.nodes) > 1
+  UNION ALL SELECT d.doc_id, 1000 + high.level, (subs.no >> high.level)::BIGINT, high.nodes FROM d JOIN subs ON subs.lang IS NOT DISTINCT FROM d.lang, high WHERE len(high.nodes) > 1),
+paths AS (SELECT doc_id, list({{'side': own % 2, 'hash': coalesce(nodes[xor(own, 1) + 1], '')}} ORDER BY lvl) AS path FROM steps GROUP BY doc_id),
+folds AS (SELECT d.doc_id, d.leaf, subs.subroot, coalesce(p.path, []) AS path, CASE WHEN d.touched AND d.other IS NOT NULL THEN d.other ELSE d.leaf END AS start FROM d JOIN subs ON subs.lang IS NOT DISTINCT FROM d.lang LEFT JOIN paths p ON p.doc_id = d.doc_id),
+done AS (SELECT *, list_reduce(list_prepend({{'side': 0, 'hash': start}}, path), lambda a, s: {{'side': 0, 'hash': sha256(CASE WHEN s.side = 1 THEN s.hash || a.hash ELSE a.hash || s.hash END)}}).hash AS folded_root FROM folds)
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_transform(path, lambda s: s.hash), 'string_agg', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM done, top
+"""
+
+
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_simhash, op4_tool_calls, op5_exact_dedup, op6_byte_bpe, op7_language, op8_licenses, op9_language_model, op10_sharding)}
+    found = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_simhash, op4_tool_calls, op5_exact_dedup, op6_byte_bpe, op7_language, op8_licenses, op9_language_model, op10_sharding, op11_merkle)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_tool_calls": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_licenses": licenses.oracle(), "op10_sharding": OP10_SQL}
+    return {"op4_tool_calls": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_licenses": licenses.oracle(), "op10_sharding": OP10_SQL, "op11_merkle": OP11_SQL}
