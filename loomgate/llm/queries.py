@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomgate.llm import byte_bpe, decontamination, exact_dedup, html_text, langid, language_model, licenses, merkle, sharding, simhash, tool_calls
+from loomgate.llm import byte_bpe, decontamination, exact_dedup, html_text, langid, language_model, licenses, merkle, minhash, sharding, simhash, spelling, tool_calls
 from loomgate.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(read(spark, sf_dir, "documents"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 OP4_SQL = """
 WITH RECURSIVE t AS (SELECT *, 'c' || conv_id || '-' || turn AS id FROM conversations),
 calls AS (SELECT conv_id AS conv, id, turn AS seq, role, any_value(text) AS text FROM t WHERE role <> 'assistant' GROUP BY ALL),
@@ -142,11 +150,43 @@ done AS (SELECT *, list_reduce(list_prepend({{'side': 0, 'hash': start}}, path),
 SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_transform(path, lambda s: s.hash), 'string_agg', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM done, top
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END)) AS s FROM split),
+classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT rep, n, unnest(s) AS shingle FROM classes),
+shared AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS p, any_value(b.n) AS q, count(*) AS common FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.rep <> b.rep GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * common >= 80 * (p + q - common)),
+walk AS (SELECT rep, rep AS other FROM classes UNION SELECT w.rep, l.b FROM walk w JOIN links l ON l.a = w.other),
+least AS (SELECT rep, min(other) AS low FROM walk GROUP BY rep)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(l.low, d.doc_id) AS component_id, coalesce(l.low, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN classes c ON c.s = d.s AND len(d.s) > 0 LEFT JOIN least l ON l.rep = c.rep
+"""
+#: Words one edit apart have a common cut: of both at the same place, or of the longer one.
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+each_run AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM each_run, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cuts AS (SELECT word, n, i, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS cut FROM places),
+near AS (SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near GROUP BY word),
+firsts AS (SELECT near.word, min(other) AS form, any_value(top) AS form_n, any_value(n_near) AS n_near FROM near JOIN best ON best.word = near.word AND near.n = best.top GROUP BY near.word),
+formed AS (SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near, CASE WHEN f.form_n >= 10 * w.n THEN f.form END AS form, CASE WHEN f.form_n >= 10 * w.n THEN f.form_n END AS form_n FROM words w LEFT JOIN firsts f ON f.word = w.word),
+walk AS (SELECT word, word AS root, form AS up FROM formed UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN formed f ON f.word = w.up)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w ON w.word = f.word AND w.up IS NULL
+"""
+
 
 def queries() -> dict[str, Query]:
-    found = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_simhash, op4_tool_calls, op5_exact_dedup, op6_byte_bpe, op7_language, op8_licenses, op9_language_model, op10_sharding, op11_merkle)}
+    found = {f.__name__: f for f in (op1_decontamination, op2_html_text, op3_simhash, op4_tool_calls, op5_exact_dedup, op6_byte_bpe, op7_language, op8_licenses, op9_language_model, op10_sharding, op11_merkle, op12_minhash, op13_spelling)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_tool_calls": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_licenses": licenses.oracle(), "op10_sharding": OP10_SQL, "op11_merkle": OP11_SQL}
+    return {"op4_tool_calls": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_licenses": licenses.oracle(), "op10_sharding": OP10_SQL, "op11_merkle": OP11_SQL, "op12_minhash": OP12_SQL, "op13_spelling": OP13_SQL}
