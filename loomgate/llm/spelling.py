@@ -3,7 +3,8 @@
 If two words differ by one inserted, deleted or replaced code point, the edit lies in one half of the first word; its other half
 stands unchanged in the second, the first half at its start or the second half at its end. So the halves of all words
 are held by Aho-Corasick automata, and all words are scanned: a hit counts if it lies at the start (or end), if the lengths are
-at most one apart, and if the rest differs by one edit.
+at most one apart, and if the rest differs by one edit. The words of a half may be many, so their rests aren't compared one by one: they are kept
+under what one code point less leaves of them, where a rest one edit away is found.
 
 The automata are shards. A hit at the start implies equal first code points (HEAD of them, as no half is shorter), one at the
 end equal last ones (TAIL), so a half goes to the shard of its side and those code points, and a word is scanned in the shards of
@@ -32,8 +33,8 @@ LEAST_LENGTH, LEAST_COUNT, RATIO, SLIP = 7, 2, 10, 31
 #: Code points that the two halves of a word of LEAST_LENGTH have at least.
 HEAD, TAIL = LEAST_LENGTH // 2, LEAST_LENGTH - LEAST_LENGTH // 2
 #: Words whose halves an automaton holds; different words that a task counts before it hands them on; characters above which a text's
-#: words aren't listed at once.
-SHARD, COUNTED, LONG = 4_000, 200_000, 1 << 22
+#: words aren't listed at once; code points of a rest up to which its cuts are kept.
+SHARD, COUNTED, LONG, LONG_REST = 4_000, 200_000, 1 << 22, 64
 
 #: Runs of at least LEAST_LENGTH letters, in a text whose A-Z are lower-cased: shorter ones aren't matched, longer ones from their start.
 _long_runs = re.compile(f"[a-zÀ-ÿ]{{{LEAST_LENGTH},}}")
@@ -75,44 +76,71 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.where(F.col("n") >= LEAST_COUNT)
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether the two differ by exactly one inserted, deleted or replaced code point."""
+def cuts(text: str) -> list[str]:
+    """What is left of a text without each of its code points."""
+    return [text[:i] + text[i + 1 :] for i in range(len(text))]
+
+
+def differ_by_one(a: str, b: str) -> bool:
     if len(a) < len(b):
         a, b = b, a
     i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(b))
     return a[i + 1 :] == b[i:] if len(a) == len(b) + 1 else len(a) == len(b) and i < len(a) and a[i + 1 :] == b[i + 1 :]
 
 
-def _shard(side: int, words: list[tuple[str, int]]) -> ahocorasick.Automaton | None:
-    """Halves of the words -> (length of the half, words by their length): first halves at side 0, second halves at side 1."""
-    held: dict[str, dict[int, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))
+class _Rests:
+    """Words with a common half, by what else they have. Of rests above LONG_REST code points the cuts would take too much; those are compared."""
+
+    def __init__(self, size: int):
+        self.size = size  # of the half
+        self.whole: dict[str, tuple[str, int]] = {}
+        self.cut: dict[str, list[tuple[int, str, int]]] = defaultdict(list)
+        self.long: list[tuple[str, str, int]] = []
+
+    def add(self, rest: str, word: str, n: int) -> None:
+        if len(rest) > LONG_REST:
+            self.long.append((rest, word, n))
+            return
+        self.whole[rest] = (word, n)
+        for i, left in enumerate(cuts(rest)):
+            self.cut[left].append((i, word, n))
+
+    def one_edit(self, rest: str, word: str) -> dict[str, int]:
+        """The words (and their counts) whose rest is one edit away; word: the one that rest belongs to."""
+        found = {other: n for _, other, n in self.cut.get(rest, ())}  # one code point more
+        if len(rest) >= LONG_REST:
+            found |= {other: n for its, other, n in self.long if abs(len(its) - len(rest)) <= 1 and differ_by_one(its, rest)}
+        if len(rest) <= LONG_REST + 1:
+            for i, left in enumerate(cuts(rest)):
+                if left in self.whole:
+                    found.update([self.whole[left]])
+                found |= {other: n for j, other, n in self.cut.get(left, ()) if i == j and other != word}
+        return found
+
+
+def _shard(side: int, words: list[tuple[str, int]]) -> ahocorasick.Automaton:
+    """First halves of the words at side 0, second halves at side 1, each with its _Rests."""
+    held: dict[str, _Rests] = {}
     for word, n in words:
-        cut = len(word) // 2
-        held[word[cut:] if side else word[:cut]][len(word)].append((word, n))
+        middle = len(word) // 2
+        half, rest = (word[middle:], word[:middle]) if side else (word[:middle], word[middle:])
+        held.setdefault(half, _Rests(len(half))).add(rest, word, n)
     automaton = ahocorasick.Automaton()
-    for half, owners in held.items():
-        automaton.add_word(half, (len(half), owners))
-    if not held:
-        return None
+    for half, rests in held.items():
+        automaton.add_word(half, rests)
     automaton.make_automaton()
     return automaton
 
 
-def _near(automaton: ahocorasick.Automaton, side: int, word: str) -> Iterator[tuple[str, int]]:
+def near(automaton: ahocorasick.Automaton, side: int, word: str) -> list[tuple[str, int]]:
     """The held words (and their counts) near word that this side has to find; a pair that both halves find is left to side 0."""
-    last = len(word) - 1
-    for end, (size, owners) in automaton.iter(word):
-        if end != (last if side else size - 1):
-            continue
-        rest = word[: last + 1 - size] if side else word[size:]
-        for length in (last, last + 1, last + 2):
-            for other, n in owners.get(length, ()):
-                if side:
-                    cut = length // 2
-                    if not word.startswith(other[:cut]) and one_edit(rest, other[:cut]):
-                        yield other, n
-                elif one_edit(rest, other[size:]):
-                    yield other, n
+    found: dict[str, int] = {}
+    for end, rests in automaton.iter(word):
+        if side and end == len(word) - 1:
+            found |= {w: n for w, n in rests.one_edit(word[: -rests.size], word).items() if not word.startswith(w[: len(w) // 2])}
+        elif not side and end == rests.size - 1:
+            found |= rests.one_edit(word[rests.size :], word)
+    return list(found.items())
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +157,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if words:
                 automaton, words = _shard(side, words), []
-            found = list(_near(automaton, side, word)) if automaton is not None else []
+            found = near(automaton, side, word) if automaton is not None else []
             if found:
                 form, form_n = min(found, key=lambda x: (-x[1], x[0]))
                 out.append((word, len(found), form_n, form))
