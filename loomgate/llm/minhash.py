@@ -4,16 +4,17 @@ HASHES universal hashes of a document's shingles have each a minimum; two docume
 their sets are similar. Bands of ROWS minima are keys of buckets: a pair at 0.8 misses all of them with a probability of
 5e-8, so the search loses no pair in practice. Documents with equal sets are one node from then on.
 
-Links are confirmed on full sets, in three rounds, so that a group of copies never meets itself in full:
+Links are confirmed on full sets, in two rounds, so that a group of copies never meets itself in full:
 
 1. Each node is tried with one leader: of the first nodes of its buckets the one that most of them share.
-2. Where a bucket still holds several components, signatures are compared across components (never within one), and each node
-   is tried with the most similar node of each other component.
-3. What the signatures still allow between components is tried; no such pair is left out.
+2. Where a bucket still holds several components, signatures are compared across components (never within one). What they allow is tried in
+   the bucket, where components grow together as links are found and pairs within one aren't tried any more. Nothing else is left out. A
+   pair is tried in the first of the buckets that it shares.
 
 A signature allows a pair if so many minima agree as a pair at 0.8 has all but surely (six standard deviations less than the mean). Components
-come from alternating large-star and small-star. A bucket is cut into blocks of BLOCK nodes that meet pairwise in tasks of their own, and the
-partners of a leader are dealt over tasks too, so that no bucket and no leader has to fit one task.
+come from alternating large-star and small-star. A bucket is cut into blocks of BLOCK nodes that meet pairwise in tasks of their own, a node's set is sent to
+such a meeting once, and only if its signature allows a pair there; the partners of a leader are dealt over tasks too. So no bucket and no leader has to fit one task,
+and pairs are never rows.
 
 Shingles are 64-bit hashes, sets are told apart by 128 bits of a cryptographic hash.
 
@@ -199,93 +200,127 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["d0", "d1", "held"])
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike; nodes (node, id, d0, d1), texts (doc_id, text).
+def sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, held (its set) of the nodes in wanted (a column node, repeats allowed); nodes (node, id, d0, d1), texts (doc_id, text). Written.
 
     Texts are found by identifier, sets by their digest, so that identifiers on several rows don't matter."""
-    ends = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
-    needed = materialise(nodes.join(bounded_broadcast(ends), "node", "left_semi"), "needed")
+    ends = materialise(wanted.select("node").distinct(), "ends")
+    needed = materialise(nodes.select("node", "id", "d0", "d1").join(bounded_broadcast(ends), "node", "left_semi"), "needed")
     ids = materialise(needed.select(F.col("id").alias("__needed")).distinct(), "ids")
     rows = texts.join(bounded_broadcast(ids), F.col("doc_id").eqNullSafe(F.col("__needed")), "left_semi")
     sets = rows.mapInArrow(_set_rows, "d0 long, d1 long, held binary").join(bounded_broadcast(needed), ["d0", "d1"])
-    held = materialise(sets.groupBy("node").agg(F.any_value("held").alias("held")), "sets")
-    return met(pairs, held, _sets_alike)
-
-
-def _across(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, i, j, own, node, comp, size, sig), sorted by key, i, j -> pairs (a, b) of the blocks i and j, of different components, that
-    sizes and signatures allow; with best only those that are the most similar to a node among a component's."""
-
-    def pairs(group: pa.Table) -> np.ndarray:
-        i, own = group.column("i")[0].as_py(), group.column("own").to_numpy()
-        same = bool((group.column("i").to_numpy() == group.column("j").to_numpy()).all())
-        left, right = (np.arange(len(own)),) * 2 if same else (np.flatnonzero(own == i), np.flatnonzero(own != i))
-        node, comp, size = (group.column(c).to_numpy() for c in ("node", "comp", "size"))
-        sig = _matrix(group.column("sig").combine_chunks())
-        found = []
-        for k in range(0, len(left), 32):
-            x = left[k : k + 32]
-            equal = (sig[x][:, None] == sig[right][None]).sum(2, dtype=np.int16)
-            least, most = np.minimum(size[x][:, None], size[right]), np.maximum(size[x][:, None], size[right])
-            ok = (equal >= LEAST_EQUAL) & (comp[x][:, None] != comp[right]) & (PARTS * least >= LEAST * most)
-            r, c = np.nonzero(ok & (x[:, None] < right) if same else ok)
-            found.append(np.stack([x[r], right[c], equal[r, c]]))
-        x, y, equal = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
-        if best and len(x):
-            keep = np.zeros(len(x), bool)
-            for mine, others in ((x, comp[y]), (y, comp[x])):
-                order = np.lexsort((-equal, others, mine))
-                first = np.ones(len(order), bool)
-                first[1:] = (np.diff(mine[order]) != 0) | (np.diff(others[order]) != 0)
-                keep[order[first]] = True
-            x, y = x[keep], y[keep]
-        return np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def out(table: pa.Table, cuts: list[int]) -> pa.RecordBatch:
-            found = np.concatenate([np.zeros((2, 0), np.int64), *(pairs(table.slice(s, e - s)) for s, e in zip(cuts, cuts[1:], strict=False))], 1)
-            return pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64))], names=["a", "b"])
-
-        for b in batches:
-            if b.num_rows:
-                table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-                at = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
-                cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist()]
-                yield out(table, cuts)
-                held = table.slice(cuts[-1])
-        if held is not None:
-            yield out(held, [0, held.num_rows])
-
-    return run
-
-
-def pairs_across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of buckets (key, node, size) whose nodes have different components by labels (node, component); see _across."""
+    return materialise(sets.groupBy("node").agg(F.any_value("held").alias("held")), "sets")
+
+
+class _Meeting:
+    """The rows (key, i, j, own, node, comp, size, sig) of one key, i and j: blocks i and j of a bucket."""
+
+    def __init__(self, group: pa.Table):
+        self.node, self.comp, self.size, own = (group.column(c).to_numpy() for c in ("node", "comp", "size", "own"))
+        self.sig = _matrix(group.column("sig").combine_chunks())
+        i, j, key = (group.column(c)[0].as_py() for c in ("i", "j", "key"))
+        self.band = int(np.flatnonzero(band_keys(self.sig[:1])[0] == key)[0])
+        self.same = i == j
+        self.left, self.right = (np.arange(len(own)),) * 2 if self.same else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+
+    def allowed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the pairs of different components that sizes and signatures allow, and that share no earlier bucket; the first sorted."""
+        found = [np.zeros((2, 0), np.int64)]
+        for k in range(0, len(self.left), 32):
+            x = self.left[k : k + 32]
+            least, most = np.minimum(self.size[x][:, None], self.size[self.right]), np.maximum(self.size[x][:, None], self.size[self.right])
+            ok = (self.comp[x][:, None] != self.comp[self.right]) & (PARTS * least >= LEAST * most)
+            if self.same:
+                ok &= x[:, None] < self.right
+            r, c = np.nonzero(ok)
+            for at in range(0, len(r), 1 << 15):
+                y, z = x[r[at : at + (1 << 15)]], self.right[c[at : at + (1 << 15)]]
+                equal = self.sig[y] == self.sig[z]
+                first = equal.reshape(len(equal), -1, ROWS).all(2).argmax(1)
+                keep = (equal.sum(1) >= LEAST_EQUAL) & (first == self.band)
+                found.append(np.stack([y[keep], z[keep]]))
+        return tuple(np.concatenate(found, 1))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by key, i, j -> a table for each of those."""
+    held: pa.Table | None = None
+    for b in batches:
+        if b.num_rows:
+            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            at = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist()]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                yield table.slice(start, end - start)
+            held = table.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+_MEETING = "key long, i long, j long, own long, node long, comp long, size long, sig binary"
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of _MEETING that have a pair to try there."""
+    for group in _groups(batches):
+        at = np.unique(np.concatenate(_Meeting(group).allowed()))
+        if len(at):
+            yield from group.take(pa.array(at)).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _MEETING with held -> links (a, b) between components whose full sets are alike, as many as join what can be joined there."""
+    for group in _groups(batches):
+        meeting = _Meeting(group)
+        sets = [np.frombuffer(h, np.uint64) for h in group.column("held").to_pylist()]
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        left, right = meeting.allowed()
+        links = []
+        for x in np.unique(left).tolist():
+            own = root(int(meeting.comp[x]))
+            rest = [y for y in right[np.searchsorted(left, x) : np.searchsorted(left, x, "right")].tolist() if root(int(meeting.comp[y])) != own]
+            if not rest:
+                continue
+            sizes = [len(sets[y]) for y in rest]
+            hits = np.isin(np.concatenate([sets[y] for y in rest]), sets[x], assume_unique=False)
+            shared = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64).tolist()
+            for y, size, n in zip(rest, sizes, shared, strict=True):
+                mine, its = root(int(meeting.comp[x])), root(int(meeting.comp[y]))
+                if mine != its and alike(n, len(sets[x]), size):
+                    up[max(mine, its)] = min(mine, its)
+                    links.append((int(meeting.node[x]), int(meeting.node[y])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def links_across(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of buckets (key, node, size) between nodes of different components by labels (node, component)."""
     labelled = buckets.join(bounded_broadcast(labels), "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("comp"))
     several = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high").select("key", "blocks")
     rows = labelled.join(bounded_broadcast(materialise(several, "several")), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     signed = rows.join(nodes.select("node", "sig"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     blocks = signed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "size", "sig")
-    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(best), "a long, b long").distinct()
+    together = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    involved = materialise(together(blocks).mapInArrow(_involved, _MEETING), "involved")
+    held = sets_of(involved, nodes, texts)
+    return together(involved.join(held, "node").select("key", "i", "j", "own", "node", "comp", "size", "sig", "held")).mapInArrow(_linked, "a long, b long")
 
 
-def near_links(signed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join all components: nodes (node, id, d0, d1, size, sig) with different sets, signed by their hashes; texts (doc_id, text)."""
+def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join all components: nodes (node, id, d0, d1, size, sig) with different sets; texts (doc_id, text)."""
     buckets = materialise(in_buckets(nodes), "buckets")
     shared = buckets.where("node <> leader").groupBy("node", "leader").count()
     led = materialise(shared.groupBy("node").agg(F.max(F.struct("count", (-F.col("leader")).alias("down"))).alias("best")).select((-F.col("best.down")).alias("a"), F.col("node").alias("b")), "led")
     tried = materialise(met(led, nodes.select("node", F.col("sig").alias("held")), _signed_alike), "tried")
-    links = materialise(confirmed(tried, nodes, texts), "links")
-    for best in (True, False):
-        found = materialise(pairs_across(buckets, connected_components(links), nodes, best), "across")
-        if found.isEmpty():
-            break
-        new = materialise(found.join(tried, ["a", "b"], "left_anti"), "new")
-        links = materialise(links.unionByName(confirmed(new, nodes, texts)), "links")
-        tried = materialise(tried.unionByName(new), "tried")
-    return links
+    ends = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node")))
+    links = materialise(met(tried, sets_of(ends, nodes, texts), _sets_alike), "links")
+    return materialise(links.unionByName(links_across(buckets, connected_components(links), nodes, texts)), "all_links")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +333,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of = classes.select("node", F.col("least.id").alias("id"))
     nodes = without(signed.where("size > 0").select("node", "d0", "d1", "size", "sig"), materialise(spare, "spare"), "node")
     nodes = materialise(nodes.join(of, "node"), "nodes")
-    links = near_links(signed, nodes, _slim(df, id_col, text_col))
+    links = near_links(nodes, _slim(df, id_col, text_col))
 
     below = connected_components(links)  # of all nodes but the smallest of each component
     labels = materialise(below.unionByName(below.select(F.col("component").alias("node"), "component").distinct()), "labels")
