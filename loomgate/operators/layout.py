@@ -179,18 +179,3 @@ def colour_states(steps: Column) -> Column:
         return F.struct(now.alias("now"), kept.alias("kept"), F.concat(s["out"], F.array(now)).alias("out"))
 
     return F.aggregate(steps, zero, step, lambda s: s["out"])
-
-
-def contents_levels(indents: Column) -> Column:
-    """Levels in a table of contents by the indents of its entries: a larger indent is one level down, a smaller one the level that
-    this indent had last, or one up."""
-    kind = "array<struct<indent:double,level:int>>"
-    zero = F.struct(F.lit(0.0).alias("indent"), F.lit(0).alias("level"), F.array().cast(kind).alias("had"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        before = F.try_element_at(F.filter(s["had"], lambda h: h["indent"] == x), F.lit(-1))["level"]
-        level = F.when(x > s["indent"], s["level"] + 1).when(x == s["indent"], s["level"]).otherwise(F.coalesce(before, F.greatest(F.lit(0), s["level"] - 1)))
-        had = F.concat(F.filter(s["had"], lambda h: h["indent"] != x), F.array(F.struct(x.alias("indent"), level.alias("level"))))
-        return F.struct(x.alias("indent"), level.alias("level"), had.alias("had"), F.concat(s["out"], F.array(level)).alias("out"))
-
-    return F.aggregate(indents, zero, step, lambda s: s["out"])

@@ -45,6 +45,13 @@ def lead_ranges(df: DataFrame, keys: list[str], offset: str) -> DataFrame:
     return ranges.row_before(placed, keys, [offset], "__next").withColumn("end", F.col(f"__next.`{offset}`")).drop("__down", "__next", *_PLACES)
 
 
+def with_neighbours(df: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:
+    """df with before and next: the column in the rows before and after, by a numeric order; null at the ends of a group."""
+    placed = ranges.row_before(ranges.ranged(df, keys, [order]), keys, [column], "__before")
+    back = placed.withColumn("before", F.col(f"__before.`{column}`")).drop("__before", *_PLACES).withColumn("__down", -F.col(order))
+    return ranges.row_before(ranges.ranged(back, keys, ["__down"]), keys, [column], "__next").withColumn("next", F.col(f"__next.`{column}`")).drop("__down", "__next", *_PLACES)
+
+
 def carried(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """df with the last value that isn't null, up to each row."""
     return ranges.last_to_here(ranges.ranged(df, keys, order), keys, value, name).drop(*_PLACES)

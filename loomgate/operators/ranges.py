@@ -36,6 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, among those that discard() deletes."""
+    return f"{shared_dir(spark)}/loomgate-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
 def discard(spark: SparkSession) -> bool:
     """Delete the tables that materialise() wrote in this application; call it when no query needs them any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomgate-{spark.sparkContext.applicationId}")
@@ -48,22 +53,24 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     It cuts the lineage and holds row order-dependent values still; as the files are shared,
     a lost executor costs nothing that was finished. The job runs at once, while the query is built; discard() deletes the files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgate-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """df with PART and AT. Rows that are equal in keys and order are told apart by a row number, so that they spread too.
+    """df with PART and AT. Rows that are equal in keys and order are told apart by a hash of all their columns, so their order doesn't depend on their number; rows
+    that are equal in that too (or hold maps, which have no hash) by a row number, so that they spread.
 
     Where no group has more than WINDOW_ROWS rows there is AT only, and a group is one window: the same results without a
     written copy of the rows."""
-    hashed = all(not re.search(r"\b(map<|variant)", f.dataType.simpleString()) for f in df.schema)  # what ties are told apart by
+    hashed = all(not re.search(r"\b(map<|variant)", f.dataType.simpleString()) for f in df.schema)
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if hashed else F.lit(0)
     if hashed and (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= WINDOW_ROWS:
-        return df.withColumn(AT, F.struct(*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])))
-    by = [*keys, *order, "__tie"]
-    tied = df.withColumn("__tie", F.monotonically_increasing_id())
-    placed = tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("__tie").withColumn(AT, F.monotonically_increasing_id())
+        return df.withColumn(AT, F.struct(*order, own))
+    by = [*keys, *order, "__hash", "__tie"]
+    tied = df.withColumns({"__hash": own, "__tie": F.monotonically_increasing_id()})
+    placed = tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("__hash", "__tie").withColumn(AT, F.monotonically_increasing_id())
     return materialise(placed, "ranges").withColumn(PART, F.shiftright(AT, 33))
 
 

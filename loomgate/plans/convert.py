@@ -14,17 +14,19 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from html import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgate.functions import markup
-from loomgate.functions.text import html_document
+from loomgate.functions.text import escape_html, html_document
+from loomgate.operators import ordered
+from loomgate.operators.ranges import materialise
 from loomgate.plans import registry
 from loomgate.sinks import cues as cue_sink
 from loomgate.sinks import packages
 from loomgate.sinks import rows as row_sink
 from loomgate.sinks import store
-from loomgate.sources import archives, palm, sheets, sqlite, structured
+from loomgate.sources import archives, books, sheets, sqlite, structured
 from loomgate.sources import cues as cue_source
 
 
@@ -159,9 +161,10 @@ def _archive(spark: SparkSession, task: Task) -> DataFrame:
     return made.select(F.lit(f"{_stem(task)}.{task.request.target}").alias("name"), "content")
 
 
-def _text(df: DataFrame, task: Task, is_html: bool, is_markdown: bool) -> DataFrame:
-    """Documents (column text) to a text, Markdown, HTML, DOCX or PPTX target."""
-    target, out, title = task.request.target, f"{_stem(task)}.{task.request.target}", F.lit(_stem(task))
+def _text(df: DataFrame, task: Task, is_html: bool, is_markdown: bool, title: Column | None = None) -> DataFrame:
+    """Documents (column text) to a text, Markdown, HTML, DOCX or PPTX target; title: that of the file where none is given."""
+    target, out = task.request.target, f"{_stem(task)}.{task.request.target}"
+    title = F.lit(_stem(task)) if title is None else title
     body = markup.sanitise_html(F.col("text")) if is_html else markup.markdown_to_html(F.col("text")) if is_markdown else F.concat(F.lit("<pre>"), F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</pre>"))
     plain = markup.html_to_text(body) if is_html or is_markdown else F.col("text")
     if target == "html":
@@ -191,10 +194,16 @@ def _document(spark: SparkSession, task: Task) -> DataFrame:
 
 
 def _ebook(spark: SparkSession, task: Task) -> DataFrame:
-    books = spark.read.format("binaryFile").load(task.request.path)
-    each = palm.texts(books, "content", ["path"])
-    joined = each.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "").alias("text"))
-    return _text(joined, task, True, False)
+    """The sections of a book, each sanitised by itself, under its title and author."""
+    heads, found = books.sections(spark.read.format("binaryFile").load(task.request.path), "content", ["path"])
+    parts = found.withColumn("text", markup.sanitise_html(F.col("text"))).where("trim(text) <> ''")
+    body = ordered.joined_text(parts.withColumn("text", F.concat(F.lit("<section>"), "text", F.lit("</section>"))), ["path"], "text", ["section"], "")
+    title = F.coalesce(F.nullif("title", F.lit("")), F.lit(_stem(task)))
+    author = F.when(F.col("author") != "", F.concat(F.lit("<p>"), escape_html(F.col("author")), F.lit("</p>"))).otherwise("")
+    whole = materialise(body.join(heads, "path").select(title.alias("title"), F.concat(F.lit("<header><h1>"), escape_html(title), F.lit("</h1>"), author, F.lit("</header>"), "text").alias("text")), "book")
+    if whole.isEmpty():
+        raise ValueError("No readable sections of a book were found")
+    return _text(whole, task, True, False, F.col("title"))
 
 
 HANDLERS: dict[str, Callable[[SparkSession, Task], DataFrame]] = {"data": _rows, "database": _database, "subtitle": _subtitle, "archive": _archive, "document": _document, "ebook": _ebook}

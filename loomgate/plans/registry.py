@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgate.functions.text import extension
+from loomgate.sources import peek
 
 # What each kind reads. Subtitles, databases and ebooks are kinds of their own here, so that
 # they reach their converters.
@@ -93,15 +94,14 @@ def kind_of(ext: Column) -> Column:
     return F.coalesce(_lookup(KIND, canonical_extension(ext)), F.lit(""))
 
 
-def package_extension(content: Column) -> Column:
-    """Of a ZIP package: odp, odt or ods by the media type at its start, pptx, docx or xlsx by its list of entries; else empty."""
-    head, tail = F.substring(content, 1, 2048), F.substring(content, -2 * 1024 * 1024, 2 * 1024 * 1024)
-    marks = [(head, f"application/vnd.oasis.opendocument.{name}", ext) for name, ext in (("presentation", "odp"), ("text", "odt"), ("spreadsheet", "ods"))]
-    marks += [(tail, "ppt/presentation.xml", "pptx"), (tail, "word/document.xml", "docx"), (tail, "xl/workbook.xml", "xlsx")]
+def package_extension(first: Column, last: Column) -> Column:
+    """Of the first 2 KB and the last 2 MB of a ZIP package: odp, odt or ods by the media type at its start, pptx, docx or xlsx by its list of entries; else empty."""
+    marks = [(first, f"application/vnd.oasis.opendocument.{name}", ext) for name, ext in (("presentation", "odp"), ("text", "odt"), ("spreadsheet", "ods"))]
+    marks += [(last, "ppt/presentation.xml", "pptx"), (last, "word/document.xml", "docx"), (last, "xl/workbook.xml", "xlsx")]
     found: Column = F.lit("")
     for part, mark, ext in reversed(marks):
         found = F.when(F.contains(part, F.lit(bytearray(mark.encode()))), ext).otherwise(found)
-    return F.when((F.length(content) >= 4) & (F.substring(content, 1, 2) == F.lit(bytearray(b"PK"))), found).otherwise("")
+    return F.when((F.length(first) >= 4) & (F.substring(first, 1, 2) == F.lit(bytearray(b"PK"))), found).otherwise("")
 
 
 def identified(files: DataFrame, name: str = "name", media_type: str | None = None, content: str | None = None) -> DataFrame:
@@ -110,10 +110,27 @@ def identified(files: DataFrame, name: str = "name", media_type: str | None = No
     if media_type:
         raw = F.when(kind_of(raw) != "", raw).otherwise(F.coalesce(_lookup(MEDIA_TYPES, F.lower(F.col(media_type))), raw))
     if content:
-        raw = F.when(kind_of(raw) != "", raw).otherwise(F.coalesce(F.nullif(package_extension(F.col(content)), F.lit("")), raw))
+        package = package_extension(F.substring(content, 1, peek.HEAD), F.substring(content, -peek.TAIL, peek.TAIL))
+        raw = F.when(kind_of(raw) != "", raw).otherwise(F.coalesce(F.nullif(package, F.lit("")), raw))
     return files.withColumn("raw_ext", raw).withColumn("ext", canonical_extension(F.col("raw_ext"))).withColumn("kind", kind_of(F.col("raw_ext")))
 
 
+def identified_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, size, raw_ext, ext, kind, bytes_read of the files below path.
+
+    Names come from the listing. A file is opened only if its name tells nothing, and then its first four bytes are read; only
+    packages have their first 2 KB and last 2 MB read."""
+    listed = identified(peek.read(spark, path, ["path", "name", "size"]))
+    named = listed.where("kind <> ''").withColumn("bytes_read", F.lit(0).cast("long"))
+    opened = peek.read(spark, path, signature="504b").where(~F.col("ext").isin(sorted({*KIND, *ALIASES})))  # pushed down: the source doesn't open such files
+    package = F.nullif(package_extension(F.col("first"), F.col("last")), F.lit(""))
+    raw = extension(F.col("name"))
+    unnamed = opened.where(kind_of(raw) == "").withColumn("raw_ext", F.coalesce(package, raw))
+    found = unnamed.withColumn("ext", canonical_extension(F.col("raw_ext"))).withColumn("kind", kind_of(F.col("raw_ext")))
+    columns = ["path", "name", "size", "raw_ext", "ext", "kind", "bytes_read"]
+    return named.select(*columns).unionByName(found.select(*columns))
+
+
 def routes(spark: SparkSession) -> DataFrame:
     """(kind, ext, target, place) of everything that is allowed: some hundred rows."""
     rows = sorted({(kind, canonical(e)) for e, kind in KIND.items()})

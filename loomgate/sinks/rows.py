@@ -17,6 +17,7 @@ from loomgate.functions.numbers import js_number
 from loomgate.functions.text import BOM, blob_text, escape_html, escape_xml_text, ini_value, json_string
 from loomgate.functions.times import iso_utc
 from loomgate.operators.ordered import numbered
+from loomgate.sinks import toml
 
 
 def as_text(f: StructField) -> Column:
@@ -79,15 +80,7 @@ def ini_section(fields: list[StructField], place: Column) -> Column:
 
 
 def toml_table(fields: list[StructField]) -> Column:
-    def key(name: str) -> Column:
-        bare = name and all(c.isascii() and (c.isalnum() or c in "_-") for c in name)
-        return F.lit(name) if bare else json_string(F.lit(name))
-
-    def cell(f: StructField) -> Column:
-        text = as_text(f)
-        return F.coalesce(text if isinstance(f.dataType, (TimestampType, DateType)) or not _is_quoted(f) else json_string(text), F.lit('""'))
-
-    return F.concat(F.lit("[[data]]\n"), F.concat_ws("\n", *[F.concat(key(f.name), F.lit(" = "), cell(f)) for f in fields]))
+    return toml.row(StructType(fields))
 
 
 def yaml_item(fields: list[StructField]) -> Column:

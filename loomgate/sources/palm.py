@@ -76,11 +76,14 @@ METADATA = {100: ("creator", True), 101: ("publisher", False), 103: ("descriptio
 def metadata_records(header: Column) -> Column:
     """array<struct<type, data>> of a metadata header (EXTH): each record has its type, its length with both numbers, and its bytes."""
     kind = "array<struct<type:bigint,data:binary>>"
-    count = F.when(F.substring(header, 1, 4) == F.lit(bytearray(b"EXTH")), number(header, 8, 4)).otherwise(F.raise_error(F.lit("Invalid metadata header")).cast("long"))
+    wrong = lambda what: F.raise_error(F.lit(what)).cast("long")
+    told = F.when(F.substring(header, 1, 4) == F.lit(bytearray(b"EXTH")), number(header, 8, 4)).otherwise(wrong("Invalid metadata header"))
+    count = F.when(told <= (F.length(header) - 12) / 8, told).otherwise(wrong("A metadata header has fewer bytes than its records need"))
     zero = F.struct(F.lit(12).cast("long").alias("at"), F.array().cast(kind).alias("out"))
 
     def step(s: Column, _: Column) -> Column:
         size = number(header, s["at"] + 4, 4)
+        size = F.when((size >= 8) & (s["at"] + size <= F.length(header)), size).otherwise(wrong("A metadata record has an impossible length"))
         data = F.substring(header, (s["at"] + 9).cast("int"), (size - 8).cast("int"))
         return F.struct((s["at"] + size).alias("at"), F.concat(s["out"], F.array(F.struct(number(header, s["at"], 4).alias("type"), data.alias("data")))).alias("out"))
 

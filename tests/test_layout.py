@@ -32,13 +32,6 @@ def test_break_reasons():
     assert why(own={"baseline": 8.6}) == "baseline" and why(own={"height": 14.0}) == "size" and why(own={"x": 7.9}) == "start" and why(own={"x": 35.0}) == "gap"
 
 
-def test_contents_levels(spark):
-    df = spark.createDataFrame([([0.0, 10.0, 20.0, 20.0, 10.0, 0.0, 5.0, 3.0],)], "i array<double>")
-    assert df.select(layout.contents_levels(df.i).alias("l")).first()["l"] == [0, 1, 2, 2, 1, 0, 1, 0]
-    empty = df.select(layout.contents_levels(F.array().cast("array<double>")).alias("l"))
-    assert empty.first()["l"] == []
-
-
 def test_at_most(spark):
     assert aggregates.at_most(spark.range(3), 3, "slides").count() == 3
     with pytest.raises(ValueError, match="More than 2 slides"):

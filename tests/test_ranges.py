@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomgate.operators import lookups, ordered, ranges
+from loomgate.operators import contents, lookups, ordered, ranges
 
 rng = random.Random(5)
 #: Two thirds of the rows in one group, ties in the order, nulls in key and value.
@@ -104,3 +104,46 @@ def test_tree(spark):
     odd = [(900, 901), (901, 900), (902, 900), (903, 999), (904, 903)]  # a circle, one behind it, a lost parent
     found = lookups.tree_depths(spark.createDataFrame(chain + odd, "n long, p long"), "n", "p")
     assert sorted(tuple(r) for r in found.collect()) == [(i, i) for i in range(200)]
+
+
+def fold_levels(indents):
+    """Levels one entry after the other."""
+    last, at, had, out = 0.0, 0, {}, []
+    for x in indents:
+        at = at + 1 if x > last else at if x == last else had.get(x, max(0, at - 1))
+        last = x
+        had[x] = at
+        out.append(at)
+    return out
+
+
+def test_contents_levels(spark):
+    books = {"a": [0.0, 10.0, 20.0, 20.0, 10.0, 0.0, 5.0, 3.0], "deep": [float(i) for i in range(150)], "back": [5.0, 3.0, 1.0, 0.0], None: [float(rng.choice([0, 2, 2, 4, 5])) for _ in range(300)]}
+    assert fold_levels(books["a"]) == [0, 1, 2, 2, 1, 0, 1, 0]
+    rows = [(k, i, x) for k, xs in books.items() for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "book string, i int, x double")
+    found = {(r["book"], r["i"]): r["level"] for r in contents.levels(df, ["book"], ["i"], "x").collect()}
+    assert found == {(k, i): v for k, xs in books.items() for i, v in enumerate(fold_levels(xs))}
+    assert contents.levels(df.where("false"), ["book"], ["i"], "x").count() == 0
+    assert [r["level"] for r in contents.levels(df.where("book = 'a'").withColumn("x", F.lit(None)), [], ["i"], "x").collect()] == [0] * 8
+
+
+def test_neighbours(rows):
+    found = {r["i"]: (r["before"], r["next"]) for r in ordered.with_neighbours(rows.select("k", "i"), ["k"], "i", "i").collect()}
+    for _, g in groups():
+        ids = [x[2] for x in g]
+        assert [found[i] for i in ids] == list(zip([None, *ids], [*ids[1:], None], strict=False))
+
+
+def test_ties_do_not_depend_on_size(spark, monkeypatch):
+    """Rows that tie in the order get the same results in windows and in ranges."""
+    df = spark.createDataFrame([("g", i % 3, i, i) for i in range(90)], "k string, o int, i int, v int").repartition(3)
+    results = []
+    for limit in (0, 5, 200_000):
+        monkeypatch.setattr(ranges, "WINDOW_ROWS", limit)
+        sums = {r["i"]: r["start"] for r in ordered.running_offsets(df, ["k"], ["o"], "v").collect()}
+        last = {r["i"]: r["last"] for r in ordered.carried(df, ["k"], ["o"], F.when(F.col("v") % 2 == 0, F.col("i")), "last").collect()}
+        cut = {r["i"]: r["island"] for r in ordered.islands(df, ["k"], ["o"], lambda b: b["i"] > F.col("i"), ["i"]).collect()}
+        means = {r["i"]: r["mean"] for r in ordered.running_mean(df, ["k"], ["o"], "v").collect()}
+        results.append((sums, last, cut, means))
+    assert results[0] == results[1] == results[2]
