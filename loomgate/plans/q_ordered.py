@@ -140,11 +140,11 @@ QUERIES = {f.__name__: f for f in (user_event_islands, text_lines_by_gap, runnin
 _OFFS = "SELECT source, doc_id, n_chars, (sum(n_chars) OVER w)::BIGINT AS \"end\", (sum(n_chars) OVER w - n_chars)::BIGINT AS start FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)"
 _HAD = ", ".join(f"CASE WHEN indent = {i} THEN level ELSE m{i} END AS m{i}" for i in range(5))
 SQL = {
-    "contents_levels": f"""WITH RECURSIVE c AS (SELECT doc_id, string_split(text, ', ') AS parts FROM documents), e AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS at, length(unnest(parts)) % 5 AS indent FROM c),
-        walk AS (SELECT doc_id, at, indent, level, {_HAD} FROM (SELECT *, CASE WHEN indent > 0 THEN 1 ELSE 0 END AS level, {", ".join(f"NULL::INT AS m{i}" for i in range(5))} FROM e WHERE at = 0)
-        UNION ALL SELECT doc_id, at, indent, level, {_HAD} FROM (SELECT e.doc_id, e.at, e.indent, m0, m1, m2, m3, m4, CASE WHEN e.indent > w.indent THEN w.level + 1 WHEN e.indent = w.indent THEN w.level
-          ELSE coalesce(CASE e.indent WHEN 0 THEN m0 WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 ELSE m4 END, greatest(0, w.level - 1)) END AS level FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.at = w.at + 1))
-        SELECT doc_id, at::INT AS at, indent::INT AS indent, level::INT AS level FROM walk""",
+    "contents_levels": f"""WITH RECURSIVE c AS (SELECT doc_id, string_split(text, ', ') AS parts FROM documents), e AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, length(unnest(parts)) % 5 AS indent FROM c),
+        walk AS (SELECT doc_id, pos, indent, level, {_HAD} FROM (SELECT *, CASE WHEN indent > 0 THEN 1 ELSE 0 END AS level, {", ".join(f"NULL::INT AS m{i}" for i in range(5))} FROM e WHERE pos = 0)
+        UNION ALL SELECT doc_id, pos, indent, level, {_HAD} FROM (SELECT e.doc_id, e.pos, e.indent, m0, m1, m2, m3, m4, CASE WHEN e.indent > w.indent THEN w.level + 1 WHEN e.indent = w.indent THEN w.level
+          ELSE coalesce(CASE e.indent WHEN 0 THEN m0 WHEN 1 THEN m1 WHEN 2 THEN m2 WHEN 3 THEN m3 ELSE m4 END, greatest(0, w.level - 1)) END AS level FROM walk w JOIN e ON e.doc_id = w.doc_id AND e.pos = w.pos + 1))
+        SELECT doc_id, pos::INT AS "at", indent::INT AS indent, level::INT AS level FROM walk""",
     "user_event_islands": """WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOURS, false) AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         i AS (SELECT *, (sum(brk::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id))::BIGINT AS island FROM g) SELECT user_id, island, string_agg(event_type, ' ' ORDER BY ts, event_id) AS event_type FROM i GROUP BY ALL""",
     "text_lines_by_gap": """WITH g AS (SELECT *, coalesce(abs(l_quantity - lag(l_quantity) OVER w) > 4, false) AS brk FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),

@@ -64,7 +64,7 @@ _EDGES = "(VALUES " + ", ".join(f"('{s}', '{t}')" for s, t in routing.edge_list(
 SQL = {
     "route_plans": f"""WITH RECURSIVE e AS (SELECT * FROM {_EDGES}), walk AS (SELECT source, target, [target] AS path FROM e WHERE source <> target
         UNION ALL SELECT w.source, e.target, list_append(w.path, e.target) FROM walk w JOIN e ON e.source = w.target WHERE len(w.path) < 4 AND e.target <> w.source AND NOT list_contains(w.path, e.target)),
-        best AS (SELECT source, target, min({{'n': len(path), 'path': path}}) AS b FROM walk WHERE target IN ('md', 'xlsx', 'vtt') GROUP BY source, target),
+        best AS (SELECT source, target, min({{'n': len(path), 'rank': list_transform(path, lambda x: CASE x WHEN 'html' THEN 0 WHEN 'json' THEN 1 WHEN 'csv' THEN 2 ELSE 3 END), 'path': path}}) AS b FROM walk WHERE target IN ('md', 'xlsx', 'vtt') GROUP BY source, target),
         f AS (SELECT doc_id, {_FAR}[doc_id % {len(_FAR)} + 1] AS source FROM documents)
         SELECT doc_id, source, target, array_to_string(b.path, ' ') AS stages, b.n::INT AS n FROM f JOIN best USING (source)""",
     "allowed_targets": f"SELECT doc_id, ext, target, place FROM {_FILES} f JOIN {_ROUTES} USING (kind, ext)",

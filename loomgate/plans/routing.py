@@ -1,11 +1,13 @@
 """Routes of several stages: shortest paths over the graph of formats, and their conversions one behind the other.
 
 An edge is a conversion that has a reader and a writer here. Paths are found for all pairs at once by joining the frontier with the edges, round by round; edges are
-some hundred rows by construction, and so are paths. Of paths of one length the first in the order of their formats is taken, so plans are always the same.
+some hundred rows by construction, and so are paths. Of paths of one length the one through formats that keep more (KEEPS) is taken, then the first by name, so plans are always the same.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ STAGES = 4
 #: Formats of documents, books and tables that have no reader here, and targets without a writer.
 UNREAD = frozenset("rtf epub doc docm dotx dotm odt ott fodt ppt pptm pps ppsx potx potm odp otp fodp xls xlsb rar 7z pdf".split())
 UNWRITTEN = registry.UNSUPPORTED | {"ods"}
+#: Formats that keep most of what a file has, the best first.
+KEEPS = ("html", "json", "csv")
 KINDS = ("document", "ebook", "data", "database", "subtitle", "archive")
 
 
@@ -37,11 +41,12 @@ def shortest(graph: DataFrame, stages: int = STAGES) -> DataFrame:
 
     Plans grow with the square of the formats, not with data; the graph is broadcast."""
     step = F.broadcast(graph.select(F.col("source").alias("via"), F.col("target").alias("to")))
+    rank = lambda x: functools.reduce(lambda c, i: c.when(x == KEEPS[i], i), range(1, len(KEEPS)), F.when(x == KEEPS[0], 0)).otherwise(len(KEEPS))
     known = graph.where("source <> target").select("source", "target", F.array("target").alias("stages")).distinct()
     frontier = known
     for _ in range(stages - 1):
         longer = frontier.join(step, F.col("target") == F.col("via")).where("source <> to").select("source", F.col("to").alias("target"), F.concat("stages", F.array("to")).alias("stages"))
-        frontier = longer.join(known, ["source", "target"], "left_anti").groupBy("source", "target").agg(F.min("stages").alias("stages"))
+        frontier = longer.join(known, ["source", "target"], "left_anti").groupBy("source", "target").agg(F.min(F.struct(F.transform("stages", rank), "stages")).alias("best")).select("source", "target", "best.stages")
         known = known.unionByName(frontier)
     return known
 
