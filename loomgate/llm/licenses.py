@@ -171,6 +171,10 @@ def licence_sentences(text: Column) -> Column:
     return F.get(F.transform(F.array(F.transform(cut, _normalised)), placed), 0)
 
 
+#: What a text with a known sentence holds, in lower case: the first words of one, behind none of its letters and digits.
+HEADS = "(?:^|[^a-z0-9])(?:" + "|".join(sorted({"[^a-z0-9]+".join(s.split()[:3]) for s in SENTENCES})) + ")"
+
+
 def sequence_text(found: Column) -> Column:
     """Identifiers with a space after each, and `| ` before one that stands too far from the last."""
 
@@ -187,7 +191,8 @@ def _is(place: int):
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs and rule that holds: doc_id, rule, licence, rule_order, sentences, first_sentence."""
-    hits = docs.select(F.col(id_col).alias("doc_id"), licence_sentences(F.col(text_col)).alias("found")).where(F.size("found") > 0)
+    # out of a generator, below which no filter goes: else the sentences would be looked for once to filter and once more
+    hits = docs.where(F.lower(F.col(text_col)).rlike(HEADS)).select(F.col(id_col).alias("doc_id"), F.explode(F.array(licence_sentences(F.col(text_col)))).alias("found")).where(F.size("found") > 0)
     hits = hits.withColumn("sentences", sequence_text(F.col("found")))
     holds = {name: F.col("sentences").rlike(rule_pattern(places)) for name, _, places, _ in RULES}
     part_of = {name: [a for a, _, _, parts in RULES if name in parts] for name, *_ in RULES}
