@@ -26,7 +26,7 @@ from loomgate.sinks import cues as cue_sink
 from loomgate.sinks import packages
 from loomgate.sinks import rows as row_sink
 from loomgate.sinks import store
-from loomgate.sources import archives, books, sheets, sqlite, structured
+from loomgate.sources import archives, books, sheets, split, split_json, sqlite, structured
 from loomgate.sources import cues as cue_source
 
 
@@ -224,11 +224,17 @@ def convert(spark: SparkSession, path: str, target: str, **options: object) -> D
 
 def convert_rows(spark: SparkSession, path: str, target: str, out: str, **options: object) -> None:
     """The rows of path as CSV, TSV or NDJSON part files in the folder out, in order, for tables of any size: unlike
-    convert(), which gives one file, nothing is brought together. Existing files there are an error."""
+    convert(), which gives one file, nothing is brought together, and CSV, TSV and JSON files are read by many tasks each. Existing files there are an error."""
     task = plan(Request(path, target, options))
     if task.kind != "data":
         raise ValueError(f"{task.kind} files have no rows")
-    row_sink.write(read_rows(spark, task).withColumn("__ord", F.monotonically_increasing_id()), out, task.request.target, ["__ord"])
+    if task.ext in ("csv", "tsv") and not options.get("splittable"):
+        found = split.read_quoted(spark, path, "," if task.ext == "csv" else "\t", in_order=True)
+    elif task.ext == "json":
+        found = structured.typed(split_json.record_rows(spark, path).withColumnRenamed(split.FILE, "file"))
+    else:
+        found = read_rows(spark, task)
+    row_sink.write(found.withColumn("__ord", F.monotonically_increasing_id()), out, task.request.target, ["__ord"])
 
 
 def cancel(spark: SparkSession, group: str) -> None:

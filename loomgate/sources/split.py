@@ -179,20 +179,23 @@ def _parsed(rows: DataFrame, separator: str, **options) -> DataFrame:
     return reader._df(reader._jreader.csv(getattr(rows._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())))
 
 
-def read_quoted(spark: SparkSession, path: str, separator: str = ",", infer: bool = True) -> DataFrame:
+def _names(cells: list[str | None]) -> list[str]:
+    """Column names as Spark's reader makes them of a header: places for empty ones, and behind all that stand twice, whatever their case."""
+    lowered = [(c or "").lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if lowered.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+
+
+def read_quoted(spark: SparkSession, path: str, separator: str = ",", infer: bool = True, in_order: bool = False) -> DataFrame:
     """Rows of separated files with a header, as Spark's own reader gives them, whatever quoted cells hold; each file is read by many tasks.
 
-    The names are those of the first file's header; all files have to have the same columns. Without infer all columns are texts."""
+    The names are those of the first file's header; all files have to have the same columns. Without infer all columns are texts. With in_order
+    rows are sorted by file and place, which moves them; else those over several blocks come last."""
     rows = quoted_rows(spark, path)
     first = _parsed(rows.where("row = 0").orderBy(FILE).limit(1).select("value"), separator).first() or ()
-    taken: set[str] = set()
-    fields = []
-    for i, name in enumerate(first):
-        name = f"_c{i}" if name is None else f"{name}{i}" if name.lower() in taken else name
-        taken.add(name.lower())
-        fields.append(StructField(name, StringType()))
-    body = rows.where("row > 0").select("value")
+    fields = [StructField(name, StringType()) for name in _names(list(first))]
+    body = rows.where("row > 0")
+    body = (body.orderBy(FILE, "row") if in_order else body).select("value")
     if infer and fields:
-        kinds = _parsed(body, separator, inferSchema=True).schema
+        kinds = _parsed(rows.where("row > 0").select("value"), separator, inferSchema=True).schema
         fields = [StructField(f.name, kinds[i].dataType if i < len(kinds) else StringType()) for i, f in enumerate(fields)]
     return _parsed(body, separator, schema=StructType(fields))

@@ -111,7 +111,11 @@ def read(spark: SparkSession, path: str, ext: str) -> DataFrame:
     """All files of path as flat rows, columns by inference over all of them; NDJSON is split and read in place."""
     if ext == "ndjson":
         return flattened(spark.read.option("mode", "FAILFAST").json(path))
-    each = row_texts(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), "value", ext, ["file"])
+    return typed(row_texts(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), "value", ext, ["file"]))
+
+
+def typed(each: DataFrame) -> DataFrame:
+    """Rows (file, ord, row: a JSON text) in order, flat, under columns by inference over all of them."""
     value = F.when(F.col("row").startswith("["), json_string(F.col("row"))).otherwise(F.col("row"))
     objects = each.select(F.when(F.col("row").startswith("{"), F.col("row")).otherwise(F.concat(F.lit('{"value":'), value, F.lit("}"))).alias("value"), "file", "ord")
     variant = objects.agg(F.schema_of_variant_agg(F.parse_json("value")).alias("s")).first()["s"] or "OBJECT<>"
