@@ -3,11 +3,12 @@
 A page is read into a tree as browsers do: void elements, raw text elements, optional end tags, end
 tags without a start; a head ends where something stands that may not be in it, cells get the row they lack, and what
 stands in a table outside its cells comes before the table. Everything that would be shown is emitted, nothing is judged by content:
-navigation and footers stay. Not shown are head, script, style, template, noscript and the like, the
+navigation and footers stay, and so do texts of drawings and formulas. Not shown are head, script, style, template, noscript and the like, the
 hidden attribute, display:none, visibility:hidden (a descendant may be visible again), hidden
 inputs, and closed details and dialogs. Blocks stand on lines of their own, paragraph-like ones between
 blank lines; list items get a bullet or number and an indent; cells of a table are aligned in columns
-of up to ALIGN characters, and those of several lines stand one below the other where their lines are longer; white space collapses outside pre and textarea; character references are decoded.
+of up to ALIGN characters, and those of several lines stand one below the other where their lines are longer; white space collapses outside pre, textarea and what a style attribute keeps; character references are decoded. Rules of style
+elements and files are not applied.
 
 Defined results: null gives an empty text; broken markup never fails; text without tags is one block; an
 empty table gives an empty result. Time and memory are in proportion to the page.
@@ -27,7 +28,9 @@ from loomgate.llm.common import type_of, unused
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist area title".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist area title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
+#: Elements of drawings whose own text isn't drawn; that of text elements in them is.
+SHAPES = frozenset("svg g path rect circle ellipse line polyline polygon use image switch".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())
 #: Types of inputs that show no text of their value.
 SILENT = frozenset("hidden checkbox radio file image range color password".split())
@@ -64,8 +67,10 @@ _name = re.compile(r"[a-zA-Z][^\s/>]*")
 _rest = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _attribute = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 #: Attributes that count without a value.
-_flag = re.compile("hidden|open", re.I)
+_flag = re.compile("hidden|open|reversed", re.I)
 _space = re.compile(r"[ \t\n\r\f]+")
+_spaces = re.compile(r"(?i)white-space\s*:\s*([a-z-]+)")
+_comment_end = re.compile("--!?>")
 _hides = re.compile(r"display\s*:\s*none", re.I)
 _veils = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
@@ -147,8 +152,14 @@ def parse(page: str) -> Node:
         if after == "!" or after == "?":
             add_text(page[at:lt])
             comment = page.startswith("<!--", lt)
-            end = page.find("-->" if comment else ">", lt + (4 if comment else 2))
-            at = size if end < 0 else end + (3 if comment else 1)
+            if comment:
+                done = _comment_end.search(page, lt + 2)  # <!--> is a whole comment
+                if done and done[0] == "--!>" and done.start() < lt + 4:
+                    done = _comment_end.search(page, lt + 4)
+                at = done.end() if done else size
+            else:
+                end = page.find(">", lt + 2)
+                at = size if end < 0 else end + 1
             continue
         closing = after == "/"
         named = _name.match(page, lt + 1 + closing)
@@ -385,7 +396,7 @@ def render(root: Node) -> str:
         kind, node, parent, visible, pre = work.pop()
         flow = flows[-1]
         if kind == "text":
-            if visible and not (parent is not None and parent.tag == "details" and "open" not in parent.attributes):
+            if visible and not (parent is not None and (parent.tag == "details" and "open" not in parent.attributes or parent.tag in SHAPES)):
                 flow.preformatted(node) if pre else flow.text(node)
             continue
         if kind == "close":
@@ -443,8 +454,9 @@ def render(root: Node) -> str:
         if tag in BLOCKS:
             if tag in ("ul", "ol", "menu", "dir"):
                 flow.block(1 if counters else 2)
-                start = node.attributes.get("start", "1")
-                counters.append([tag == "ol", int(start) if start.lstrip("-").isascii() and start.lstrip("-").isdigit() else 1])
+                start, down = node.attributes.get("start", ""), "reversed" in node.attributes
+                first = sum(not isinstance(c, str) and c.tag == "li" for c in node.children) if down else 1
+                counters.append([tag == "ol", int(start) if start.lstrip("-").isascii() and start.lstrip("-").isdigit() else first, -1 if down else 1])
                 flow.indent.append("   " if tag == "ol" else "  ")
             else:
                 flow.block(2 if tag in PARAGRAPHS else 1)
@@ -454,13 +466,14 @@ def render(root: Node) -> str:
                     if value.isascii() and value.isdigit():
                         counters[-1][1] = int(value)
                     flow.marker = f"{counters[-1][1]}. "
-                    counters[-1][1] += 1
+                    counters[-1][1] += counters[-1][2]
                 else:
                     flow.marker = "- "
             elif tag in ("dd", "blockquote"):
                 flow.indent.append("  ")
             work.append(("close", node, None, visible, pre))
-        pre = pre or tag in ("pre", "textarea", "xmp", "plaintext")
+        spaces = _spaces.search(node.attributes.get("style", ""))
+        pre = spaces[1].lower() in ("pre", "pre-wrap", "break-spaces") if spaces else pre or tag in ("pre", "textarea", "xmp", "plaintext")
         work += [("text", c, node, visible, pre) if isinstance(c, str) else ("open", c, node, visible, pre) for c in reversed(node.children)]
     return out.done()
 

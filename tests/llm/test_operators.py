@@ -440,6 +440,11 @@ def test_html_implied(page, wanted):
         ('<table><tbody style="visibility:collapse"><tr><td>a<td style="visibility:visible">b</table>c', "  b\n\nc"),
         ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>", "A  b\n   c\nd  e"),
         ("<table><tr><td>a<td rowspan=2 colspan=2>B<td>c<tr><td>d<td>e</table>", "a  B   c\nd      e"),
+        ("<svg><title>no</title><g>loose<path d=x/><text>drawn <tspan>text</tspan></text></g><defs><text>no</text></defs></svg>", "drawn text"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+        ("a<!-- c --!>b<!-->c<!--->d<!--!>e-->f<!---->g<!-- open", "abcdfg"),
+        ("<ol reversed><li>a<li>b<li>c</ol><ol reversed start=9><li>x<li value=4>y<li>z</ol>", "3. a\n2. b\n1. c\n\n9. x\n4. y\n3. z"),
+        ("<div style='white-space: PRE-wrap'>a  b\n c<p style='white-space:normal'>d  e</div>", "a  b\n c\n\nd e"),
         ("<map name=m><p>in the map</p><area href=x></map>", "in the map"),
         ("<input type=email value=e@x> <input type=URL value=u> <input type=number value=5> <input type=hidden value=no> <input type=password value=no>", "e@x u 5"),
     ],
