@@ -15,7 +15,9 @@ def js_number(x: Column) -> Column:
     shown = F.coalesce(*[F.when(d.cast("double") == x, d) for d in (F.format_string(f"%.{n}e", x) for n in (14, 15))], F.regexp_replace(F.lower(text), r"e(?=\d)", "e+"))
     exponent = F.regexp_replace(F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+e", "$1e"), r"\.e", "e"), r"e([+-])0", "e$1")
     outside = F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(x == 0, "0").when(outside, text).when((F.abs(x) < 1e-6) | (F.abs(x) >= 1e21), exponent).otherwise(plain)
+    whole = (x == F.floor(x).cast("double")) & (F.abs(x) < 2.0**53)
+    near = (F.abs(x) >= 1e-3) & (F.abs(x) < 1e7)  # where the JVM prints no exponent
+    return F.when(x == 0, "0").when(outside, text).when(whole, x.cast("long").cast("string")).when(near, text).when((F.abs(x) < 1e-6) | (F.abs(x) >= 1e21), exponent).otherwise(plain)
 
 
 def half_up(x: Column) -> Column:
