@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Generator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,38 +29,56 @@ class Node(list):
 
 
 class Tree(HTMLParser):
-    """The elements of a page, head and body together; deeper than 400 levels they are laid side by side."""
+    """The elements of a page, head and body together, nested as deep as they are."""
 
     def __init__(self, source: str):
         super().__init__(convert_charrefs=True)
         self.root = Node("", [])
         self.open = [self.root]
+        self.named: Counter[str] = Counter()  # of the open ones, so that an end tag without a start isn't looked for
         self.feed(source)
         self.close()
 
+    def _end(self) -> str:
+        tag = self.open.pop().tag
+        self.named[tag] -= 1
+        return tag
+
     def handle_starttag(self, tag, attrs):
         if tag in ENDS and self.open[-1].tag in ENDS[tag]:
-            self.open.pop()
+            self._end()
         node = Node(tag, attrs)
         self.open[-1].append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID:
             self.open.append(node)
+            self.named[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if self.open[-1].tag == tag and tag not in VOID and tag not in BLOCKS:
-            self.open.pop()
+            self._end()
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        while self.named[tag] and self._end() != tag:
+            pass
 
     def handle_data(self, data):
         self.open[-1].append(data)
 
 
+def _deep(step: Generator):
+    """The value of a generator that yields generators for the values it needs: recursion of any depth, without the interpreter's stack."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 def body_of(source: str) -> Node:
     """The children of the body; without one, of the page without its head."""
 
@@ -89,46 +108,56 @@ def _is_dropped(node: Node) -> bool:
 
 
 def serialised(node: Node) -> str:
+    return _deep(_serialised(node))
+
+
+def _serialised(node: Node) -> Generator:
     out = []
     for child in node:
         if isinstance(child, str):
             out.append(child if node.tag in ("script", "style") else html.escape(child, quote=False).replace("\xa0", "&nbsp;"))
             continue
         tags = "".join(f' {k}="{html.escape(v or "").replace("&#x27;", chr(39)).replace("&lt;", "<").replace("&gt;", ">")}"' for k, v in child.attributes)
-        out.append(f"<{child.tag}{tags}>" + ("" if child.tag in VOID else f"{serialised(child)}</{child.tag}>"))
+        out.append(f"<{child.tag}{tags}>" + ("" if child.tag in VOID else f"{(yield _serialised(child))}</{child.tag}>"))
     return "".join(out)
 
 
 def sanitise(source: str) -> str:
     """The body without active elements and attributes."""
 
-    def clean(node: Node) -> Node:
+    def clean(node: Node) -> Generator:
         out = Node(node.tag, _safe(node.attributes))
-        out += [clean(c) if isinstance(c, Node) else c for c in node if isinstance(c, str) or not _is_dropped(c)]
+        for c in node:
+            if isinstance(c, str) or not _is_dropped(c):
+                out.append(c if isinstance(c, str) else (yield clean(c)))
         return out
 
-    return serialised(clean(body_of(source)))
+    return serialised(_deep(clean(body_of(source))))
 
 
 def sanitise_svg(source: str) -> str:
     """SVG without scripts, foreign content, event attributes and links to elsewhere."""
 
-    def clean(node: Node) -> Node:
+    def clean(node: Node) -> Generator:
         out = Node(node.tag, [(k, v) for k, v in _safe(node.attributes) if not (k in ("href", "xlink:href") and not (v or "").startswith(("#", "data:")))])
-        out += [clean(c) if isinstance(c, Node) else c for c in node if isinstance(c, str) or c.tag not in DROPPED_SVG]
+        for c in node:
+            if isinstance(c, str) or c.tag not in DROPPED_SVG:
+                out.append(c if isinstance(c, str) else (yield clean(c)))
         return out
 
-    return serialised(clean(Tree(source).root))
+    return serialised(_deep(clean(Tree(source).root)))
 
 
 def plain(source: str) -> str:
     """Text of the body: line ends for br and after blocks, no trailing blanks, no more than one blank line."""
 
-    def text(node: Node) -> str:
-        inner = "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else text(c) for c in node)
-        return inner + "\n" if node.tag in BLOCKS else inner
+    def text(node: Node) -> Generator:
+        out = []
+        for c in node:
+            out.append(c if isinstance(c, str) else "\n" if c.tag == "br" else (yield text(c)))
+        return "".join(out) + ("\n" if node.tag in BLOCKS else "")
 
-    found = text(body_of(source)).replace("\xa0", " ")
+    found = _deep(text(body_of(source))).replace("\xa0", " ")
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", found)).strip()
 
 
@@ -138,14 +167,17 @@ _ESCAPED = re.compile(r"([\\*_`\[\]])|^(#{1,6} |[-+>] |\d+(?=\. ))", re.M)
 def to_markdown(source: str) -> str:
     """Markdown of the body: # headings, - bullets, fenced code, [text](link), ![alt](image), **, _, `, > and ---."""
 
-    def inline(node: Node, raw: bool) -> str:
-        return "".join((c if raw else _ESCAPED.sub(lambda m: "\\" + m[0], re.sub(r"\s+", " ", c))) if isinstance(c, str) else element(c, raw) for c in node)
+    def inline(node: Node, raw: bool) -> Generator:
+        out = []
+        for c in node:
+            out.append((c if raw else _ESCAPED.sub(lambda m: "\\" + m[0], re.sub(r"\s+", " ", c))) if isinstance(c, str) else (yield element(c, raw)))
+        return "".join(out)
 
     def wrapped(mark: str, text: str) -> str:
         bare = text.strip()
         return text if not bare else text[: len(text) - len(text.lstrip())] + mark + bare + mark + text[len(text.rstrip()) :]
 
-    def element(node: Node, raw: bool) -> str:
+    def element(node: Node, raw: bool) -> Generator:
         tag, attr = node.tag, dict(node.attributes)
         if tag in ("script", "style", "title", "head"):
             return ""
@@ -156,22 +188,22 @@ def to_markdown(source: str) -> str:
         if tag == "img":
             return f"![{attr.get('alt') or ''}]({attr['src']})" if attr.get("src") else ""
         if tag == "pre":
-            inner = inline(node, True).strip("\n")
+            inner = (yield inline(node, True)).strip("\n")
             fence = "`" * max(3, 1 + max((len(m) for m in re.findall("`+", inner)), default=0))
             return f"\n\n{fence}\n{inner}\n{fence}\n\n"
         if tag == "code":
-            inner = inline(node, True).replace("\n", " ")
+            inner = (yield inline(node, True)).replace("\n", " ")
             mark = "`" * (1 + max((len(m) for m in re.findall("`+", inner)), default=0))
             return f"{mark}{inner}{mark}" if inner else ""
         if tag in ("ul", "ol"):
             items, n = [], int(attr.get("start") or 1) if (attr.get("start") or "1").isdigit() else 1
             for item in (c for c in node if isinstance(c, Node)):
                 mark = "-   " if tag == "ul" else f"{n}.  "
-                items.append(mark + re.sub(r"\n(?=.)", "\n    ", re.sub(r"\n{3,}", "\n\n", inline(item, raw)).strip()))
+                items.append(mark + re.sub(r"\n(?=.)", "\n    ", re.sub(r"\n{3,}", "\n\n", (yield inline(item, raw))).strip()))
                 n += 1
             nested = "\n" + "\n".join(items) + "\n"
             return nested if raw else "\n" + nested + "\n"
-        text = inline(node, raw)
+        text = yield inline(node, raw)
         if tag in ("b", "strong"):
             return wrapped("**", text)
         if tag in ("i", "em"):
@@ -184,7 +216,7 @@ def to_markdown(source: str) -> str:
             return "\n\n" + re.sub("^", "> ", re.sub(r"\n{3,}", "\n\n", text).strip(), flags=re.M) + "\n\n"
         return f"\n\n{text.strip()}\n\n" if tag in BLOCKS or tag in ("section", "article", "table", "nav", "footer", "header", "main", "tr", "td", "th", "caption") else text
 
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n(?!\S)", "\n", inline(body_of(source), False))).strip()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n(?!\S)", "\n", _deep(inline(body_of(source), False)))).strip()
 
 
 #: Runs of marks: (mark, element), longer marks first.

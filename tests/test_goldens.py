@@ -343,3 +343,11 @@ def test_watch(spark, tmp_path):
         (tmp_path / "in" / name).write_text(name)
         watch(spark, str(tmp_path / "in"), str(tmp_path / "state"), each).awaitTermination()
     assert seen == ["a.txt", "b.txt"]
+
+
+def test_deep_markup():
+    """Pages nested far beyond the interpreter's stack."""
+    page = "<div>" * 20_000 + "a <b>b</b>" + "</div>" * 20_000
+    assert markup.to_markdown(page) == "a **b**" and markup.plain(page) == "a b"
+    assert markup.sanitise(page + "<script>x</script>") == page
+    assert markup.to_markdown("<ul><li>" * 200 + "x" + "</ul>" * 200).count("-   ") == 200
