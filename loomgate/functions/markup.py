@@ -82,11 +82,10 @@ def _deep(step: Generator):
 def body_of(source: str) -> Node:
     """The children of the body; without one, of the page without its head."""
 
-    def find(node: Node, tag: str) -> Node | None:
-        for child in node:
-            if isinstance(child, Node) and (child.tag == tag or child.tag == "html"):
-                return child if child.tag == tag else find(child, tag)
-        return None
+    def find(node: Node | None, tag: str) -> Node | None:
+        while node is not None and node.tag != tag:
+            node = next((c for c in node if isinstance(c, Node) and c.tag in (tag, "html")), None)
+        return node
 
     root = Tree(source).root
     if (body := find(root, "body")) is not None:
