@@ -28,10 +28,12 @@ def piece_colours(spark, d):
 
 
 def image_sizes(spark, d):
+    """Headers as wide as the event's number. A GIF has two bytes for a width, so of larger numbers they are PNG, whose four take any below 2^32."""
     size = lambda x: F.lpad(F.hex(x), 8, "0")
-    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), size(F.col("event_id")), size(F.col("user_id"))))
+    png = lambda height: F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), size(F.col("event_id")), size(height)))
     gif = F.unhex(F.concat(F.lit("474946383961"), F.lpad(F.hex(F.col("event_id") % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col("event_id") / 256)), 2, "0"), F.lpad(F.hex(F.col("user_id") % 256), 2, "0"), F.lit("01")))
-    content = F.when(F.col("event_id") % 3 == 0, png).when(F.col("event_id") % 3 == 1, gif).otherwise(F.lit("BM").cast("binary"))
+    small = F.when(F.col("event_id") < 65_536, gif).otherwise(png(F.col("user_id") % 256 + 256))
+    content = F.when(F.col("event_id") % 3 == 0, png(F.col("user_id"))).when(F.col("event_id") % 3 == 1, small).otherwise(F.lit("BM").cast("binary"))
     found = layout.image_size(content)
     return table(spark, d, "events").select("event_id", found["width"].alias("width"), found["height"].alias("height"))
 
