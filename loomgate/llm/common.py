@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgate.operators.ranges import materialise
 
-__all__ = ["bounded_broadcast", "materialise", "read", "text_of", "type_of", "unused", "without"]
+__all__ = ["bounded_broadcast", "materialise", "meetings", "read", "text_of", "type_of", "unused", "without"]
 
 #: Rows, and bytes of texts, up to which a side of a join may be broadcast; above it the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
@@ -52,3 +55,18 @@ def type_of(df: DataFrame, column: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by key, i, j -> a table for each of those."""
+    held: pa.Table | None = None
+    for b in batches:
+        if b.num_rows:
+            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            at = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist()]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                yield table.slice(start, end - start)
+            held = table.slice(cuts[-1])
+    if held is not None:
+        yield held

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgate.llm.common import bounded_broadcast, materialise, type_of, without
+from loomgate.llm.common import bounded_broadcast, materialise, meetings, type_of, without
 from loomgate.llm.simhash import connected_components
 
 SHINGLE = 4
@@ -242,27 +242,12 @@ class _Meeting:
         return tuple(np.concatenate(found, 1))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by key, i, j -> a table for each of those."""
-    held: pa.Table | None = None
-    for b in batches:
-        if b.num_rows:
-            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            at = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist()]
-            for start, end in zip(cuts, cuts[1:], strict=False):
-                yield table.slice(start, end - start)
-            held = table.slice(cuts[-1])
-    if held is not None:
-        yield held
-
-
 _MEETING = "key long, i long, j long, own long, node long, comp long, size long, sig binary"
 
 
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of _MEETING that have a pair to try there."""
-    for group in _groups(batches):
+    for group in meetings(batches):
         at = np.unique(np.concatenate(_Meeting(group).allowed()))
         if len(at):
             yield from group.take(pa.array(at)).combine_chunks().to_batches()
@@ -270,7 +255,7 @@ def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _MEETING with held -> links (a, b) between components whose full sets are alike, as many as join what can be joined there."""
-    for group in _groups(batches):
+    for group in meetings(batches):
         meeting = _Meeting(group)
         sets = [np.frombuffer(h, np.uint64) for h in group.column("held").to_pylist()]
         up: dict[int, int] = {}

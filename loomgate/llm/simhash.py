@@ -17,7 +17,9 @@ Two searches are built on this:
   Survivors are verified by their shingles. In a cell each document is linked to the smallest and
   to the nearest before it; cells above PAIRS documents are cut by leaders, a document within reach of a
   leader being linked to it and not compared further. Cells may lie over several sorted ranges, so that a group of copies
-  of any size is spread; the leaders of cells at the ends of ranges meet in a second round.
+  of any size is spread; the leaders of cells at the ends of ranges meet once more. That round only joins what is easily joined. Where a cell
+  still holds several components, all its pairs across them within WIDE_BITS are tried on their full sets of shingles (`links_across`), so none that a
+  cell holds is lost. Cells are cut into blocks of BLOCK documents that meet pairwise in tasks of their own; pairs are never rows.
 
 Distances of fingerprints to pivots alone, taken as coordinates of a grid, are no search: those of 64 random bits
 lie within a few bits of each other, so that nearly all pairs would be compared.
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgate.llm.common import bounded_broadcast, materialise, type_of, without
+from loomgate.llm.common import bounded_broadcast, materialise, meetings, type_of, without
 
 SHINGLE, MAX_BITS = 3, 2
 #: References of 64 bits, and what their coordinates count in the key of a cell.
@@ -50,6 +52,8 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 SIZE_CLASS = 2 * np.log(1 / 0.8)
 #: Documents of a cell that are compared with each other; larger cells are cut by leaders.
 PAIRS = 128
+#: Documents of a cell that are compared in one task of the second round.
+BLOCK = 512
 #: Rows of one fingerprint above which it is dealt over several tasks.
 HOT = 1_000_000
 _CHUNK = 1 << 15
@@ -283,11 +287,15 @@ def near_links(nodes: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linker(1, MAX_BITS, True, False), _schema(type_of(nodes, "rep"), 1)).select("a", "b")
 
 
-def similar_links(nodes: DataFrame) -> DataFrame:
-    """nodes (rep, f0, ..., size) -> candidate links (a, b) within WIDE_BITS."""
-    kind = type_of(nodes, "rep")
+def wide_cells(nodes: DataFrame) -> DataFrame:
+    """nodes (rep, f0, ..., size) -> key, rep, f0, ...: a row for each cell of each, written, as both rounds read them."""
     shipped = nodes.sparkSession.sparkContext.broadcast(_halves())
-    keyed = _keyed(nodes, WORDS, lambda fps, sizes: nearest_keys(fps, sizes, shipped.value), 512)
+    return materialise(_keyed(nodes, WORDS, lambda fps, sizes: nearest_keys(fps, sizes, shipped.value), 512), "keyed")
+
+
+def similar_links(keyed: DataFrame) -> DataFrame:
+    """wide_cells -> candidate links (a, b) within WIDE_BITS: of a document the first and the nearest, or a leader."""
+    kind = type_of(keyed, "rep")
     ranged = keyed.repartitionByRange("key", F.xxhash64("rep")).sortWithinPartitions("key", F.xxhash64("rep"))
     found = materialise(ranged.mapInArrow(_linker(WORDS, WIDE_BITS, False, True), _schema(kind, WORDS)), "cells")
     ends = found.where("b IS NULL").select("key", F.col("a").alias("rep"), *(f"f{i}" for i in range(WORDS)))
@@ -296,6 +304,85 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+class _Meeting:
+    """Rows (key, i, j, own, rep, comp, size, f0, ...) of one key, i and j: blocks i and j of a cell; comp: a number of the component."""
+
+    def __init__(self, group: pa.Table, similarity: float):
+        self.comp, self.size, own = (group.column(c).to_numpy() for c in ("comp", "size", "own"))
+        self.fps = np.stack([group.column(f"f{i}").to_numpy() for i in range(WORDS)], 1).view(np.uint64)
+        self.similarity = similarity
+        i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+        self.same = i == j
+        self.left, self.right = (np.arange(len(own)),) * 2 if self.same else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+
+    def allowed(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Of each row, the rows of other components that sizes and fingerprints allow; of a pair in one block the later one."""
+        for x in self.left.tolist():
+            y = self.right[self.right > x] if self.same else self.right
+            y = y[self.comp[y] != self.comp[x]]
+            y = y[np.minimum(self.size[y], self.size[x]) >= self.similarity * np.maximum(self.size[y], self.size[x])]
+            y = y[np.bitwise_count(self.fps[y] ^ self.fps[x]).sum(1) <= WIDE_BITS]
+            if len(y):
+                yield x, y
+
+
+def links_across(keyed: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between documents of different components by labels (node, component): all that cells (wide_cells) hold, as far as they join components.
+
+    nodes (rep, size), texts (rep, text). A document's set is sent to a meeting of two blocks only if it has a pair to try there; a pair is tried in the first cell that it shares."""
+    kind, words = type_of(keyed, "rep"), [f"f{i}" for i in range(WORDS)]
+    own = labels.select(F.col("node").alias("rep"), F.xxhash64("component").alias("comp"))
+    labelled = keyed.join(bounded_broadcast(materialise(own, "labels")), "rep", "left").select("key", "rep", F.coalesce("comp", F.xxhash64("rep")).alias("comp"), *words)
+    several = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low < high").select("key", "blocks")
+    rows = labelled.join(bounded_broadcast(materialise(several, "several")), "key").join(nodes.select("rep", F.col("size").cast("long").alias("size")), "rep")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = ["key", "i", "j", "own", "rep", "comp", "size", *words]
+    together = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    schema = f"key long, i long, j long, own long, rep {kind}, comp long, size long, {', '.join(f'{w} long' for w in words)}"
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in meetings(batches):
+            if group.num_rows > 1 and (found := [np.append(y, x) for x, y in _Meeting(group, similarity).allowed()]):
+                yield from group.take(pa.array(np.unique(np.concatenate(found)))).combine_chunks().to_batches()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["rep", "held"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in meetings(batches):
+            meeting, rep, key = _Meeting(group, similarity), group.column("rep"), group.column("key")[0].as_py()
+            held = [np.frombuffer(h, np.uint64) for h in group.column("held").to_pylist()]
+            cells = [np.array(k) for k in group.column("cells").to_pylist()]
+            up: dict[int, int] = {}
+
+            def root(c: int, up: dict[int, int] = up) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+
+            links = []
+            for x, others in meeting.allowed():
+                for y in others.tolist():
+                    mine, its = root(int(meeting.comp[x])), root(int(meeting.comp[y]))
+                    if mine == its or np.intersect1d(cells[x], cells[y], assume_unique=True)[0] != key:
+                        continue
+                    shared = len(np.intersect1d(held[x], held[y], assume_unique=True))
+                    if shared >= similarity * (len(held[x]) + len(held[y]) - shared):
+                        up[max(mine, its)] = min(mine, its)
+                        links.append((x, y))
+            if links:
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array([p[k] for p in links], pa.int64())).combine_chunks() for k in (0, 1)], names=["a", "b"])
+
+    blocks = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns[3:])
+    found = materialise(together(blocks).mapInArrow(involved, schema), "involved")
+    ends = bounded_broadcast(materialise(found.select("rep").distinct(), "ends"))
+    needed = texts.join(ends, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")).mapInArrow(sets, f"rep {kind}, held binary")
+    cells = keyed.select("key", "rep").join(ends, "rep", "left_semi").groupBy("rep").agg(F.collect_list("key").alias("cells"))
+    return together(found.join(materialise(needed.join(cells, "rep"), "sets"), "rep").select(*columns, "held", "cells")).mapInArrow(linked, f"a {kind}, b {kind}")
+
+
 def verified_links(links: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The links (a, b) whose texts (rep, text) have so similar sets of shingles."""
     kind = type_of(texts, "rep")
@@ -368,9 +455,11 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by = [f"f{i}" for i in range(WORDS)]
     fps = materialise(wide_fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = materialise(fps.groupBy(*by).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.max("size").alias("size")), "nodes")
-    links = materialise(similar_links(nodes.where("rep IS NOT NULL")), "links")
+    keyed = wide_cells(nodes.where("rep IS NOT NULL"))
     texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text"))
-    return _with_component(fps, nodes, connected_components(verified_links(links, texts, shingle, similarity)), by).select("doc_id", "component_id")
+    links = materialise(verified_links(materialise(similar_links(keyed), "links"), texts, shingle, similarity), "verified")
+    more = links_across(keyed, connected_components(links), nodes, texts, shingle, similarity)
+    return _with_component(fps, nodes, connected_components(links.unionByName(more)), by).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
