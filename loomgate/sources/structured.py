@@ -8,6 +8,7 @@ columns by Spark's own schema inference and flattening.
 from __future__ import annotations
 
 import datetime
+import functools
 import json
 import re
 import tomllib
@@ -55,15 +56,30 @@ def _xml(source: str) -> object:
     return {root.tag.rpartition("}")[2]: xml_value(root)}
 
 
-def _yaml(source: str) -> object:
+@functools.cache
+def _yaml_loaders() -> list[type]:
+    """Loaders with the booleans and nulls of the YAML 1.2 core schema (yes, no, on and off are texts): on libyaml if it is there, and in Python."""
     import yaml
 
-    class Loader(yaml.SafeLoader):
-        """Booleans and nulls of the YAML 1.2 core schema: yes, no, on and off are texts."""
+    made = []
+    for base in (getattr(yaml, "CSafeLoader", None), yaml.SafeLoader):
+        if base is not None:
+            loader = type("Loader", (base,), {"yaml_implicit_resolvers": {k: [(t, r) for t, r in v if t != "tag:yaml.org,2002:bool"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}})
+            loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
+            made.append(loader)
+    return made
+
+
+def _yaml(source: str) -> object:
+    import yaml
 
-    Loader.yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t != "tag:yaml.org,2002:bool"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
-    Loader.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile(r"^(?:true|True|TRUE|false|False|FALSE)$"), list("tTfF"))
-    return yaml.load(source, Loader)
+    *first, last = _yaml_loaders()
+    for loader in first:
+        try:
+            return yaml.load(source, loader)
+        except yaml.YAMLError:
+            pass  # what libyaml refuses, the loader in Python decides
+    return yaml.load(source, last)
 
 
 def _ini(source: str) -> object:
