@@ -29,7 +29,10 @@ def base_name(name: Column) -> Column:
 
 
 def _clean(x: Column, size: int, default: str) -> Column:
-    dashed = F.regexp_replace(x, r'[\\/:*?"<>|\x00-\x1f]', "-")
+    """As a run of blanks becomes one, and one at the start none, so many characters and runs of blanks from the start decide the result, however long x is."""
+    blank = rf"[{SPACE}&&[^\x00-\x1f]]"
+    decisive = F.regexp_extract(x, rf"^{blank}*+(?:[\s\S&&[^{SPACE}]]|[\x00-\x1f]|{blank}++){{0,{size + 1}}}+", 0)
+    dashed = F.regexp_replace(decisive, r'[\\/:*?"<>|\x00-\x1f]', "-")
     return or_default(F.substring(trim(F.regexp_replace(dashed, f"[{SPACE}]+", " ")), 1, size), default)
 
 
