@@ -1,10 +1,10 @@
 """Merkle manifest of a dataset: a tree of hashes for each group of rows, a tree over their roots, and a proof for every row.
 
 Levels are DataFrames. Leaves are numbered in the order of group and identifier (sampled ranges, numbers inside a range and
-the totals of the ranges before it), so a group of any size is spread. A level's numbers are divided by the fanout; what
-falls together is collected in order (never more rows than the fanout), and its hash is the parent. Levels halve, so all of
-them together are as large as the leaves. Proofs go down the same levels: a joined parent hands its own proof to its
-children, each of which puts its siblings in front. So a join at a level reads that level only, not all leaves.
+the totals of the ranges before it), so a group of any size is spread. Numbers are divided by a power of the fanout (BLOCK at most); what
+falls together is a block, which is collected in order, and whose own levels are hashed in its row up to one node. Blocks are the next
+round's nodes, so there is a round for every eight halvings, and each is 256 times smaller than the one before. Proofs go down the same
+rounds: a joined block hands its own proof to its nodes, each of which puts its siblings in the block's levels in front. So a join reads one round only, not all leaves.
 
 The hash of digests is taken over their hexadecimal text; digests are kept as 32 bytes.
 
@@ -23,8 +23,8 @@ from loomgate.llm.common import bounded_broadcast, materialise
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 2
-#: Nodes of a level for each task and written file; joins between which the paths are written.
-NODES_A_TASK, JOINS = 20_000, 8
+#: Nodes of a round for each task and written file; nodes of a block at most, whatever the fanout (but no less than that).
+NODES_A_TASK, BLOCK = 20_000, 256
 #: The place of a row in its range, in the lower bits of Spark's increasing numbers.
 _IN_RANGE = (1 << 33) - 1
 
@@ -54,47 +54,67 @@ def in_order(df: DataFrame, by: list[Column]) -> DataFrame:
     return placed.join(F.broadcast(starts), "__part").select(*df.columns, (F.col("__before") + F.col("__at").bitwiseAND(_IN_RANGE)).alias("rank"))
 
 
+def _in_block(fanout: int) -> int:
+    """The levels of a block."""
+    steps = 1
+    while fanout ** (steps + 1) <= BLOCK:
+        steps += 1
+    return steps
+
+
+def _joined(digests: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.transform(F.slice(digests, start, n), hex_text), "")
+
+
 def grown(nodes: DataFrame, most: int, rows: int, fanout: int = FANOUT) -> list[DataFrame]:
-    """nodes (tree, idx, m, digest, row), m nodes in a tree -> its levels above, each (tree, idx, m, kids, digest).
+    """nodes (tree, idx, m, digest, row), m nodes in a tree -> its rounds above, each (tree, idx, m, levels, digest).
 
-    most: the nodes of the largest tree; rows: of all. A tree goes on while it has more than one node. kids are the
-    (idx, digest) of up to fanout children in order; those of the first level have the leaf's row too."""
-    levels, at = [], nodes
+    most: the nodes of the largest tree; rows: of all. A tree goes on while it has more than one node. levels are the digests of a block's nodes
+    in order, then those of each level above to the block's own; the first round has the leaves' rows in order too."""
+    steps = _in_block(fanout)
+    size, rounds, at = fanout**steps, [], nodes
+    runs_of = lambda level: F.transform(F.sequence(F.lit(0), F.ceil(F.size(level) / fanout).cast("int") - 1), lambda i: digest(_joined(level, i * fanout + 1, F.lit(fanout))))
     while most > 1:
-        kid = F.struct("idx", "digest", "row") if not levels else F.struct("idx", "digest")
-        runs = at.where("m > 1").groupBy("tree", F.expr(f"idx DIV {fanout}").alias("up")).agg(F.first("m").alias("m"), F.collect_list(kid).alias("kids"))
+        kid = F.struct("idx", "digest", "row") if not rounds else F.struct("idx", "digest")
+        blocks = at.where("m > 1").groupBy("tree", F.expr(f"idx DIV {size}").alias("up")).agg(F.first("m").alias("m"), F.collect_list(kid).alias("kids"))
         kids = F.array_sort("kids", lambda x, y: F.signum(x["idx"] - y["idx"]).cast("int"))
-        sorted_runs = runs.select("tree", F.col("up").alias("idx"), F.expr(f"(m + {fanout - 1}) DIV {fanout}").alias("m"), kids.alias("kids"))
-        most, rows = -(-most // fanout), rows // fanout + 1
-        up = sorted_runs.withColumn("digest", digest(F.array_join(F.transform("kids", lambda x: hex_text(x["digest"])), "")))
-        levels.append(at := materialise(up.coalesce(rows // NODES_A_TASK + 1), "level"))
-    return levels
+        heights = sum(((F.col("m") > fanout**j).cast("int") for j in range(1, steps)), F.lit(1))  # all blocks of a tree have the same
+        ordered = blocks.select("tree", F.col("up").alias("idx"), "m", heights.alias("n"), kids.alias("kids"))
+        levels = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(F.transform("kids", lambda x: x["digest"])), lambda done, _: F.concat(done, F.array(runs_of(F.element_at(done, -1)))))
+        own = [] if rounds else [F.transform("kids", lambda x: x["row"]).alias("rows")]
+        up = ordered.select("tree", "idx", F.expr(f"(m + {size - 1}) DIV {size}").alias("m"), levels.alias("levels"), *own)
+        up = up.withColumn("digest", F.element_at(F.element_at("levels", -1), 1))
+        rounds.append(at := materialise(up.coalesce(rows // NODES_A_TASK + 1), "level"))
+        most, rows = -(-most // size), rows // size + 1
+    return rounds
 
 
-def _side(kids: Column, start: Column, n: Column) -> Column:
-    return F.unhex(F.array_join(F.transform(F.slice(kids, start, n), lambda x: hex_text(x["digest"])), ""))
+def _sibling(level: Column, at: Column, fanout: int) -> Column:
+    """What stands beside a node of a level in its run, left and right."""
+    place = at % fanout
+    return F.struct(F.unhex(_joined(level, at - place + 1, place)).alias("left"), F.unhex(_joined(level, at + 2, F.lit(fanout - 1) - place)).alias("right"))
 
 
-def with_paths(nodes: DataFrame, levels: list[DataFrame], tops: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """tops (tree, path, ...) -> row, digest, path and the other columns of tops for each of the nodes that levels were grown from.
+def with_paths(nodes: DataFrame, rounds: list[DataFrame], tops: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """tops (tree, path, ...) -> row, digest, path and the other columns of tops for each of the nodes that rounds were grown from.
 
     path: for each level from the leaf up, then as in tops, the siblings on the left and on the right, as their digests side by side."""
-    carried = [c for c in tops.columns if c != "tree"]
-    at = None
-    for depth, up in reversed(list(enumerate(levels))):
+    others = [c for c in tops.columns if c not in ("tree", "path")]
+    size, at = fanout ** _in_block(fanout), None
+    below = F.slice("levels", F.lit(1), F.size("levels") - 1)
+    beside = lambda i: F.transform(below, lambda level, j: _sibling(level, F.floor(i / F.pow(F.lit(fanout), j)).cast("int"), fanout))
+    for first, up in reversed([(i == 0, up) for i, up in enumerate(rounds)]):
         known = up.where("m = 1").select("tree", "idx").join(tops, "tree")
         known = known if at is None else at.unionByName(known)
-        kids = up.select("tree", "idx", "kids").join(known, ["tree", "idx"])
-        one = kids.select("tree", *carried, "kids", F.posexplode("kids").alias("pos", "kid"))
-        siblings = F.struct(_side(F.col("kids"), F.lit(1), F.col("pos")).alias("left"), _side(F.col("kids"), F.col("pos") + 2, F.lit(fanout)).alias("right"))
-        path = F.concat(F.array(siblings), "path").alias("path")
-        others = [c for c in carried if c != "path"]
-        if depth:
-            at = one.select("tree", F.col("kid.idx").alias("idx"), path, *others)
-            at = materialise(at, "paths") if depth % JOINS == 0 else at
+        row = (lambda i: [F.get("rows", i).alias("row")]) if first else (lambda _: [])
+        nodes_of = F.transform(F.get("levels", F.lit(0)), lambda x, i: F.struct(x.alias("digest"), beside(i).alias("own"), *row(i)))  # noqa: B023
+        one = up.join(known, ["tree", "idx"]).select("tree", F.col("idx").alias("block"), "path", *others, F.posexplode(nodes_of).alias("pos", "node"))
+        path = F.concat("node.own", "path").alias("path")
+        if first:
+            at = one.select("node.row", "node.digest", path, *others)
         else:
-            at = one.select("kid.row", "kid.digest", path, *others)
-    alone = nodes.where("m = 1").join(tops, "tree").select("row", "digest", "path", *[c for c in carried if c != "path"])
+            at = one.select("tree", (F.col("block") * size + F.col("pos")).alias("idx"), path, *others)
+    alone = nodes.where("m = 1").join(tops, "tree").select("row", "digest", "path", *others)
     return alone if at is None else at.unionByName(alone)
 
 
