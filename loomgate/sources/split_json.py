@@ -7,8 +7,8 @@ string, and their meaning on the brackets that are open before it. So:
 2. A second pass finds how many open brackets of earlier blocks each block closes, and which of its own it leaves open, with
    their places. A fold over the blocks of a file, one row each, gives a block its start: the number of open objects, the
    array that is open in them and the depth in it.
-3. A third pass cuts the arrays that stand in objects only (or at the root) at their commas. What lies over several blocks is
-   put together by the number of its member. Counts for each block number the members.
+3. A third pass cuts the arrays that stand in objects only (or at the root) at their commas; its parts are written, as counting, choosing and joining
+   all read them. What lies over several blocks is put together by the number of its member. Counts for each block number the members.
 
 The record array is the first, in the order of the document, that has no members but objects and arrays and is at most
 MAX_DEPTH objects deep; else the root, if it is an array. A document with neither is one row, and is read whole.
@@ -210,7 +210,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
     index = materialise(with_blocks(pieces, found, ["pieces", "parity", "odd"]).mapInArrow(_indexed, _INDEX), "index")
     starts = materialise(index.groupBy(FILE).applyInPandas(_starts, _STARTS), "starts")  # a row for each block of a file
     known = with_blocks(pieces, starts, ["pieces", "parity", "objects", "of_block", "of_place", "depth"])
-    parts = known.mapInArrow(_members, _MEMBERS_SQL)
+    parts = materialise(known.mapInArrow(_members, _MEMBERS_SQL), "parts")
 
     array = [FILE, "of_block", "of_place"]
     before = Window.partitionBy(*array).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of an array
