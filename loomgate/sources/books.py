@@ -92,10 +92,11 @@ def without_trailing(data: Column, flags: Column) -> Column:
 
 
 def raw_texts(each: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, place (from 0), raw, start, end: the text of each record as bytes, and where it lies on the book's line. Written."""
+    """keys, version, charset (of the book), place (from 0), raw, n: the text of each record as bytes, and their number. Written."""
 
-    known = heads.select(*keys, F.col("start").alias("head"), "n_texts", "codec", F.coalesce("trailing", F.lit(0)).alias("trailing"))
+    known = heads.select(*keys, "version", "charset", F.col("start").alias("head"), "n_texts", "codec", F.coalesce("trailing", F.lit(0)).alias("trailing"))
     own = each.join(known, keys).withColumn("place", F.col("place") - F.col("head") - 1).where("place >= 0 AND place < n_texts")
+    keys = [*keys, "version", "charset"]
     packed = own.select(*keys, "place", "codec", without_trailing(F.col("data"), F.col("trailing")).alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,12 @@ def raw_texts(each: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
     raw = packed.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"place {kinds['place']}, raw binary, n long"]))
-    return materialise(ordered.running_offsets(materialise(raw, "raw"), keys, ["place"], "n").drop("n"), "texts")
+    return materialise(raw, "raw")
+
+
+def on_line(raw: DataFrame, keys: list[str]) -> DataFrame:
+    """raw_texts -> keys, place, raw, start, end: where each text lies on the book's line."""
+    return ordered.running_offsets(raw.select(*keys, "place", "raw", "n"), keys, ["place"], "n").drop("n")
 
 
 def _joined(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -144,7 +150,10 @@ def page_sections(texts: DataFrame, keys: list[str]) -> DataFrame:
         near = near & F.col(f"__{k}").eqNullSafe(F.col(k))
     hit = lookups.in_range(points, "point", numbered.drop("text"), "start", "end", 1 << 16).where(near)
     anchors = hit.groupBy(*keys, "section", "start").agg(F.array_sort(F.collect_list(F.struct("point", "first", "digits"))).alias("anchors"))
-    wide = numbered.join(anchors, [*keys, "section", "start"], "left")
+    # pieces meet their anchors where their sections are put together, so that texts are shuffled once for both
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = numbered.select(*keys, "section", "start", "text", none(anchors, "anchors")).unionByName(anchors.select(*keys, "section", "start", none(numbered, "text"), "anchors"))
+    wide = both.repartition(*keys, "section").groupBy(*keys, "section", "start").agg(F.first("text", ignorenulls=True).alias("text"), F.first("anchors", ignorenulls=True).alias("anchors"))
     at = lambda i: (F.get("anchors", i)["point"] - F.col("start")).cast("int")
     until = lambda i: F.coalesce(at(i), F.length("text"))
     inserted = F.transform("anchors", lambda a, i: F.concat(F.lit('<a id="filepos'), a["digits"], F.lit('"></a>'), F.substring(F.col("text"), at(i) + 1, until(i + 1) - at(i))))
@@ -267,24 +276,26 @@ def stretches(spans: DataFrame, texts: DataFrame, keys: list[str], width: int =
     held = texts.select(*keys, F.col("start").alias("t0"), F.col("end").alias("t1"), "raw")
     met = lookups.overlapping(spans, ("start", "end"), held, ("t0", "t1"), keys, width)
     low, high = F.greatest("start", "t0"), F.least("end", "t1")
-    part = F.substring(bytes_as_text(F.col("raw")), (low - F.col("t0") + 1).cast("int"), (high - low).cast("int"))
+    part = bytes_as_text(F.substring(F.col("raw"), (low - F.col("t0") + 1).cast("int"), (high - low).cast("int")))
     return _joined(met.select(*keys, "section", "piece", low.alias("low"), part.alias("text")), [*keys, "section"], ["piece", "low"])
 
 
 def skeleton_sections(each: DataFrame, heads: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, section, text of newer books."""
+    """keys, charset, section, text of newer books."""
     mains = lambda field: heads.where(F.col(field) < NONE).select(*keys, (F.col("start") + F.col(field)).alias("at"))
     skeletons = index_entries(each, mains("skeletons"), keys).select(*keys, F.col("idx").alias("skel"), tag_value(1).alias("n_fragments"), tag_value(6).alias("offset"), tag_value(6, 1).alias("length"))
     fragments = index_entries(each, mains("fragments"), keys).select(*keys, F.col("idx").alias("frag"), F.regexp_extract("name", r"^\s*([+-]?\d+)", 1).cast("long").alias("insert_at"), tag_value(6).alias("start"), tag_value(6, 1).alias("length"))
-    return stretches(spliced(materialise(skeletons, "skeletons"), materialise(fragments, "fragments"), keys), texts, keys)
+    spans = spliced(materialise(skeletons, "skeletons"), materialise(fragments, "fragments"), keys)
+    return stretches(spans.join(heads.select(*keys, "charset"), keys), texts, [*keys, "charset"])
 
 
 def sections(books: DataFrame, content: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(keys, title, author) and (keys, section, text) of books: their heads and their sections in the book's character set."""
     each = materialise(records(books, content, keys), "records")
     heads = headers(each, keys)
-    texts = raw_texts(each, heads, keys)
-    old, new = (texts.join(heads.where(w).select(*keys), keys, "left_semi") for w in ("version < 8", "version >= 8"))
-    found = page_sections(old, keys).unionByName(skeleton_sections(each, heads.where("version >= 8"), new, keys))
+    raw, own = raw_texts(each, heads, keys), [*keys, "charset"]  # a book's character set goes with its keys, so that nothing is joined for it
+    old, new = (on_line(raw.where(w), own) for w in ("version < 8", "version >= 8"))
+    newer = materialise(heads.where("version >= 8"), "newer")  # its size is known, so that few such books don't have all records shuffled
+    found = page_sections(old, own).unionByName(skeleton_sections(each, newer, new, keys))
     text = decoded(F.encode("text", "ISO-8859-1"), F.col("charset"))
-    return heads.select(*keys, "title", "author"), found.join(heads.select(*keys, "charset"), keys).select(*keys, "section", text.alias("text"))
+    return heads.select(*keys, "title", "author"), found.select(*keys, "section", text.alias("text"))
