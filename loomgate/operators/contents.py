@@ -71,7 +71,7 @@ def levels(df: DataFrame, keys: list[str], order: list[str], indent: str, name:
         same_group = F.col("to") == F.col("__at")
         for k, o in zip(keys, own_keys, strict=True):
             same_group = same_group & F.col(k).eqNullSafe(F.col(o))
-        followed = waiting.join(above, same_group).select(*keys, "__place", F.col("to2").alias("to"), (F.col("step") + F.col("step2")).alias("step"), F.greatest(F.col("floor"), F.col("floor2") + F.col("step")).alias("floor"))
+        followed = waiting.join(above.hint("merge"), same_group).select(*keys, "__place", F.col("to2").alias("to"), (F.col("step") + F.col("step2")).alias("step"), F.greatest(F.col("floor"), F.col("floor2") + F.col("step")).alias("floor"))
         state = materialise(followed.unionByName(state.where("to = 0")), "levels")
     found = state.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__place").alias("__at"), F.greatest("floor", "step").cast("int").alias(name))
     match = F.col("__place") == F.col("__at")

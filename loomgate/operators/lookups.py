@@ -57,7 +57,7 @@ def tree_depths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
         if not open_nodes:
             break
         above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        state = materialise(state.where("up IS NOT NULL").join(above, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth")).unionByName(state.where("up IS NULL")), "tree")
+        state = materialise(state.where("up IS NOT NULL").join(above.hint("merge"), "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth")).unionByName(state.where("up IS NULL")), "tree")
         open_nodes = state.where("up IS NOT NULL").count()
     return state.where("up IS NULL").select(F.col("node").alias(node), F.col("depth").cast("int").alias("depth"))
 

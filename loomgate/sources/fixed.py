@@ -195,7 +195,7 @@ def tar_headers(spark: SparkSession, path: str, **options: object) -> DataFrame:
         # what a reached header points to is reached; each pointer then takes over that of where it points
         hit = state.where("reached").select(F.col("to").alias("row"), F.lit(True).alias("hit")).distinct()
         above = state.select(F.col("row").alias("to"), F.col("to").alias("next"))
-        joined = state.join(hit, "row", "left").join(above, "to", "left")
+        joined = state.join(hit.hint("merge"), "row", "left").join(above.hint("merge"), "to", "left")  # not by the driver: a table in every round
         before = state.where("reached").count()
         state = materialise(joined.select("row", F.coalesce("next", "to").alias("to"), (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached")), "reached")
         if state.where("reached").count() == before:
