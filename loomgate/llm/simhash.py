@@ -52,6 +52,8 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 SIZE_CLASS = 2 * np.log(1 / 0.8)
 #: Documents of a cell that are compared with each other; larger cells are cut by leaders.
 PAIRS = 128
+#: Pairs laid out at once in a task, some 150 bytes each where all are alike.
+MEETINGS = 1 << 17
 #: Documents of a cell that are compared in one task of the second round.
 BLOCK = 512
 #: Rows of one fingerprint above which it is dealt over several tasks.
@@ -206,7 +208,7 @@ def _linker(words: int, bits: int, exact: bool, ends: bool) -> Callable[[Iterato
         for n in np.unique(sizes[sizes > 1]).tolist():
             starts = cuts[:-1][sizes == n]
             if exact or n <= PAIRS:
-                step = max(1, (1 << 21) // (n * n))
+                step = max(1, MEETINGS // (n * n))
                 for k in range(0, len(starts), step):
                     at = starts[k : k + step, None] + np.arange(n)
                     c, i, j = (_forests if exact else _neighbours)(fps[at], bits)
