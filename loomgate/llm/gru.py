@@ -19,7 +19,7 @@ HIDDEN, CLASS = 32, 64
 LANES, WINDOW = 512, 32
 #: Training steps that little text is dealt into at least.
 STEPS = 100
-TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 128, 32, 0.12, 1.0
+TRAIN_LANES, TRAIN_WINDOW, RATE, CLIP = 256, 16, 0.12, 1.0
 
 
 @dataclass
@@ -196,9 +196,13 @@ class Trainer:
 
     def _step(self, name: str, grad: np.ndarray, rows=slice(None), rate: float = RATE) -> None:
         sums = getattr(self.sums, name)
-        new = sums[rows] + grad * grad
-        sums[rows] = new
-        getattr(self.w, name)[rows] -= rate * grad / np.sqrt(new)
+        step = grad * grad
+        step += sums[rows]
+        sums[rows] = step
+        np.sqrt(step, out=step)
+        np.divide(grad, step, out=step)
+        step *= grad.dtype.type(rate)
+        getattr(self.w, name)[rows] -= step
 
     def gradients(self, h: np.ndarray, inputs: np.ndarray, target: np.ndarray, real: np.ndarray, fresh: np.ndarray):
         """(loss sum, gradients, those of words and word_bias, (inputs, those of into), h): inputs, target, real and fresh are (steps, lanes)."""

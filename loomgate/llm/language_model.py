@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,12 +46,31 @@ END = b"\n"
 #: Distinct tokens a task counts before it hands them on.
 _FLUSH = 300_000
 _CHUNK = 1 << 14
+#: Bytes of texts split at once.
+_SPLIT = 8 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()  # on bytes: A-Z only, and exactly [\x20\x09-\x0D]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(tokens of all texts in a row, binary; how many each text has): what tokens() gives for each, by Arrow's kernels."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, starts = found.flatten(), found.offsets.to_numpy()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty one
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full).cast(pa.binary()), np.diff(before[starts - starts[0]])
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some _SPLIT bytes."""
+    for b in batches:
+        step = max(1, b.num_rows * _SPLIT // max(1, b.nbytes))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def bucket_of(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word[:2], 42) % BUCKETS
 
@@ -67,12 +86,14 @@ def token_counts(texts: DataFrame) -> DataFrame:
             counter.clear()
             return out
 
-        for b in batches:
-            for t in b.column(0):
-                counter.update(tokens(t.as_py()))
-                counter[END] += 1
-                if len(counter) >= _FLUSH:
-                    yield flush()
+        for b in pieces(batches):
+            words, sizes = split(b.column(0))
+            found = pc.value_counts(words)
+            for w, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+                counter[w] += n
+            counter[END] += len(sizes)
+            if len(counter) >= _FLUSH:
+                yield flush()
         yield flush()
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -100,7 +121,8 @@ class Lexicon:
         self.bucket_number = np.array([number[b] for b in range(BUCKETS)], np.int32)
         # of a bucket: log10 of what its tokens' counts are divided by
         self.bucket_log = np.array([np.log10(max(0, rest[b][0]) + 0.5 * (max(0, rest[b][1]) + 1)) for b in range(BUCKETS)])
-        self.place = {w: i for i, (w, _) in enumerate(frequent)}
+        self.frequent = pa.array([w for w, _ in frequent], pa.binary())
+        self.end_place = next((i for i, (w, _) in enumerate(frequent) if w == END), -1)
         at = np.array([bucket_of(w) for w, _ in frequent], np.int64)
         alone = np.array([number.get(w, -1) for w, _ in frequent], np.int32)
         self.number = np.where(alone < 0, self.bucket_number[at], alone)
@@ -109,13 +131,23 @@ class Lexicon:
         self.base_log = float(np.log10(total + 0.5 * (distinct + 1)))
         self.buckets: dict[bytes, int] = {}
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """Network tokens of a document with its end."""
-        at = np.fromiter(map(self.place.get, chain(words, (END,)), repeat(-1)), np.int64, len(words) + 1)
+    def places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of all texts in a row, each with its end: (places among the frequent tokens, -1 for others; tokens of each text;
+        where tokens aren't frequent, ends left out; those tokens)."""
+        words, sizes = split(texts)
+        found = pc.index_in(words, value_set=self.frequent)
+        rare = words.filter(found.is_null()).to_pylist()
+        at = found.fill_null(-1).to_numpy(zero_copy_only=False)
+        texts_before = np.repeat(np.arange(len(sizes)), sizes)
+        where = np.flatnonzero(at < 0)
+        return np.insert(at, np.cumsum(sizes), self.end_place), sizes + 1, where + texts_before[where], rare
+
+    def numbers(self, texts: pa.Array) -> list[np.ndarray]:
+        """Network tokens of each text with its end."""
+        at, sizes, where, rare = self.places(texts)
         out = self.number[at]
-        for i in np.flatnonzero(at < 0).tolist():
-            out[i] = self.bucket_number[self.bucket(words[i])]
-        return out
+        out[where] = self.bucket_number[[self.bucket(w) for w in rare]] if rare else 0
+        return np.split(out, np.cumsum(sizes)[:-1])
 
     def bucket(self, word: bytes) -> int:
         start = word[:2]
@@ -123,26 +155,25 @@ class Lexicon:
             b = self.buckets[start] = bucket_of(word)
         return b
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, Counter[bytes]]:
-        """Of a document with its end: network tokens, log10 share in the bucket, log10 base probability, known
+    def look_up(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, Counter[bytes]]]:
+        """Of each text with its end: network tokens, log10 share in the bucket, log10 base probability, known
         tokens, and the tokens that aren't frequent; log10(c + 0.5) of those is left out of both logs and to be added."""
-        at = np.fromiter(map(self.place.get, chain(words, (END,)), repeat(-1)), np.int64, len(words) + 1)
+        at, sizes, where, rare = self.places(texts)
+        ends = np.cumsum(sizes)
         if len(self.number):
             numbers, share, base = self.number[at], self.share_log[at], self.count_log[at] - self.base_log
         else:
             numbers, share, base = np.full(len(at), self.end, np.int32), np.zeros(len(at)), np.zeros(len(at))
-        left: Counter[bytes] = Counter()
-        for i in np.flatnonzero(at < 0).tolist():
-            base[i] = -self.base_log
-            if i == len(words):  # no training document at all
-                numbers[i], share[i] = self.end, 0.0
-                base[i] += np.log10(0.5)
-                continue
-            w = words[i]
-            b = self.bucket(w)
-            numbers[i], share[i] = self.bucket_number[b], -self.bucket_log[b]
-            left[w] += 1
-        return numbers, share, base, int((at >= 0).sum()), left
+        if self.end_place < 0:  # no training document at all
+            numbers[ends - 1], share[ends - 1], base[ends - 1] = self.end, 0.0, np.log10(0.5) - self.base_log
+        if rare:
+            b = np.array([self.bucket(w) for w in rare])
+            numbers[where], share[where], base[where] = self.bucket_number[b], -self.bucket_log[b], -self.base_log
+        upto, start = np.searchsorted(where, ends).tolist(), 0
+        known, last = np.add.reduceat(at >= 0, ends - sizes, dtype=np.int64).tolist() if len(at) else [], 0
+        for i, (end, stop) in enumerate(zip(ends.tolist(), upto, strict=True)):
+            yield numbers[start:end], share[start:end], base[start:end], known[i], Counter(rare[last:stop])
+            start, last = end, stop
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
@@ -190,12 +221,13 @@ def train(texts: DataFrame, lex: Lexicon) -> gru.Weights:
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             trainer, own, n, docs, held = gru.Trainer(shipped.value.like(shipped.value.flat())), shipped_lex.value, 0, [], 0
-            for t in chain.from_iterable(b.column(0) for b in batches):
-                docs.append(own.numbers(tokens(t.as_py())))
-                held += len(docs[-1])
-                if held >= LAID_TOKENS:
-                    n += trainer.learn(docs, own.end)[1]
-                    docs, held = [], 0
+            for b in pieces(batches):
+                for found in own.numbers(b.column(0)):
+                    docs.append(found)
+                    held += len(found)
+                    if held >= LAID_TOKENS:
+                        n += trainer.learn(docs, own.end)[1]
+                        docs, held = [], 0
             if docs:
                 n += trainer.learn(docs, own.end)[1]
             if n:
@@ -249,10 +281,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
 
         waiting: list[list] = [[], []]  # documents up to LONG, and longer ones
         held = [0, 0]
-        for b in batches:
+        for b in pieces(batches):
             kind = b.schema.types[0]
-            for doc, out, t in zip(*b.columns, strict=True):
-                found = own.look_up(tokens(t.as_py()))
+            for doc, out, found in zip(b.column(0), b.column(1), own.look_up(b.column(2)), strict=True):
                 long = len(found[0]) > LONG
                 waiting[long].append((doc.as_py(), out.as_py(), found))
                 held[long] += len(found[0])
