@@ -16,11 +16,17 @@ from loomgate.sinks import packages, store
 from loomgate.sources import fixed, split, split_json
 
 
+#: What stands for null where all cells are quoted; texts that begin with a backslash get one more.
+_NULL = r"\N"
+
+
 def csv_quoted_lines(spark, d):
     """All documents as quoted cells of CSV files, line ends and quotes included, and back."""
     path = fresh_path(spark, "csv")
-    table(spark, d, "documents").select("doc_id", "lang", "text", F.lit('end "of" row').alias("last")).write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    rows = split.read_quoted(spark, path)
+    cell = lambda c: F.when(F.startswith(c, F.lit("\\")), F.concat(F.lit("\\"), c)).otherwise(F.col(c)).alias(c)
+    table(spark, d, "documents").select("doc_id", cell("lang"), cell("text"), F.lit('end "of" row').alias("last")).write.options(header=True, quoteAll=True, nullValue=_NULL, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    own = lambda c: F.when(F.startswith(c, F.lit("\\")), F.substr(c, F.lit(2))).otherwise(F.col(c)).alias(c)
+    rows = split.read_quoted(spark, path, infer=False, null=_NULL).select("doc_id", own("lang"), own("text"), "last")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"), "last")
 
 

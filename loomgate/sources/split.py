@@ -185,17 +185,19 @@ def _names(cells: list[str | None]) -> list[str]:
     return [f"_c{i}" if not c else f"{c}{i}" if lowered.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
 
 
-def read_quoted(spark: SparkSession, path: str, separator: str = ",", infer: bool = True, in_order: bool = False) -> DataFrame:
+def read_quoted(spark: SparkSession, path: str, separator: str = ",", infer: bool = True, in_order: bool = False, null: str | None = None) -> DataFrame:
     """Rows of separated files with a header, as Spark's own reader gives them, whatever quoted cells hold; each file is read by many tasks.
 
     The names are those of the first file's header; all files have to have the same columns. Without infer all columns are texts. With in_order
-    rows are sorted by file and place, which moves them; else those over several blocks come last."""
+    rows are sorted by file and place, which moves them; else those over several blocks come last. Empty cells are null; if a text for null is given, quoted ones
+    are empty texts."""
+    options = {} if null is None else {"nullValue": null}
     rows = quoted_rows(spark, path)
     first = _parsed(rows.where("row = 0").orderBy(FILE).limit(1).select("value"), separator).first() or ()
     fields = [StructField(name, StringType()) for name in _names(list(first))]
     body = rows.where("row > 0")
     body = (body.orderBy(FILE, "row") if in_order else body).select("value")
     if infer and fields:
-        kinds = _parsed(rows.where("row > 0").select("value"), separator, inferSchema=True).schema
+        kinds = _parsed(rows.where("row > 0").select("value"), separator, inferSchema=True, **options).schema
         fields = [StructField(f.name, kinds[i].dataType if i < len(kinds) else StringType()) for i, f in enumerate(fields)]
-    return _parsed(body, separator, schema=StructType(fields))
+    return _parsed(body, separator, schema=StructType(fields), **options)
