@@ -39,10 +39,11 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "plac
     return ranges.sums_to_here(ranges.ranged(df, keys, order), keys, {name: F.lit(1).cast("long")}).drop(*_PLACES)
 
 
-def lead_ranges(df: DataFrame, keys: list[str], offset: str) -> DataFrame:
-    """df with end: the next offset, null for the last."""
-    placed = ranges.ranged(df.withColumn("__down", -F.col(offset)), keys, ["__down"])
-    return ranges.row_before(placed, keys, [offset], "__next").withColumn("end", F.col(f"__next.`{offset}`")).drop("__down", "__next", *_PLACES)
+def lead_ranges(df: DataFrame, keys: list[str], offset: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """df with end: the next offset, null for the last. Rows with the same offset follow each other in the order of numeric columns."""
+    down = {f"__down{i}": -F.col(c) for i, c in enumerate((offset, *order))}
+    placed = ranges.ranged(df.withColumns(down), keys, list(down))
+    return ranges.row_before(placed, keys, [offset], "__next").withColumn("end", F.col(f"__next.`{offset}`")).drop(*down, "__next", *_PLACES)
 
 
 def with_neighbours(df: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:

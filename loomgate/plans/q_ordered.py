@@ -34,7 +34,7 @@ def running_offsets(spark, d):
 
 def lead_ranges(spark, d):
     starts = ordered.running_offsets(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], "n_chars").select("source", "doc_id", F.col("start").alias("offset"))
-    return ordered.lead_ranges(starts, ["source"], "offset")
+    return ordered.lead_ranges(starts, ["source"], "offset", ("doc_id",))  # documents without a text begin where the next one does
 
 
 def carried_section(spark, d):
